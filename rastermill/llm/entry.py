@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, gam, isolation, langid, packing, simhash, tokencount
 from .common import table
-from .simhash import near_duplicates
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = isolation.fit(docs, table(spark, sf_dir, "labels"))
+    return isolation.quality_rules(docs, forest, ["doc_id"])
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = gam.fit(docs, table(spark, sf_dir, "labels"))
+    return gam.classify(docs, model, ["doc_id"]).select("doc_id", gam.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs), ["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = decontaminate.automata(table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), blocks, ["doc_id"])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+_QUERIES = (op1_token_counts, op2_quality_rules, op3_quality_classifier, op6_language_id, op7_decontamination, op9_simhash, op10_packing)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_simhash,)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of these can be had from SQL: they need trained models, automata, tokenizers, iteration or hashes that SQL lacks."""
     return {}
