@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gam, isolation, langid, packing, simhash, tokencount
+from . import decontaminate, gam, isolation, langid, licenses, packing, pii, secretscan, simhash, tokencount
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,17 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(docs, model, ["doc_id"]).select("doc_id", gam.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs), ["doc_id"])
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path; source, language and id stand for directories and file."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    return licenses.scan(docs, licenses.standard_templates(spark))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs), ["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
@@ -38,6 +49,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), blocks, ["doc_id"])
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.scan(docs, secretscan.fit(docs), ["doc_id"])
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-_QUERIES = (op1_token_counts, op2_quality_rules, op3_quality_classifier, op6_language_id, op7_decontamination, op9_simhash, op10_packing)
+_QUERIES = (op1_token_counts, op2_quality_rules, op3_quality_classifier, op4_pii, op5_license_scan, op6_language_id, op7_decontamination, op8_secret_scan, op9_simhash, op10_packing)
 
 
 def queries() -> dict:
