@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import CELL, KC, K
@@ -39,19 +39,20 @@ def channel_error(res: DataFrame) -> DataFrame:
     return res.groupBy(*KC).agg(F.sum("err").alias("sum_err"), F.max("err").alias("max_err"), F.min("err").alias("min_err"), F.median("err").alias("median_err"))
 
 
-_SQUARES = F.sum(F.col("diff").cast("long") * F.col("diff"))
+def _mse() -> Column:
+    return F.floor(F.sum(F.col("diff").cast("long") * F.col("diff")) / F.count("diff"))
 
 
 def channel_mse(res: DataFrame) -> DataFrame:
     """(image_id, mse0, mse1, mse2, avg_mse): truncated means of squares; the average is of the truncated values, truncated."""
-    mse = res.groupBy(*KC).agg(F.floor(_SQUARES / F.count("diff")).alias("mse"))
+    mse = res.groupBy(*KC).agg(_mse().alias("mse"))
     wide = mse.groupBy(*K).agg(*[F.max(F.when(F.col("channel") == c, F.col("mse"))).alias(f"mse{c}") for c in range(3)], F.floor(F.sum("mse") / F.count("mse")).alias("avg_mse"))
     return wide
 
 
 def pooled_mse(res: DataFrame) -> DataFrame:
     """(image_id, mse) over all cells of all channels, truncated once."""
-    return res.groupBy(*K).agg(F.floor(_SQUARES / F.count("diff")).alias("mse"))
+    return res.groupBy(*K).agg(_mse().alias("mse"))
 
 
 def diff_cells(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from . import fixtures as fx
 
 H, W, BOOK = fx.H, fx.W, fx.BOOK
 SIZES = [8, 4, 2]
-UNIFORM, TILE4 = F.col("codec") == "uniform", (F.col("codec") == "tile") & (F.col("quality") == 4)
+UNIFORM, TILE4 = "codec = 'uniform'", "codec = 'tile' AND quality = 4"
 QUERIES: dict = {}
 
 
@@ -364,12 +364,12 @@ def efficiency(spark, d):
 
 @query
 def codec_compare(spark, d):
-    return evaluate.paired_comparison(runs(spark, d), TILE4, UNIFORM).select("image_id", "b_quality", "a_bits", "b_bits", "a_mse", "b_mse", "winner")
+    return evaluate.paired_comparison(runs(spark, d), F.expr(TILE4), F.expr(UNIFORM)).select("image_id", "b_quality", "a_bits", "b_bits", "a_mse", "b_mse", "winner")
 
 
 @query
 def matched_rate(spark, d):
-    return evaluate.matched_rate(runs(spark, d), F.col("codec") == "tile", UNIFORM).select("image_id", "a_quality", "a_mse", "b_quality", "b_mse")
+    return evaluate.matched_rate(runs(spark, d), F.expr("codec = 'tile'"), F.expr(UNIFORM)).select("image_id", "a_quality", "a_mse", "b_quality", "b_mse")
 
 
 @query
@@ -379,13 +379,13 @@ def lossless_carry(spark, d):
 
 @query
 def quality_sweep(spark, d):
-    got = evaluate.quality_sweep(runs(spark, d), "uniform", TILE4)
+    got = evaluate.quality_sweep(runs(spark, d), "uniform", F.expr(TILE4))
     return got.select("image_id", "quality", "bits", "mse", F.round("shown", 6).alias("shown"), F.round("line", 6).alias("line"))
 
 
 @query
 def win_rate(spark, d):
-    return evaluate.win_rate(evaluate.paired_comparison(runs(spark, d), TILE4, UNIFORM), F.when(F.col("b_quality") < 10, "below 10").when(F.col("b_quality") < 60, "below 60").otherwise("60 and more"))
+    return evaluate.win_rate(evaluate.paired_comparison(runs(spark, d), F.expr(TILE4), F.expr(UNIFORM)), F.when(F.col("b_quality") < 10, "below 10").when(F.col("b_quality") < 60, "below 60").otherwise("60 and more"))
 
 
 def _log_stream(spark, d):
