@@ -9,9 +9,11 @@ monotone queue of cost(i) + i; the few i at a power of two before j are looked u
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,77 +24,126 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import ROOT
+from .tokencount import byte_letters
 
 LIMIT = 2048
 END = 1
+#: The tokenizer's own pattern for the parts of a text. Fixed value.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SENTENCE_COST, INNER_COST, SEQUENCE_COST = 2.0, 12.0, 8.0
+#: Lengths of sequences that need no padding, as far as worth a look.
+POWERS = [1 << k for k in range(4, 12)]
 #: Without a sentence end for so many tokens, a cut is allowed.
 STRIDE = 64
 #: Tokens that are cut at once.
 BLOCK = 1 << 20
-#: Most distinct words whose ids a task keeps.
-CACHE = 400_000
+#: Chunks and parts whose ids are kept, twice over at most.
+CACHE = 300_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Known(dict):
+    """Ids by chunk; what is not there comes from the older ones or is made, and is kept."""
+
+    def __init__(self, make, older):
+        self.make, self.older = make, older
+
+    def __missing__(self, chunk):
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        self[chunk] = ids
+        return ids
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, by way of the ids of their words.
 
-    The tokenizer parts text at white space and keeps none of it, so a text's ids are those of its parts between ASCII
-    spaces in turn; each distinct part goes through the tokenizer once.
+    The tokenizer parts text at white space and keeps none of it, so a text's ids are those of its chunks between ASCII
+    spaces in turn. A chunk of Latin letters is lower-cased and parted by the tokenizer's own pattern, and its parts go
+    to the tokenizer's model; any other chunk goes through the whole tokenizer. Ids of chunks and parts are kept: the
+    newest CACHE of them and those before.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.parts = regex.compile(PARTS).findall
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.known = _Known(self.chunk, {})
+        vocabulary = self.tokenizer.get_vocab()
+        self.stop = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a sentence
+        self.stop[[i for piece, i in vocabulary.items() if piece.endswith("</w>") and not piece[:-4].strip(".!?")]] = True
+
+    def part(self, word: str) -> bytes:
+        spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.model.tokenize(spelt)])
+
+    def chunk(self, chunk: bytes) -> bytes:
+        known, low = self.known, chunk.lower()
+        if low.isalpha():
+            return known[low] if low != chunk else self.part(low.decode())
+        if low[-1] in b".,;:" and low[:-1].isalpha():
+            return known[low[:-1]] + known[low[-1:]]
+        s = chunk.decode("utf-8", "replace")
+        if max(s) >= "\u0250" or "<|" in s:
+            return _packed(self.tokenizer.encode(s, add_special_tokens=False).ids)
+        return b"".join([self.part(p) if len(q := p.encode()) == len(chunk) else known[q] for p in self.parts(s.lower())])
 
     def __call__(self, texts: list[bytes | None]) -> list[tuple[bytes, np.ndarray]]:
         """(ids, token counts after each sentence end inside the text) of each text."""
-        parts = [(t or b"").split() for t in texts]
         if len(self.known) > CACHE:
-            self.known = {}
-        new = list(set().union(*parts) - self.known.keys())
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        out = []
-        for words in parts:
-            ids = list(map(get, words))
-            sizes = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-            stops = [k for k, w in enumerate(words) if w[-1] in b".!?"]
-            out.append((b"".join(ids), sizes[stops]))
+            self.known = _Known(self.chunk, dict(self.known))
+        get, out = self.known.__getitem__, []
+        for t in texts:
+            ids = b"".join(map(get, (t or b"").split()))
+            out.append((ids, np.flatnonzero(self.stop[np.frombuffer(ids, "<u4")]) + 1))
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that what it keeps serves its later tasks too."""
+    return Encoder(path)
+
+
 def places(length: int, sentences: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Where a document of `length` tokens may be cut, with penalties; its end is the last place and free."""
-    at = np.unique(sentences[(sentences > 0) & (sentences < length)])
-    bounds = np.concatenate(([0], at, [length]))
+    bounds = np.empty(len(sentences) + 2, np.int64)
+    bounds[0], bounds[1:-1], bounds[-1] = 0, sentences, length
     gaps = np.diff(bounds)
+    if gaps.min() <= 0:
+        bounds = np.concatenate(([0], np.unique(sentences[(sentences > 0) & (sentences < length)]), [length]))
+        gaps = np.diff(bounds)
+    where, cost = bounds[1:], np.full(len(bounds) - 1, SENTENCE_COST)
+    cost[-1] = 0.0
     wide = np.flatnonzero(gaps > stride)
-    inner = [np.arange(bounds[k] + stride, bounds[k + 1], stride) for k in wide]
-    where = np.concatenate([at, *inner, [length]]).astype(np.int64)
-    cost = np.concatenate([np.full(len(at), SENTENCE_COST), np.full(len(where) - len(at) - 1, INNER_COST), [0.0]])
-    order = np.argsort(where, kind="stable")
-    return where[order], cost[order]
+    if len(wide):
+        inner = np.concatenate([np.arange(bounds[k] + stride, bounds[k + 1], stride) for k in wide])
+        at = np.searchsorted(where, inner)
+        where, cost = np.insert(where, at, inner), np.insert(cost, at, INNER_COST)
+    return where, cost
 
 
 def cheapest_cuts(where: np.ndarray, cost: np.ndarray, limit: int = LIMIT, last: bool = True) -> list[int]:
     """Ends of the sequences that cover the stream up to the last place; with last=False, without the final, still open one.
 
-    where: ascending places above 0 with gaps of at most `limit`; cost: their penalties. Ties go to the longer sequence.
+    limit: a power of two. where: ascending places above 0 with gaps of at most `limit`; cost: their penalties. Ties go to the longer sequence.
     """
     spots = np.concatenate(([0], where))
-    powers = [1 << k for k in range(limit.bit_length()) if 1 << k <= limit]
-    exact: list[list[int]] = [[] for _ in range(len(spots))]
-    for p in powers:
-        k = np.searchsorted(spots, spots - p)
-        ok = np.flatnonzero((spots >= p) & (spots[np.minimum(k, len(spots) - 1)] == spots - p))
-        for j in ok.tolist():
-            exact[j].append(int(k[j]))
+    index = np.full(int(spots[-1]) + 1, -1)
+    index[spots] = np.arange(len(spots))
+    exact: dict[int, list[int]] = {}
+    for p in (p for p in POWERS if p <= limit):
+        k = np.where(spots >= p, index[np.maximum(spots - p, 0)], -1)
+        for j, i in zip(np.flatnonzero(k >= 0).tolist(), k[k >= 0].tolist()):
+            exact.setdefault(j, []).append(i)
     x, c = spots.tolist(), [0.0, *cost.tolist()]
     best, back = [0.0] * len(x), [0] * len(x)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
@@ -102,9 +153,10 @@ def cheapest_cuts(where: np.ndarray, cost: np.ndarray, limit: int = LIMIT, last:
             queue.popleft()
         key, i = queue[0]
         low = key + limit - end
-        for k in exact[j]:
-            if best[k] < low:
-                low, i = best[k], k
+        if j in exact:
+            for k in exact[j]:
+                if best[k] < low:
+                    low, i = best[k], k
         best[j] = low = low + c[j] + SEQUENCE_COST
         back[j] = i
         key = low + end
@@ -184,7 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         packer = _Packer(TaskContext.get().partitionId() << 33, limit)
         end = np.array([END], "<u4").tobytes()
         ids: dict[int, object] = {}

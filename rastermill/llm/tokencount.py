@@ -103,8 +103,9 @@ class Counter:
         if len(self.known) > CACHE:
             self.known = {}
         words = [(t or b"").split() for t in texts]
-        for w in set().union(*words) - self.known.keys():
-            self.known[w] = self.chunk(w)
+        for w in set().union(*words):
+            if w not in self.known:
+                self.known[w] = self.chunk(w)
         get = self.known.__getitem__
         return [sum(map(get, w)) for w in words], [len(w) for w in words]
 
