@@ -54,17 +54,17 @@ def _tree2(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
     best = (np.zeros_like(g), 0.0)
     for turn in (False, True):
         a, b = (g.T, h.T) if turn else (g, h)
-        k = _cut(a.sum(1), b.sum(1))[1] or a.shape[0] // 2
-        out, gain = np.zeros_like(a), -_gain(g.sum(), h.sum())
-        for rows in (slice(0, k), slice(k, None)):
-            ga, ha = a[rows].sum(0), b[rows].sum(0)
-            m = _cut(ga, ha)[1]
-            for cols in (slice(0, m), slice(m, None)):
-                s, t = ga[cols].sum(), ha[cols].sum()
-                out[rows, cols] = -s / (t + RIDGE)
-                gain += _gain(s, t)
-        if gain > best[1]:
-            best = (out.T if turn else out, float(gain))
+        for k in range(1, a.shape[0]):  # every first cut: one that gains nothing alone may gain with the second
+            out, gain = np.zeros_like(a), -_gain(g.sum(), h.sum())
+            for rows in (slice(0, k), slice(k, None)):
+                ga, ha = a[rows].sum(0), b[rows].sum(0)
+                m = _cut(ga, ha)[1]
+                for cols in (slice(0, m), slice(m, None)):
+                    s, t = ga[cols].sum(), ha[cols].sum()
+                    out[rows, cols] = -s / (t + RIDGE)
+                    gain += _gain(s, t)
+            if gain > best[1] + 1e-9:
+                best = (out.T if turn else out, float(gain))
     return best
 
 
