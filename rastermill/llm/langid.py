@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_rest, map_text
+from .common import checkpoint, crc_rest, map_text
 
 #: Slots (a power of two), slots looked up for an n-gram, documents and n-grams per language that filters are made of.
 SLOTS, PROBES, SAMPLE_DOCS, GRAMS = 1 << 20, 3, 8000, 30_000
@@ -135,14 +135,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return run
 
     counted = map_text(some, make, [T.StructField("h", T.LongType()), T.StructField("n", T.LongType())], ["__lang"], "__t", explode=True).groupBy("__lang", "h").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    counted = checkpoint(counted)
     totals = {r[0]: r[1] for r in counted.groupBy("__lang").agg(F.sum("n")).collect()}
-    weight = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(1.0 / max(n, 1)))]) if totals else F.lit(None)
-    by_gram = counted.where("docs > 1").withColumn("share", F.col("n") * F.element_at(weight, F.col("__lang"))).groupBy("h").agg(F.max("share").alias("top"), F.collect_list(F.struct("__lang", "share")).alias("of"))  # one entry for each language
-    mine = by_gram.select("h", "top", F.explode("of").alias("x")).where(F.col("x.share") >= LEAST_PART * F.col("top")).select("h", F.col("x.__lang").alias("lang"), F.col("x.share").alias("share"))
     found = {k: np.zeros(0, np.uint64) for k in sizes}
-    for lang in sizes:
-        rows = mine.where(F.col("lang") == lang).orderBy(F.desc("share"), "h").limit(most).select("h").collect()
-        found[lang] = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    if totals:
+        weight = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(1.0 / n))])
+        shares = counted.where("docs > 1").select("__lang", "h", (F.col("n") * F.element_at(weight, F.col("__lang"))).alias("share"))
+        by_gram = shares.groupBy("h").agg(F.max("share").alias("top"), F.collect_list(F.struct("__lang", "share")).alias("of"))  # one entry for each language
+        mine = checkpoint(by_gram.select("h", "top", F.explode("of").alias("x")).where(F.col("x.share") >= LEAST_PART * F.col("top")).select("h", F.col("x.__lang").alias("lang"), F.col("x.share").alias("share")))
+        for lang in totals:
+            rows = mine.where(F.col("lang") == lang).orderBy(F.desc("share"), "h").limit(most).select("h").collect()
+            found[lang] = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     return LanguageFilters.build(found, min(sizes, key=lambda k: (-sizes[k], k)))
 
 
