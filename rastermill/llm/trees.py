@@ -92,11 +92,17 @@ def forest(x: np.ndarray, y: np.ndarray, trees: int, depth: int, seed: int = 5)
     return out
 
 
-def precise_cut(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest cut at and above which at least `precision` of the rows are ones; above all scores if there is none."""
+def precise_cut(scores: np.ndarray, y: np.ndarray, precision: float, halfway: bool = False) -> float:
+    """The lowest score at and above which at least `precision` of the rows are ones; infinite if there is none.
+
+    With halfway the cut lies in the middle between that score and the next lower one.
+    """
     order = np.argsort(-scores, kind="stable")
     s, hit = scores[order], np.cumsum(y[order])
     share = hit / np.arange(1, len(s) + 1)
     last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)
     good = np.flatnonzero((share >= precision) & last)
-    return float(s[good[-1]]) if len(good) else float("inf")
+    if not len(good):
+        return float("inf")
+    k = good[-1]
+    return float((s[k] + s[k + 1]) / 2 if halfway and k + 1 < len(s) else s[k])
