@@ -154,7 +154,7 @@ def sql() -> dict[str, str]:
         "codes_roundtrip": _with("strokes", "SELECT image_id, stroke_id, channel, row, col, size, concat_ws(',', i0, i1, i2, i3) AS idx FROM strokes"),
         "rgb_to_ycbcr": _planes("299000*r+587000*g+114000*b", "128000000-168736*r-331264*g+500000*b", "128000000+500000*r-418688*g-81312*b"),
         "ycbcr_to_rgb": _planes("1000000*r+1402000*(b-128)", "1000000*r-344136*(g-128)-714136*(b-128)", "1000000*r+1772000*(g-128)"),
-        "residual_cells": _with("res", "SELECT * FROM res"),
+        "residual": _with("res", "SELECT * FROM res"),
         "start_color_mean": _with("colours", "SELECT * FROM colours"),
         "start_color_median": _with("px", "SELECT image_id, channel, CAST(FLOOR(MEDIAN(value)) AS INT) AS colour FROM px GROUP BY 1,2"),
         "channel_error": _with("errors", "SELECT * FROM errors"),
@@ -174,7 +174,7 @@ def sql() -> dict[str, str]:
         "curve_sample": _with("sizes", "SELECT s.image_id, p.sample, s.stroke_id, s.size FROM sizes s JOIN (SELECT image_id, CAST(range AS INT) AS sample, CAST(FLOOR(range*(n-1)/4) AS INT) AS at FROM (SELECT image_id, MAX(stroke_id)+1 AS n FROM sizes GROUP BY 1) CROSS JOIN range(5)) p ON s.image_id=p.image_id AND s.stroke_id=p.at"),
         "sample_origins": _with("curves", "SELECT image_id, stroke_id, CAST((image_id*7919+stroke_id*104729+7975650)%(height-size) AS INT) AS row, CAST(1+(image_id*6271+stroke_id*15485863+7975650)%(width-1) AS INT) AS col FROM (SELECT *, CAST(unnest(range(stroke_count)) AS INT) AS stroke_id FROM curves) WHERE height>size"),
         "size_accounting": _with("sizes", "SELECT image_id, header_bits, body_bits, header_bits+body_bits AS bits, original_bits, fits FROM (SELECT c.image_id, CAST(240+9*(size+1)+CASE WHEN size%2=0 THEN 32 ELSE 0 END+CASE WHEN size%3=0 THEN 20+24*height*width ELSE 0 END+CASE WHEN size%5=0 THEN 40 ELSE 0 END AS BIGINT) AS header_bits, CAST(b.bits+4*length(bin(CAST(size AS BIGINT)))*stroke_count*20000 AS BIGINT) AS body_bits, CAST(width AS BIGINT)*height*24 AS original_bits, stroke_count*20000<1048576 AND height<=1023 AND width<=1023 AS fits FROM curves c JOIN (SELECT image_id, SUM(size) AS bits FROM sizes GROUP BY 1) b ON c.image_id=b.image_id)"),
-        "nearest_code_rows": _with("res", f"SELECT image_id, channel, row, CAST({_book(_M, 'SUM(diff)', 'COUNT(*)')} AS INT) AS idx, CAST({_book(fx.BOOKS[2], 'SUM(diff)', 'COUNT(*)')} AS INT) AS tied FROM res GROUP BY 1,2,3"),
+        "nearest_code": _with("res", f"SELECT image_id, channel, row, CAST({_book(_M, 'SUM(diff)', 'COUNT(*)')} AS INT) AS idx, CAST({_book(fx.BOOKS[2], 'SUM(diff)', 'COUNT(*)')} AS INT) AS tied FROM res GROUP BY 1,2,3"),
         "codebook_uniform": _codebook(3, False),
         "codebook_stable": _codebook(2, True),
         "pack_codes": _with("parts", "SELECT image_id, b || repeat('0', CAST(pad AS INT)) AS bits, pad, overflow FROM (SELECT *, (8-length(b)%8)%8 AS pad FROM (SELECT image_id, string_agg(lpad(bin(code),3,'0'), '' ORDER BY stroke_id, part) AS b, FALSE AS overflow FROM parts GROUP BY 1))"),

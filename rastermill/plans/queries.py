@@ -21,7 +21,7 @@ QUERIES: dict = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__.rstrip("_")] = f
     return f
 
 
@@ -97,7 +97,7 @@ def ycbcr_to_rgb(spark, d):
 
 
 @query
-def residual_cells(spark, d):
+def residual_(spark, d):
     return res(spark, d)
 
 
@@ -204,7 +204,7 @@ def size_accounting(spark, d):
 
 
 @query
-def nearest_code_rows(spark, d):
+def nearest_code_(spark, d):
     rows = res(spark, d).groupBy(*KC, "row").agg(F.sum("diff").alias("total"), F.count("diff").alias("n"))
     return rows.select(*KC, "row", nearest_code(F.col("total"), F.col("n"), BOOK).cast("int").alias("idx"), nearest_code(F.col("total"), F.col("n"), fx.BOOKS[2]).cast("int").alias("tied"))
 

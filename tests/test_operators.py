@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from rastermill.functions import params
+from rastermill.functions import params, sql
 from rastermill.functions.expr import halvings, nearest_code, quadrant_code, quadrant_text
 from rastermill.operators import cells, codes, evaluate, layers, quadrant, resample, residual, schedule, strokes
 from rastermill.sources import images, storage
@@ -212,3 +212,18 @@ def test_streamed_replay_equals_the_batch_and_tells_late_strokes(spark, tmp_path
     flat = raster(spark, 16, 32, lambda *_: 0)
     batch = values(strokes.replay_strokes(flat, squares, book), "row", "col")
     assert {k: last.get(k, 0) for k in batch} == batch
+
+
+def test_sql_functions(spark):
+    assert "clip_add" in sql.register(spark)
+    got = spark.sql("SELECT clip_add(250, 20), code_bits(5), code_bits(1), nearest_code(-5, 1, array(-10, 0, 5)), pack_signed(-3, 5), pack_signed(0, 5)").first()
+    assert tuple(got) == (255, 3, 0, 0, "00011", "10000")
+
+
+def test_params_of_an_image_leave_others_alone(spark):
+    kind = "image_id long, width int, height int, rate_init int, thumbnail boolean, stroke_count int, cutoff double, softness double, progress double, size_start double, size_end double, warmup double"
+    rows = [(1, 599, 1000, 16, True, 20000, *[None] * 6), (2, 600, 600, 32, True, 20001, *[None] * 6), (3, 16, 16, 16, False, None, 0.9, None, None, None, 0.5, None)]
+    got = {r.image_id: r for r in params.auto_params(spark.createDataFrame(rows, kind)).collect()}
+    assert (got[1].downsample_rate, got[1].cutoff, got[1].warmup, got[1].size_start, got[1].size_end) == (1.0, 0.7, 0.7, 0.1, 0.03)
+    assert got[2].downsample_rate == 1.2 and got[2].cutoff != 0.7 and got[2].cycle_start == 18000
+    assert (got[3].stroke_count, got[3].cutoff, got[3].size_end_px) == (20000 + int(0.0015 * 3216**2), 0.9, 9)
