@@ -143,7 +143,24 @@ _M = fx.BOOK
 _LOSS = "MAX(CASE WHEN channel={c} THEN mse END) AS mse{c}"
 
 
+#: Types of columns that DuckDB would otherwise make wider or narrower than Spark does.
+_KINDS = {
+    "BIGINT": {"channel_error": "sum_err", "quadrant_error": "err", "quadrant_pyramid": "err", "worst_quadrant": "err", "top_k_quadrants": "err", "rank_channels": "sum_err", "summed_area": "total", "rect_stats": "total", "stroke_fit": "total", "score_candidates": "gain", "progress_curve": "bits", "encode_layers": "sse", "replay_equals_fit": "off", "param_sweep": "sse", "efficiency": "bits", "codec_compare": "a_bits b_bits", "quality_sweep": "bits", "win_rate": "wins", "stream_progress": "bits", "stream_rate": "bits"},
+    "INTEGER": {"assemble_cells": "n", "top_k_quadrants": "place", "rank_channels": "place", "pack_codes": "pad", "unpack_codes": "pos", "rect_stats": "n", "stroke_fit": "n", "stroke_schedule": "k slot", "progress_curve": "i strokes"},
+}
+
+
 def sql() -> dict[str, str]:
+    """The SQL of each query by name, with Spark's column types."""
+    out = _sql()
+    for name in out:
+        casts = [f"CAST({c} AS {kind}) AS {c}" for kind, of in _KINDS.items() for c in of.get(name, "").split()]
+        if casts:
+            out[name] = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({out[name]})"
+    return out
+
+
+def _sql() -> dict[str, str]:
     wide = ", ".join(_LOSS.format(c=c) for c in range(3))
     gains = ", ".join(f"n*{m * m}-2*{m}*total" for m in _B1)
     decoded = f"SELECT {KCELL}, canvas AS value FROM l2"
