@@ -44,7 +44,7 @@ def auto_params(images: DataFrame) -> DataFrame:
 
 
 def decay_sizes(params: DataFrame) -> DataFrame:
-    """(image_id, stroke_id, size): the brush size of each stroke, a row becoming stroke_count rows.
+    """(image_id, stroke_id, size): the size of each stroke, a row becoming stroke_count rows.
 
     params: image_id, stroke_count, start, end (cells), cutoff, softness, progress. A cutoff of 0 or less gives the end size
     throughout, 3 or more the start size, both as they are; any other size is made even.

@@ -1,6 +1,6 @@
 """Residual codes in layers of disjoint squares, coarse to fine, and their decoding.
 
-The reference order of strokes is sequential; layers of squares that don't overlap give every square its own cells, so
+Strokes that overlap must be fitted one after the other; layers of squares that don't overlap give every square its own cells, so
 that a whole layer is one aggregation. All layers run within one partitioning by image and channel: each quarter's cells are
 in one partition already, and the windows of all layers sort but never shuffle.
 """
@@ -25,10 +25,19 @@ def _step(df: DataFrame, half: int, book: list[int], name: str) -> DataFrame:
     return coded.withColumn("canvas", clip_add(F.col("canvas"), book_value(book, F.col(name))).cast("int"))
 
 
+def _paired(target: DataFrame, canvas: DataFrame) -> DataFrame:
+    """(cell, target, canvas) for cells that both have, partitioned by image and channel: each side is shuffled once.
+
+    A join on the cell would shuffle both sides by all four keys, and its rows once more for the layers.
+    """
+    none = F.lit(None).cast("int")
+    both = target.select(*CELL, F.col("value").cast("int").alias("target"), none.alias("canvas")).unionByName(canvas.select(*CELL, none.alias("target"), F.col("value").cast("int").alias("canvas")))
+    return both.repartition(*KC).groupBy(*CELL).agg(F.max("target").alias("target"), F.max("canvas").alias("canvas")).where("target IS NOT NULL AND canvas IS NOT NULL")
+
+
 def encode_cells(target: DataFrame, canvas: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
     """(cell, target, canvas, c0, c1, ...): the canvas after all layers, and each cell's code in each layer."""
-    res = residual(target, canvas).select(*CELL, "target", "canvas").repartition(*KC)
-    return reduce(lambda df, x: _step(df, max(1, x[1] // 2), book, f"c{x[0]}"), enumerate(sizes), res)
+    return reduce(lambda df, x: _step(df, max(1, x[1] // 2), book, f"c{x[0]}"), enumerate(sizes), _paired(target, canvas))
 
 
 def layer_codes(encoded: DataFrame, sizes: list[int]) -> DataFrame:
@@ -58,7 +67,7 @@ def encode_layers(target: DataFrame, canvas: DataFrame, sizes: list[int], book:
 
     All layers' errors come from the one pass that encodes them.
     """
-    res = residual(target, canvas).select(*CELL, "target", "canvas").repartition(*KC)
+    res = _paired(target, canvas)
     for k, s in enumerate(sizes):
         res = _step(res, max(1, s // 2), book, f"c{k}").withColumn(f"e{k}", (F.col("target") - F.col("canvas")).cast("long"))
     head = lambda s: (F.col("row") % max(1, s // 2) == 0) & (F.col("col") % max(1, s // 2) == 0)
@@ -68,14 +77,12 @@ def encode_layers(target: DataFrame, canvas: DataFrame, sizes: list[int], book:
 
 
 def decode_layers(canvas: DataFrame, codes: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
-    """The canvas after all layers' codes, by an equi-join on the quarter for each layer."""
-    out = canvas.select(*CELL, F.col("value").cast("int"))
-    for k, s in enumerate(sizes):
-        half = max(1, s // 2)
-        mine = codes.where(F.col("layer") == k).select(*KC, "qr", "qc", "idx")
-        placed = out.withColumns({"qr": idiv(F.col("row"), half).cast("int"), "qc": idiv(F.col("col"), half).cast("int")})
-        out = placed.join(mine, [*KC, "qr", "qc"]).select(*CELL, clip_add(F.col("value"), book_value(book, F.col("idx"))).cast("int").alias("value"))
-    return out
+    """The canvas after all layers' codes: one equi-join on (layer, quarter) for all layers, then a fold of each cell's steps."""
+    quarters = F.array(*[F.struct(F.lit(k).alias("layer"), idiv(F.col("row"), max(1, s // 2)).cast("int").alias("qr"), idiv(F.col("col"), max(1, s // 2)).cast("int").alias("qc")) for k, s in enumerate(sizes)])
+    placed = canvas.select(*CELL, F.col("value").cast("int"), F.inline(quarters))
+    steps = placed.join(codes.select(*KC, "layer", "qr", "qc", book_value(book, F.col("idx")).alias("m")), [*KC, "layer", "qr", "qc"])
+    sorted_steps = steps.groupBy(*CELL, "value").agg(F.array_sort(F.collect_list(F.struct("layer", "m"))).alias("steps"))
+    return sorted_steps.select(*CELL, F.aggregate("steps", F.col("value"), lambda a, s: clip_add(a, s["m"])).cast("int").alias("value"))
 
 
 def param_sweep(target: DataFrame, canvas: DataFrame, books: dict[int, list[int]], size: int) -> DataFrame:

@@ -16,7 +16,7 @@ def stroke_schedule(strokes: DataFrame, warmup: int, per_quadrant: int, cycle_st
     channels; the choice holds from the next stroke on. slot is the place in the channel selector.
     """
     nth = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy("stroke_id")) - 1
-    df = strokes.select("image_id", "stroke_id", "channel", nth(KC).alias("k")).withColumn("i", nth(K))
+    df = strokes.select("image_id", "stroke_id", "channel", nth(K).alias("i")).withColumn("k", nth(KC))  # in this order one shuffle serves both
     first = warmup // 3
     k, i = F.col("k"), F.col("i")
     on = k >= first
