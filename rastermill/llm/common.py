@@ -42,9 +42,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def smallest_hash(df: DataFrame, key: str, n: int) -> DataFrame:
-    """A sample of at most n rows, the same at each run: those whose key has the smallest hash."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit("sample")), F.col(key)).limit(n)
+def smallest_hash(df: DataFrame, key: str, n: int, total: int | None = None, spare: int = 4) -> DataFrame:
+    """A sample of at most n rows, the same at each run: those whose key has the smallest hash.
+
+    total: about how many rows there are. With it, only rows below spare * n / total of the hash's range are looked at, so that
+    each task sends a few rows to the driver rather than n; the sample is smaller than n only where fewer rows lie there.
+    """
+    h = F.xxhash64(F.col(key), F.lit("sample"))
+    if total and spare * n < total:
+        df = df.where(h < int(-(1 << 63) + (1 << 64) * (spare * n / total)))
+    return df.orderBy(h, F.col(key)).limit(n)
 
 
 def crc_rest(key: str, n: int):
