@@ -114,9 +114,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = checkpoint(fingerprints(docs, id_col, text_col))
     classes = held.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = connected_components(links(classes.select("fp"), bits))
-    rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(best, "root").select("fp", "component_id")
+    linked = roots.withColumnRenamed("node", "fp").join(classes, "fp")
+    best = checkpoint(linked.groupBy("root").agg(F.min("least").alias("best")))  # apart from the join below, whose large components can then be split
+    named = classes.join(linked.join(best, "root").select("fp", "best"), "fp", "left").select("fp", F.when(F.col("best").isNull(), F.col("least")).otherwise(F.col("best")).alias("component_id"))
     return held.join(named, "fp").select(id_col, "fp", "component_id")
 
 
