@@ -130,7 +130,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     the rows sets the cut: the lowest with PRECISION of the rows above it positive.
     """
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    ids = smallest_hash(base.where(F.col("__id").isNotNull() & F.expr(f"{POSSIBLE['mail']} OR {POSSIBLE['number']}")).select("__id"), "__id", sample_docs).distinct()
+    ids = smallest_hash(base.where(F.col("__id").isNotNull() & F.expr(f"{POSSIBLE['mail']} OR {POSSIBLE['number']}")).select("__id"), "__id", sample_docs, docs.count(), 64).distinct()  # one row in 64 at least has proposals, or the sample is smaller
     some = base.join(F.broadcast(ids), "__id", "left_semi")  # at most sample_docs ids
     found = _with_proposed(_with_exact(some))
     seen = f"transform(__proposed, p -> named_struct('f', p.f, 'y', double(exists({_all_exact()}, b -> p.start < b.end AND b.start < p.end))))"
