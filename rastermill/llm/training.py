@@ -21,7 +21,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, matrix: Ca
     The rows are those whose id has the smallest hash, so the sample is the same at each run. Of labels and documents
     that repeat an id, one each counts. Only feature rows come to the driver: at most `rows` of them.
     """
-    picked = smallest_hash(labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("double").alias("y")), id_col, rows).select(F.col(id_col).alias("__id"), "y")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
+    picked = smallest_hash(known.groupBy(id_col).agg(F.max(label).cast("double").alias("y")), id_col, rows, known.count()).select(F.col(id_col).alias("__id"), "y")
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).join(F.broadcast(picked), "__id")  # broadcast: at most `rows` pairs of numbers
 
     def make():
