@@ -126,7 +126,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat that id one stays. Rows with a null id cannot be told apart, and stay.
     """
     known = docs.where(F.col(id_col).isNotNull())
-    keep = near_duplicates(known, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    told = known.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
+    keep = near_duplicates(known, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep"))
+    return only_ids(docs, keep, id_col)
+
+
+def only_ids(docs: DataFrame, keep: DataFrame, id_col: str) -> DataFrame:
+    """One row of docs for each id of keep's only column, and all rows with a null id."""
+    keep = keep.toDF("__keep").distinct()
+    told = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
     once = told.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("__n = 1").drop("__n")
     return once.unionByName(docs.where(F.col(id_col).isNull()))

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rastermill.llm import entry, graph, simhash
+from rastermill.llm import entry, graph, simhash, similar
 
 
 def fingerprint(text):
@@ -99,3 +99,31 @@ def test_one_of_each(spark):
     ids = sorted((r.doc_id for r in got.collect()), key=repr)
     of = {i: c for i, _, c in expected([x for x in EDGE if x[0] is not None])}
     assert ids == sorted([*{c for c in of.values()}, None, None], key=repr)
+
+
+def similar_groups(rows):
+    """The smallest id of the group of each row, by the similarity of all pairs of sets of five-word shingles."""
+    words = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for i, w in words.items()}
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] == sets[b] or min(len(sets[a]), len(sets[b])) * 5 >= 4 * max(len(sets[a]), len(sets[b])) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return components({*sets}, near)
+
+
+def test_similar_texts_of_many_differing_bits(spark):
+    rng = random.Random(8)
+    rows = [(0, None), (1, " "), (2, "one two"), (3, "ONE two"), (4, "one three")]
+    for _ in range(12):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(40, 160))]
+        for edits in (0, 1, 1, 2, 3, 5):
+            w = base[:]
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join([*w, *["a very common line of words"] * rng.randrange(2)])))
+    rows += [(len(rows) + k, " ".join([*[f"c{j}" for j in range(60)][: 60 - k], *[f"d{k}.{j}" for j in range(k)]])) for k in range(15)]  # a chain
+    want = {*similar_groups(rows).values()}
+    assert len(want) < len({c for _, _, c in expected(rows)})
+    got = similar.one_of_each_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = similar.one_of_each_similar(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted({*similar_groups(texts).values()})
