@@ -40,12 +40,14 @@ POSSIBLE = {
     "ip": r"__text RLIKE '[0-9][.][0-9]'",
     "card": r"__text RLIKE '(?:[0-9][ -]?){13}[0-9]'",
     "phone": "instr(__text, '+') > 0",
-    "mail": r"__text RLIKE '@|[(\\[](?i:at)[)\\]]'",
+    "mail": r"__text RLIKE '@|[({\\[](?i:at)[)}\\]]|[A-Za-z0-9] (?i:at) [A-Za-z0-9-]+(?: ?[({\\[](?i:dot)[)}\\]]| (?i:dot) |[.][A-Za-z0-9])'",
     "number": r"__text RLIKE '(?:[0-9][ ()./-]{0,2}){6}[0-9]'",
 }
+_DOT = r"(?:\x20?[(\[{](?i:dot)[)\]}]\x20?|\x20(?i:dot)\x20)"
+#: Numbers here are groups, parted by spaces or slashes; _RUNS joins neighbouring ones.
 LOOSE = {
-    "mail": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]{{1,64}}+(?:\x20?@\x20?|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\x20?[(\[](?i:dot)[)\]]\x20?|\.)[A-Za-z0-9-]++)*+",
-    "number": r"(?<![0-9])\+?+\(?+[0-9](?:[\x20()./-]{0,2}+[0-9])++",
+    "mail": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]{{1,64}}+(?:\x20?@\x20?|\x20?[(\[{{](?i:at)[)\]}}]\x20?|\x20(?i:at)\x20(?=[A-Za-z0-9-]++(?:{_DOT}|\.)[A-Za-z0-9]))[A-Za-z0-9-]++(?:(?:{_DOT}|\.)[A-Za-z0-9-]++)*+",
+    "number": r"(?<![0-9])\+?+\(?+[0-9](?:[().-]{0,2}+[0-9])*+",
 }
 _LUHN = "aggregate(sequence(1, length({d})), 0, (a, i) -> a + CASE WHEN i % 2 = 1 THEN int(substring({d}, length({d}) - i + 1, 1)) WHEN int(substring({d}, length({d}) - i + 1, 1)) > 4 THEN 2 * int(substring({d}, length({d}) - i + 1, 1)) - 9 ELSE 2 * int(substring({d}, length({d}) - i + 1, 1)) END) % 10 = 0"
 _QUAD = "forall(split({t}, '[.]'), p -> length(trim(LEADING '0' FROM p)) <= 3 AND int(concat('0', substring(trim(LEADING '0' FROM p), 1, 3))) <= 255)"
@@ -57,9 +59,14 @@ VALID = {
     "phone": f"length({_D.format(t='s.t')}) BETWEEN 10 AND 15",
 }
 _SPAN = "struct<start:int,end:int,t:string,l:string,r:string>"
+_JOINED = "({b}.start - {a}.end BETWEEN 1 AND 2 AND substring({a}.r, 1, {b}.start - {a}.end) RLIKE '^[ ()./-]+$' AND NOT {b}.t LIKE '+%')"
+#: The spans from group s, at place k, over 1, 2, ... neighbouring groups; each has a digit, so that 24 groups suffice for 24 digits.
+_RUNS = f"IF(k + 1 < size(__number) AND {_JOINED.format(a='s', b='element_at(__number, k + 2)')}, aggregate(slice(__number, k + 2, 23), named_struct('last', s, 'on', true, 'out', array(s)), (a, b) -> IF(a.on AND length(a.last.t) <= 60 AND {_JOINED.format(a='a.last', b='b')}, {{longer}}, named_struct('last', a.last, 'on', false, 'out', a.out)), a -> a.out), array(s))"
+_LONGER = "named_struct('start', a.last.start, 'end', b.end, 't', concat(a.last.t, substring(a.last.r, 1, b.start - a.last.end), b.t), 'l', a.last.l, 'r', b.r)"
+_RUNS = _RUNS.replace("{longer}", f"named_struct('last', {_LONGER}, 'on', true, 'out', concat(a.out, array({_LONGER})))")
 _WORDS = {"w_phone": "tel|phone|call|fax|mobil|whatsapp", "w_card": "card|visa|credit|pay|iban|konto", "w_mail": "mail|contact|write|address", "w_host": "ip|host|server|addr", "w_number": "no|nr|ref|order|isbn|version|commit|token|id"}
 #: Numbers that the trees see of a span: counts of characters, shape, and the words before it.
-FEATURES = ["is_mail", "chars", "digits", "dots", "dashes", "spaces", "brackets", "slashes", "ats", "plus", "luhn", "quad", "left_word", "left_mark", "right_word", *_WORDS]
+FEATURES = ["is_mail", "chars", "digits", "dots", "dashes", "spaces", "brackets", "slashes", "ats", "plus", "luhn", "quad", "shape", "left_word", "left_mark", "right_word", *_WORDS]
 
 
 def _count(t: str, marks: str) -> str:
@@ -71,7 +78,7 @@ def _features(s: str, generator: str) -> str:
     t, d = f"{s}.t", _D.format(t=f"{s}.t")
     luhn = f"CASE WHEN length({t}) <= 60 AND length({d}) BETWEEN 12 AND 19 THEN double({_LUHN.format(d=d)}) ELSE 0D END"
     quad = f"CASE WHEN {t} RLIKE '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' THEN double({_QUAD.format(t=t)}) ELSE 0D END"
-    of = {"is_mail": "1D" if generator == "mail" else "0D", "chars": f"double(length({t}))", "digits": f"double(length({d}))", "dots": _count(t, "."), "dashes": _count(t, "-"), "spaces": _count(t, " "), "brackets": _count(t, "()[]"), "slashes": _count(t, "/"), "ats": _count(t, "@"), "plus": f"double({t} LIKE '+%')", "luhn": luhn, "quad": quad, "left_word": f"double({s}.l RLIKE '[A-Za-z0-9_]$')", "left_mark": f"double({s}.l RLIKE '[=:\"#/.-]$')", "right_word": f"double({s}.r RLIKE '^[A-Za-z0-9_@]')"}
+    of = {"is_mail": "1D" if generator == "mail" else "0D", "chars": f"double(length({t}))", "digits": f"double(length({d}))", "dots": _count(t, "."), "dashes": _count(t, "-"), "spaces": _count(t, " "), "brackets": _count(t, "()[]{}"), "slashes": _count(t, "/"), "ats": _count(t, "@"), "plus": f"double({t} LIKE '+%')", "luhn": luhn, "quad": quad, "shape": f"double({t} RLIKE '^(?:[(][0-9]{{3}}[)] ?|[0-9]{{3}}[ ./-])[0-9]{{3}}[ ./-][0-9]{{4}}$')", "left_word": f"double({s}.l RLIKE '[A-Za-z0-9_]$')", "left_mark": f"double({s}.l RLIKE '[=:\"#/.-]$')", "right_word": f"double({s}.r RLIKE '^[A-Za-z0-9_@]')"}
     of |= {k: f"double({s}.l RLIKE '(?i)\\\\b(?:{w})[a-z]*[^A-Za-z0-9]+$')" for k, w in _WORDS.items()}
     return "named_struct(" + ", ".join(f"'{k}', {of[k]}" for k in FEATURES) + ")"
 
@@ -97,9 +104,9 @@ def _with_exact(df: DataFrame) -> DataFrame:
 
 
 def _with_proposed(df: DataFrame) -> DataFrame:
-    """df with __proposed: spans of the loose patterns with features; numbers of seven digits at least."""
+    """df with __proposed: spans of the loose patterns with features; numbers: each group and all neighbouring groups that hold 7 to 24 digits."""
     found = _with_matches(df, LOOSE)
-    number = f"filter(__number, s -> length({_D.format(t='s.t')}) BETWEEN 7 AND 24 AND length(s.t) <= 60)"
+    number = f"filter(flatten(transform(__number, (s, k) -> {_RUNS})), s -> length({_D.format(t='s.t')}) BETWEEN 7 AND 24 AND length(s.t) <= 60)"
     of = lambda array, generator: f"transform({array}, s -> named_struct('start', s.start, 'end', s.end, 'f', {_features('s', generator)}))"
     return found.withColumn("__proposed", F.expr(f"concat({of('__mail', 'mail')}, {of(number, 'number')})")).drop("__mail", "__number")
 
@@ -114,28 +121,34 @@ class SpanModel:
     trees: list[Tree] = field(default_factory=list)
     cut: float = float("inf")
 
-    def accepts(self, f: str) -> str:
-        """SQL: whether the features in struct f score at or above the cut."""
+    def over_cut(self, f: str) -> str:
+        """SQL: how far the features in struct f score above the cut; below 0 where the model accepts nothing."""
         if not self.trees or not np.isfinite(self.cut):
-            return "false"
+            return "-1D"
         names = [f"{f}.{n}" for n in FEATURES]
-        return f"({self.start!r}D + " + " + ".join(t.sql(names) for t in self.trees) + f") >= {self.cut!r}D"
+        return f"({self.start!r}D + " + " + ".join(t.sql(names) for t in self.trees) + f") - {self.cut!r}D"
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> SpanModel:
     """Trees and cut from at most sample_docs documents that hold digits in plenty or a mail mark, those of the smallest hash of the id.
 
-    Positive: proposals that an exact finding overlaps, and exact findings respelt (a telephone number without its
-    prefix, a card number with dots, an address with its marks spelt out). Negative: all other proposals. A third of
+    Positive: proposals that an exact finding fills (parts of one are left out), and exact findings respelt (a telephone number without its
+    prefix, a card number with dots, an address with its marks spelt out). Negative: all other proposals, telephone numbers with a group
+    of a neighbouring number, and their digits in rows of equal groups. A third of
     the rows sets the cut: the lowest with PRECISION of the rows above it positive.
     """
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     ids = smallest_hash(base.where(F.col("__id").isNotNull() & F.expr(f"{POSSIBLE['mail']} OR {POSSIBLE['number']}")).select("__id"), "__id", sample_docs, docs.count(), 64).distinct()  # one row in 64 at least has proposals, or the sample is smaller
     some = base.join(F.broadcast(ids), "__id", "left_semi")  # at most sample_docs ids
     found = _with_proposed(_with_exact(some))
-    seen = f"transform(__proposed, p -> named_struct('f', p.f, 'y', double(exists({_all_exact()}, b -> p.start < b.end AND b.start < p.end))))"
-    respelt = {"phone": "regexp_replace(s.t, '^[+][0-9]+[^0-9(]*', '')", "card": "regexp_replace(regexp_replace(s.t, '[^0-9]', ''), '([0-9]{4})(?=[0-9])', '$1.')", "email": "replace(replace(s.t, '@', ' (at) '), '.', ' (dot) ')"}
-    variants = [f"transform(transform(__{k}, s -> named_struct('t', {t}, 'l', s.l, 'r', s.r)), s -> named_struct('f', {_features('s', 'mail' if k == 'email' else 'number')}, 'y', 1D))" for k, t in respelt.items()]
+    seen = f"transform(filter(__proposed, p -> NOT exists({_all_exact()}, b -> b.start <= p.start AND p.end <= b.end AND p.end - p.start < b.end - b.start)), p -> named_struct('f', p.f, 'y', double(exists({_all_exact()}, b -> p.start <= b.start AND b.end <= p.end AND p.end - p.start <= b.end - b.start + 2))))"
+    national = "regexp_replace(s.t, '^[+][0-9]+[^0-9(]*', '')"
+    plain = _D.format(t=national)
+    respelt = [("phone", national, 1), ("card", "regexp_replace(regexp_replace(s.t, '[^0-9]', ''), '([0-9]{4})(?=[0-9])', '$1.')", 1)]
+    respelt += [("phone", f"IF(length({plain}) = 10, regexp_replace({plain}, '^(...)(...)', '$1{mark}$2{mark}'), {national})", 1) for mark in ("-", " ")]
+    respelt += [("phone", f"concat({national}, ' ', regexp_extract({national}, '[(]?[0-9]+[)]?', 0))", 0), ("phone", f"concat(regexp_extract({national}, '[0-9]+$', 0), ' ', {national})", 0), *[("phone", f"trim(substring(regexp_replace(concat({plain}, {plain}, {plain}), '({group})', '$1 '), 1, {chars}))", 0) for group, chars in (("[0-9]", 13), ("[0-9]", 25), ("[0-9]", 48), ("[0-9]{2}", 20), ("[0-9]{4}", 9), ("[0-9]{4}", 16), ("[0-9]{2}[0-9]{4}", 13))]]
+    respelt += [("email", f"replace(replace(s.t, '@', '{at}'), '.', '{dot}')", 1) for at, dot in ((" (at) ", " (dot) "), (" {at} ", " {dot} "), (" at ", " dot "))]
+    variants = [f"transform(transform(__{k}, s -> named_struct('t', {t}, 'l', s.l, 'r', s.r)), s -> named_struct('f', {_features('s', 'mail' if k == 'email' else 'number')}, 'y', {y}D))" for k, t, y in respelt]
     rows = found.select("__id", F.posexplode(F.expr(f"concat({seen}, {', '.join(variants)})")).alias("at", "x")).orderBy(F.xxhash64("__id", "at", F.lit("span")), "__id", "at").limit(sample_spans).select("x.y", *[f"x.f.{n}" for n in FEATURES]).collect()
     if not rows:
         return SpanModel()
@@ -151,15 +164,17 @@ def with_spans(docs: DataFrame, model: SpanModel, text_col: str = "text") -> Dat
     """docs with __exact and __spans: arrays of (start, kind, end), ascending; kind is a place in KINDS.
 
     Proposals that the model accepts are added where no exact span overlaps them; of accepted proposals that overlap
-    each other the first stays, the longest of those that start together.
+    each other the best score goes first, then the first, then the longest, and what overlaps none taken yet is taken.
     """
     columns = docs.columns
     df = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     df = _with_exact(df).withColumn("__exact", F.array_sort(F.expr(_all_exact()))).drop(*[f"__{k}" for k in KINDS])
     df = _with_proposed(df)
     kind = "CASE WHEN p.f.is_mail = 1 THEN 0 WHEN p.f.quad = 1 THEN 1 WHEN p.f.luhn = 1 AND p.f.digits >= 14 THEN 2 ELSE 3 END"
-    df = df.withColumn("__new", F.expr(f"transform(filter(__proposed, p -> {model.accepts('p.f')} AND NOT exists(__exact, b -> p.start < b.end AND b.start < p.end)), p -> named_struct('start', p.start, 'kind', {kind}, 'end', p.end))"))
-    df = df.withColumn("__new", F.expr("filter(__new, p -> NOT exists(__new, q -> p.start < q.end AND q.start < p.end AND (q.start < p.start OR q.start = p.start AND (q.end > p.end OR q.end = p.end AND q.kind < p.kind))))"))
+    scored = f"transform(__proposed, p -> named_struct('under', -({model.over_cut('p.f')}), 'start', p.start, 'longest', -p.end, 'kind', {kind}, 'end', p.end))"
+    df = df.withColumn("__new", F.expr(f"array_sort(filter({scored}, p -> p.under <= 0 AND NOT exists(__exact, b -> p.start < b.end AND b.start < p.end)))"))
+    span = "struct<start:int,kind:int,end:int>"
+    df = df.withColumn("__new", F.expr(f"aggregate(__new, CAST(array() AS array<{span}>), (a, p) -> IF(exists(a, q -> p.start < q.end AND q.start < p.end), a, concat(a, array(named_struct('start', p.start, 'kind', p.kind, 'end', p.end)))))"))
     return df.withColumn("__spans", F.array_sort(F.array_distinct(F.concat("__exact", "__new")))).select(*[F.col(f"`{c}`") for c in columns], "__text", "__exact", "__spans")
 
 

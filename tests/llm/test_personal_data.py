@@ -83,3 +83,13 @@ def test_no_python_on_the_main_path(spark, model):
     df = spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string")
     plan = pii.personal_data(df, model, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_several_numbers_on_a_line_and_spelt_out_marks(spark, model):
+    row = "tel 743-555-3824 743-555-9876 743-555-2223"
+    texts = [row, "(743) 555-3824 (743) 555-9876 (743) 555-2223", "write to bob at example dot com today", "write to bob {at} example {dot} com today", "1 " * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = [r.text for r in pii.redact(df, model).orderBy("doc_id").collect()]
+    for t in got[:2]:
+        assert not re.search("[0-9]{4}", t), t
+    assert got[2] == got[3] == "write to [EMAIL] today" and got[4] == texts[4]
