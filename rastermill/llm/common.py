@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,9 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources import storage
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Text handled at once inside a task.
 SLICE_BYTES = 4 << 20
+#: Most rows of a few numbers that a join sends to all executors.
+MOST_SENT = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may fall back to a temporary one."""
+    """The folder that driver and executors share, which is then Spark's checkpoint folder too."""
     sc = spark.sparkContext
-    held = sc.getCheckpointDir()
-    where = spark.conf.get("spark.checkpoint.dir", None) or held
-    if not where:
-        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="rastermill-")
-    if not held:
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or storage.shared_dir(spark)
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where
 
@@ -42,15 +40,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that Spark wrote, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def by_position(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, ..., so that no name clashes with a working column or needs quoting; new names of `columns`."""
+    names = df.columns
+    return df.toDF(*[f"c{k}" for k in range(len(names))]), [f"c{names.index(c)}" for c in columns]
+
+
+def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df, which has been checkpointed, marked for broadcast where it has at most `most` rows; beyond that its joins shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def smallest_hash(df: DataFrame, key: str, n: int, total: int | None = None, spare: int = 4) -> DataFrame:
     """A sample of at most n rows, the same at each run: those whose key has the smallest hash.
 
-    total: about how many rows there are. With it, only rows below spare * n / total of the hash's range are looked at, so that
-    each task sends a few rows to the driver rather than n; the sample is smaller than n only where fewer rows lie there.
+    total: how many rows there may be. With it, rows below a bound on the hash are looked at first, so that each task sends
+    a few rows to the driver rather than n; the bound is raised until n rows lie below it, so the sample does not depend on it.
     """
     h = F.xxhash64(F.col(key), F.lit("sample"))
-    if total and spare * n < total:
-        df = df.where(h < int(-(1 << 63) + (1 << 64) * (spare * n / total)))
+    share = spare * n / total if total else 1.0
+    while share < 1:
+        got = checkpoint(df.where(h < int(-(1 << 63) + (1 << 64) * share)).orderBy(h, F.col(key)).limit(n))
+        if got.count() == n:
+            return got
+        share *= 32
     return df.orderBy(h, F.col(key)).limit(n)
 
 

@@ -13,18 +13,18 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpoint, map_text
 from .graph import connected_components
+from .shingles import fingerprint, hashes
+from .similar import one_of_each_similar
 
-BITS = 4
+BITS, WIDTH = 4, 4
 #: Postings longer than this are split by a fourth byte.
 LONG_POSTING = 128
-_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
 def covering_triples() -> list[tuple[int, int, int]]:
@@ -39,29 +39,11 @@ def covering_triples() -> list[tuple[int, int, int]]:
 TRIPLES = covering_triples()
 
 
-def simhash(text: bytes | None, width: int = 4, block: int = 1 << 15) -> int:
-    """The fingerprint: a bit is 1 if it is set in over half the hashes of the shingles; 0 for a text with no words."""
-    words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return 0
-    width = min(width, len(words))
-    joined = b" ".join(words)
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], stops[:-1] + 1))[: len(words) - width + 1].tolist()
-    stops = stops[width - 1 :].tolist()
-    h, n = xxhash.xxh64_intdigest, len(starts)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, n, block):
-        hashes = np.array([h(joined[s:e], 42) for s, e in zip(starts[at : at + block], stops[at : at + block])], ">u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(id_col, fp) for each row, fp being the fingerprint's 64 bits as a long. Null and wordless texts: 0."""
 
     def make():
-        return lambda texts: [np.array([simhash(t) for t in texts], np.uint64).view(np.int64)]
+        return lambda texts: [np.array([fingerprint(hashes(t, width)) for t in texts], np.uint64).view(np.int64)]
 
     return map_text(docs, make, [T.StructField("fp", T.LongType())], [id_col], text_col)
 
@@ -92,15 +74,17 @@ def links(fps: DataFrame, bits: int = BITS, long_posting: int = LONG_POSTING) ->
     rest = F.element_at(outside, (F.shiftright("key", 24) + 1).cast("int"))
     fourth = F.transform(rest, lambda j: j.cast("long") * 256 + F.element_at(F.array(*[_byte(fp, k) for k in range(8)]), j + 1))
     split = postings.join(long, "key", "left").select("fp", "key", F.explode(F.when(F.col("long"), fourth).otherwise(F.array(F.lit(-1).cast("long")))).alias("more"))
-    one = split.select(F.col("fp").alias("a"), "key", "more")
-    two = split.select(F.col("fp").alias("b"), F.col("key").alias("key2"), F.col("more").alias("more2"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
+    split = split.select("fp", "key", "more")
+    one, two = split.alias("one"), split.alias("two")  # the same columns on both sides, so that the postings are shuffled once
+    a, b = F.col("one.fp"), F.col("two.fp")
+    differ = a.bitwiseXOR(b)
     shared = sum((F.when(_byte(differ, j) == 0, 1 << j).otherwise(0) for j in range(8)), F.lit(0))
     first, extra = _lookups()
     at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), shared + 1)
     enough = F.bit_count(shared) >= 8 - bits
-    once = (at(first) == F.shiftright("key", 24)) & ((F.col("more") < 0) | (at(extra) == F.shiftright("more", 8)))
-    return one.join(two, (F.col("key") == F.col("key2")) & (F.col("more") == F.col("more2")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits) & enough & once).select("a", "b")
+    once = (at(first) == F.shiftright("one.key", 24)) & ((F.col("one.more") < 0) | (at(extra) == F.shiftright("one.more", 8)))
+    met = (F.col("one.key") == F.col("two.key")) & (F.col("one.more") == F.col("two.more")) & (a < b)
+    return one.join(two, met & enough & (F.bit_count(differ) <= bits) & once).select(a.alias("a"), b.alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -120,19 +104,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return held.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that stay when one row of each component does: that of the smallest id.
+def near_candidates(classes: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (a, b) of keys of classes (key, n, fp) that the index finds: each class with the least of its fingerprint, and those of linked fingerprints."""
+    worded = classes.where("n > 0")
+    of = checkpoint(worded.groupBy("fp").agg(F.min("key").alias("a")))
+    same = worded.join(of, "fp").where("key <> a").select("a", F.col("key").alias("b"))
+    pairs = links(of.select("fp"), bits).toDF("fa", "fb")
+    linked = pairs.join(of.toDF("fa", "x"), "fa").join(of.toDF("fb", "y"), "fb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(linked)
 
-    Of rows that repeat that id one stays. Rows with a null id cannot be told apart, and stay.
-    """
-    known = docs.where(F.col(id_col).isNotNull())
-    keep = near_duplicates(known, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep"))
-    return only_ids(docs, keep, id_col)
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that stay when one row of each group of near copies does (five-word shingles, similarity 0.8 or more).
 
-def only_ids(docs: DataFrame, keep: DataFrame, id_col: str) -> DataFrame:
-    """One row of docs for each id of keep's only column, and all rows with a null id."""
-    keep = keep.toDF("__keep").distinct()
-    told = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    once = told.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("__n = 1").drop("__n")
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    Fingerprints within BITS bits are candidates, found by the index. As most pairs of similarity 0.8 lie beyond any number of
+    bits that shared bytes can promise, the pairs of the exact prefix join of `similar` are candidates besides, so that no link
+    is lost. All candidates are verified by their whole sets. What stays, and all edge cases, as of similar.one_of_each_similar.
+    """
+    return one_of_each_similar(docs, id_col, text_col, near_candidates)

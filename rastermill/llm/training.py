@@ -18,8 +18,8 @@ SAMPLE_ROWS = 6000
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str, matrix: Callable[[list], np.ndarray], rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, X, y) for at most `rows` rows of labels with a non-null id and label whose document is there, by id.
 
-    The rows are those whose id has the smallest hash, so the sample is the same at each run. Of labels and documents
-    that repeat an id, one each counts. Only feature rows come to the driver: at most `rows` of them.
+    The rows are those whose id has the smallest hash, so the sample is the same at each run. Of labels that repeat an id
+    the largest counts, of documents that do the least row of features. At most `rows` feature rows come to the driver.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
     picked = smallest_hash(known.groupBy(id_col).agg(F.max(label).cast("double").alias("y")), id_col, rows, known.count()).select(F.col(id_col).alias("__id"), "y")
@@ -28,7 +28,6 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, matrix: Ca
     def make():
         return lambda batch: [list(matrix(batch))]
 
-    got = map_text(texts, make, [T.StructField("x", T.ArrayType(T.DoubleType()))], ["__id", "y"], "__t").limit(4 * rows).collect()
-    once = {r["__id"]: r for r in sorted(got, key=lambda r: (r["__id"], r["x"]), reverse=True)}
-    kept = [once[k] for k in sorted(once)]
+    got = map_text(texts, make, [T.StructField("x", T.ArrayType(T.DoubleType()))], ["__id", "y"], "__t").groupBy("__id", "y").agg(F.min("x").alias("x"))
+    kept = sorted(got.collect(), key=lambda r: r["__id"])
     return np.array([r["__id"] for r in kept]), np.array([r["x"] for r in kept], float), np.array([r["y"] for r in kept], float)

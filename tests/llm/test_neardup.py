@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rastermill.llm import entry, graph, simhash, similar
+from rastermill.llm import entry, graph, shingles, similar, simhash
 
 
 def fingerprint(text):
@@ -92,17 +92,8 @@ def test_edge_cases(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_one_of_each(spark):
-    df = spark.createDataFrame(EDGE, "doc_id long, text string").withColumn("component_id", F.lit("kept"))
-    got = simhash.one_of_each(df)
-    assert got.columns == df.columns
-    ids = sorted((r.doc_id for r in got.collect()), key=repr)
-    of = {i: c for i, _, c in expected([x for x in EDGE if x[0] is not None])}
-    assert ids == sorted([*{c for c in of.values()}, None, None], key=repr)
-
-
 def similar_groups(rows):
-    """The smallest id of the group of each row, by the similarity of all pairs of sets of five-word shingles."""
+    """The smallest id of the group of each row, by the similarity of all pairs of sets of five-word shingles; ids differ."""
     words = {i: (t or "").lower().split() for i, t in rows}
     sets = {i: {" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for i, w in words.items()}
     near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] == sets[b] or min(len(sets[a]), len(sets[b])) * 5 >= 4 * max(len(sets[a]), len(sets[b])) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
@@ -122,8 +113,46 @@ def test_similar_texts_of_many_differing_bits(spark):
     rows += [(len(rows) + k, " ".join([*[f"c{j}" for j in range(60)][: 60 - k], *[f"d{k}.{j}" for j in range(k)]])) for k in range(15)]  # a chain
     want = {*similar_groups(rows).values()}
     assert len(want) < len({c for _, _, c in expected(rows)})
-    got = similar.one_of_each_similar(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for way in (simhash.one_of_each, similar.one_of_each_similar):
+        assert sorted(r.doc_id for r in way(df).collect()) == sorted(want)
     texts = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    got = similar.one_of_each_similar(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = simhash.one_of_each(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert sorted(r.doc_id for r in got.collect()) == sorted({*similar_groups(texts).values()})
+
+
+CLASHES = ["id", "th", "key", "n", "fp", "first", "c0", "c1", "__n", "__keep", "nth", "said", "meta.lang", "a b", "least", "rows"]
+
+
+def test_one_row_of_each_group(spark, monkeypatch):
+    long = " ".join(f"w{i % 977}" for i in range(40000))
+    rows = [
+        (5, None, "z"), (4, "", "z"), (3, " \n\t", "z"), (2, "one two", "z"), (2, "ONE two", "y"), (9, "ONE two", "z"), (None, "one two", "z"), (None, "one two", "z"), (1, long, "z"), (8, long + " end", "z"),
+        (7, "éÉ  x a b c", "z"), (6, "a b c d e f g h", "q"), (6, "a b c d e f g h", "p"), (6, "wholly other words under the same id", "z"), (11, "wholly other words under the same id", "z"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    df = df.select("doc_id", "text", "note", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    got = simhash.one_of_each(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    kept = sorted(((r.doc_id, (r.text or "")[:12], r.note) for r in got.collect()), key=repr)
+    two = min((2, "one two", "z"), (2, "ONE two", "y"), key=lambda r: spark.range(1).select(F.xxhash64(F.lit(r[1]))).first()[0])
+    six = next(r for r in kept if r[0] == 6 and r[1].startswith("a b"))
+    assert kept == sorted([(3, " \n\t", "z"), two, (None, "one two", "z"), (None, "one two", "z"), (1, long[:12], "z"), (7, "éÉ  x a b c", "z"), six, (6, "wholly other", "z")], key=repr)
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+    # joins that shuffle give the same rows
+    monkeypatch.setattr("rastermill.llm.common.sent_if_small.__defaults__", (1,))
+    assert sorted(((r.doc_id, (r.text or "")[:12], r.note) for r in simhash.one_of_each(df).collect()), key=repr) == kept
+
+
+def test_fingerprint_of_the_definition():
+    for t in [None, "", "a", "a b c d e f g a b c d", "É é x Y", LONG]:
+        assert shingles.fingerprint(shingles.hashes(t.encode() if t else None, 4)) == fingerprint(t)
+
+
+def test_postings_are_shuffled_once(spark):
+    df = spark.createDataFrame([(k * 7919,) for k in range(100)], "fp long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = simhash.links(df)
+    got.collect()
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
