@@ -93,3 +93,32 @@ def test_several_numbers_on_a_line_and_spelt_out_marks(spark, model):
     for t in got[:2]:
         assert not re.search("[0-9]{4}", t), t
     assert got[2] == got[3] == "write to [EMAIL] today" and got[4] == texts[4]
+
+
+def test_very_many_matches_in_one_text(spark, model):
+    n = 8000
+    texts = [" ".join(f"a{k}@b.cd" for k in range(n)), "\n".join(f"10.{k % 200}.{k // 200}.7" for k in range(n)), " ".join(str(1000000 + k * 7) for k in range(n)), "; ".join(f"+1 (743) 555-{k:04d}" for k in range(n)), "\n".join(["4111 1111 1111 1111"] * n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(pii.personal_data(df, model, ["doc_id"]).collect(), dict(enumerate(texts)))
+    got = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
+    assert got[0] == " ".join(["[EMAIL]"] * n) and got[1] == "\n".join(["[IP]"] * n) and got[3] == "; ".join(["[PHONE]"] * n) and got[4] == "\n".join(["[CARD]"] * n)
+
+
+def test_spans_do_not_overlap_added_ones(spark, model):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in pii.personal_data(rows, model, ["doc_id", "text"]).collect():
+        exact_ones = {*exact(r.text)[1].split(",")} - {""}
+        spans = [(int(s.split(":")[1]), int(s.split(":")[2])) for s in r.spans.split(",") if s]
+        for s in {*r.spans.split(",")} - {""} - exact_ones:
+            a, b = map(int, s.split(":")[1:])
+            assert sum(x < b and a < y for x, y in spans) == 1
+
+
+def test_any_column_name(spark, model):
+    names = ["__email", "__text", "__spans", "__exact", "__proposed", "__new", "__redacted", "__source", "meta.lang", "c0", "c1", "a b"]
+    df = spark.createDataFrame([(1, "x a@b.cd"), (None, None)], "doc_id long, text string").select("doc_id", "text", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    got = pii.redact(df, model)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "x [EMAIL]", *range(len(names))), (None, None, *range(len(names)))], key=repr)
+    got = pii.personal_data(df, model, ["doc_id", *names])
+    assert got.columns[: len(names) + 1] == ["doc_id", *names] and got.where("n_email = 1").count() == 1
