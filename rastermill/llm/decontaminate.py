@@ -10,15 +10,19 @@ and every document meets every block.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import ROOT, by_position, map_text
 
 WINDOW = 10
 #: Most words of items in one automaton.
@@ -36,7 +40,10 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; state 0 is the root."""
+    """Suffix automaton of several word sequences; state 0 is the root, and no edge leads to it.
+
+    Once built it is flat: edges as ascending numbers (state * width + word) with their targets, names as slices of one array.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
@@ -50,9 +57,10 @@ class Automaton:
                 last = self._extend(last, c)
         self.shortest = min((min(len(s), window) for _, s in ids), default=0)
         n = len(self.link)
-        self.names: list[set[str]] = [set() for _ in range(n)]
-        self.whole: list[list[tuple[int, str]]] = [[] for _ in range(n)]  # items shorter than a window that end here
-        for name, seq in ids:
+        names: list[set[int]] = [set() for _ in range(n)]
+        self.items = [name for name, _ in ids]
+        self.whole: dict[int, list[tuple[int, str]]] = {}  # items shorter than a window, by the state that they end in
+        for at, (name, seq) in enumerate(ids):
             s, size = 0, 0
             for c in seq:
                 s, size = self.next[s][c], size + 1
@@ -60,17 +68,30 @@ class Automaton:
                     s = self.link[s]
                     size = self.length[s]
                 if size >= window:
-                    self.names[s].add(name)
+                    names[s].add(at)
             if len(seq) < window:
                 s = 0
                 for c in seq:
                     s = self.next[s][c]
-                self.whole[s].append((len(seq), name))
-        self.at_window, self.short = [-1] * n, [False] * n
+                self.whole.setdefault(s, []).append((len(seq), name))
+        self.at_window, self.short = array("i", [-1]) * n, bytearray(n)
         for s in sorted(range(1, n), key=self.length.__getitem__):
             up = self.link[s]
             self.at_window[s] = self.at_window[up] if self.length[up] >= window else s if self.length[s] >= window else -1
-            self.short[s] = bool(self.whole[s]) or self.short[up]
+            self.short[s] = s in self.whole or self.short[up]
+        self.width = len(self.vocabulary) + 1
+        edges = sorted((s * self.width + c, t) for s, out in enumerate(self.next) for c, t in out.items())
+        self.edges, self.targets = array("q", [e for e, _ in edges]), array("i", [t for _, t in edges])
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        self.first_name = array("i", [0, *np.cumsum([len(x) for x in names]).tolist()])
+        self.name = array("i", [k for x in names for k in sorted(x)])
+        del self.next
+
+    def step(self, s: int, c: int) -> int:
+        """The state after word c in state s, 0 for none."""
+        e = s * self.width + c
+        at = bisect_left(self.edges, e)
+        return self.targets[at] if at < len(self.edges) and self.edges[at] == e else 0
 
     def _state(self, length: int, link: int, out: dict[int, int]) -> int:
         self.next.append(out)
@@ -117,23 +138,26 @@ class Automaton:
             return
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-        window, link, length, step = self.window, self.link, self.length, self.next
+        window, link, length, step = self.window, self.link, self.length, self.step
         for a, b in self.stretches(ids):
             s = size = 0
             for i, c in enumerate(ids[a:b].tolist(), a + 1):
-                while s and c not in step[s]:
+                t = step(s, c)
+                while s and not t:
                     s = link[s]
                     size = length[s]
-                s = step[s].get(c, 0)
+                    t = step(s, c)
+                s = t
                 size = size + 1 if s else 0
                 if size >= window:
                     hits[i - window] += 1
                     hits[i] -= 1
-                    found |= self.names[self.at_window[s]]
+                    w = self.at_window[s]
+                    found.update(self.items[k] for k in self.name[self.first_name[w] : self.first_name[w + 1]])
                 if s and self.short[s]:
                     t = s
                     while t > 0:
-                        for n, name in self.whole[t]:
+                        for n, name in self.whole.get(t, ()):
                             if n <= size:
                                 hits[i - n] += 1
                                 hits[i] -= 1
@@ -142,22 +166,23 @@ class Automaton:
 
 
 def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcast automata of the items, a block of about block_words words each. Rows of items with no words are left out.
+    """Broadcast automata of the items, a block of about block_words words each. Items with no words are in none.
 
-    The items pass through the driver a row at a time, so that it holds one block and its automaton; each executor keeps
-    what the blocks need: about a hundred bytes a word of the benchmark.
+    Items are dealt to blocks by hash, and a task builds each block's automaton, with about a thousand bytes a word meanwhile.
+    The driver takes the finished ones one by one. Each Python worker holds all of them, at about 130 bytes a word of the
+    benchmark: benchmarks are small beside the corpus, but one of ten million words needs 1.3 GB in each.
     """
-    sc, out, block, held = items.sparkSession.sparkContext, [], [], 0
-    rows = items.select(F.col(id_col).cast("string"), F.col(text_col).cast("string").cast("binary")).toLocalIterator()
-    for name, text in rows:
-        words = words_of(bytes(text) if text is not None else None)
-        if words:
-            block.append(("" if name is None else name, words))
-            held += len(words)
-        if held >= block_words:
-            out.append(sc.broadcast(Automaton(block, window)))
-            block, held = [], 0
-    return [*out, sc.broadcast(Automaton(block, window))] if block else out
+    sc = items.sparkSession.sparkContext
+    sc.environment.setdefault("PYTHONPATH", ROOT)
+    own = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).cast("string").alias("said")).where("said is not null")
+    total = own.agg(F.sum(F.size(F.split("said", r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")))).first()[0] or 0
+
+    def build(block: pd.DataFrame) -> pd.DataFrame:
+        made = Automaton([(name, words_of(said.encode("utf-8", "surrogatepass"))) for name, said in sorted(zip(block["name"], block["said"]))], window)
+        return pd.DataFrame({"made": [pickle.dumps(made)] if made.shortest else []})
+
+    dealt = own.groupBy(F.pmod(F.xxhash64("name", "said"), F.lit(-(-total // block_words) or 1)).alias("block"))
+    return [sc.broadcast(pickle.loads(r[0])) for r in dealt.applyInPandas(build, "made binary").toLocalIterator()]
 
 
 def _hits(text: bytes | None, blocks: list[Automaton]) -> tuple[list[bytes], np.ndarray, set[str]]:
@@ -172,8 +197,8 @@ def contamination(docs: DataFrame, blocks: list, keep: list[str], text_col: str
     """Columns keep with n_words, n_hit, n_items, items_sha256 and contaminated.
 
     Null and wordless texts have no words and no hits; items_sha256 is then that of the empty text. An item_id that
-    repeats counts once, a null one as the empty string. Texts are read whole, row by row; columns of keep that have
-    the name of a result are replaced.
+    repeats counts once, a null one as the empty string. Texts are read whole, row by row, so repeated rows get equal
+    results; an empty table gives an empty one; columns of keep that have the name of a result are replaced.
     """
 
     def make():
@@ -220,8 +245,8 @@ def clean(text: bytes, blocks: list[Automaton], most_covered: float = MOST_COVER
 def decontaminate(docs: DataFrame, blocks: list, text_col: str = "text", chars_col: str | None = "n_chars", most_covered: float = MOST_COVERED) -> DataFrame:
     """docs without hit spans: rows that are hit in more than most_covered of their words go, others lose their spans.
 
-    All columns stay; chars_col, where docs has it, is counted anew for changed texts. Rows that are not hit stay as they are,
-    null texts among them.
+    All columns stay, whatever their names; chars_col, where docs has it, is counted anew for changed texts. Rows that are not
+    hit stay as they are, null texts among them; repeated rows fare alike, and an empty table stays empty.
     """
 
     def make():
@@ -233,9 +258,10 @@ def decontaminate(docs: DataFrame, blocks: list, text_col: str = "text", chars_c
 
         return run
 
-    got = map_text(docs, make, [T.StructField("__new", T.StringType()), T.StructField("__gone", T.BooleanType())], docs.columns, text_col).where("not __gone")
-    changed = F.col("__new").isNotNull()
-    put = {text_col: F.coalesce(F.col("__new"), F.col(text_col))}
+    own, (text,) = by_position(docs, text_col)
+    got = map_text(own, make, [T.StructField("new", T.StringType()), T.StructField("gone", T.BooleanType())], own.columns, text).where("not gone")
+    put = {text: F.coalesce("new", text)}
     if chars_col in docs.columns:
-        put[chars_col] = F.when(changed, F.length("__new").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return got.withColumns(put).select(*docs.columns)
+        chars = f"c{docs.columns.index(chars_col)}"
+        put[chars] = F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars))
+    return got.withColumns(put).select(*own.columns).toDF(*docs.columns)
