@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def classify(docs: DataFrame, model: Gam, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns keep with score (0 to 1) and predicted (1 if score >= 0.5, else 0).
 
-    A null text counts as empty and is scored as such. The whole text counts, and nothing but the text, so repeated rows
+    A null text counts as empty and is scored as such; an empty table gives an empty one. The whole text counts, and nothing but the text, so repeated rows
     get equal scores; columns of keep named score or predicted are replaced.
     """
 

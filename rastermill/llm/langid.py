@@ -8,11 +8,12 @@ mistake, and the largest corrected share decides.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +23,10 @@ from .common import checkpoint, crc_rest, map_text
 SLOTS, PROBES, SAMPLE_DOCS, GRAMS = 1 << 20, 3, 8000, 30_000
 #: An n-gram belongs to a language if its share of that language's n-grams is so large a part of its largest share.
 LEAST_PART = 0.05
+#: An n-gram that only one sampled document holds belongs to no language of so many sampled documents or more.
+FEW_DOCS = 50
+#: Characters handled at once.
+BLOCK = 1 << 17
 UNKNOWN = "und"
 
 
@@ -39,17 +44,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams, with the text that each is from: for each letter of a word, in lower case, the letter with
-    its neighbours, and with the two before it and the one after; a word's edge counts as one more letter."""
-    parts = [(t or b"").decode("utf-8", "replace").lower().encode("utf-32-le") for t in texts]
-    edge = "\n\n\n".encode("utf-32-le")
-    points = np.frombuffer(edge + edge.join(parts) + edge, np.uint32)
-    sizes = np.array([len(p) // 4 + 3 for p in parts], np.int64)
+def _grams(pieces: list[tuple[int, str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of the pieces' own letters, and their texts; a piece: (text, characters, first own one, own ones)."""
+    edge = "\n\n\n"
+    points = np.frombuffer((edge + edge.join(p[1] for p in pieces) + edge).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = 3 + np.cumsum([0, *[len(p[1]) + 3 for p in pieces[:-1]]])
+    own = np.zeros(len(points), bool)
+    for at, (_, _, lead, n) in zip(starts.tolist(), pieces):
+        own[at + lead : at + lead + n] = True
     letter = _letters()[np.minimum(points, 0x10FFFF)]
     p = np.where(letter, points, 0).astype(np.uint64)
-    at = np.flatnonzero(letter)
-    owner = np.searchsorted(np.cumsum(sizes) + 1, at, "right")
+    at = np.flatnonzero(letter & own)
+    owner = np.array([q[0] for q in pieces], np.int64)[np.searchsorted(starts, at, "right") - 1]
     p0, p1, p2 = p[at - 1], p[at], p[at + 1]
     before = np.where(p0 > 0, p[at - 2], 0)
     with np.errstate(over="ignore"):
@@ -58,6 +64,41 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((_mix(three), _mix(four))), np.concatenate((owner, owner))
 
 
+def gram_blocks(texts: list[bytes | None], block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of all n-grams, with the text that each is from, for about `block` characters at a time.
+
+    The n-grams: for each letter of a word, in lower case, the letter with its neighbours, and with the two before it and the
+    one after; a word's edge counts as one more letter. A text longer than a block comes in several, which overlap by
+    those neighbours, so that each n-gram comes once.
+    """
+    held, size = [], 0
+    for r, t in enumerate(texts):
+        s = (t or b"").decode("utf-8", "replace").lower()
+        for a in range(0, len(s), block):
+            held.append((r, s[max(a - 2, 0) : a + block + 1], min(a, 2), min(block, len(s) - a)))
+            size += len(held[-1][1])
+            if size >= block:
+                yield _grams(held)
+                held, size = [], 0
+    if held:
+        yield _grams(held)
+
+
+def gram_counts(texts: list[bytes | None], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, count) of the distinct n-grams of each text, by text and hash."""
+    owners, hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for blocks in (gram_blocks(texts, block), None):  # within blocks, then over those that a text had several of
+        for h, owner, n in ((h, o, np.ones(len(h), np.int64)) for h, o in blocks) if blocks else [(np.concatenate(hashes), np.concatenate(owners), np.concatenate(counts))]:
+            order = np.lexsort((h, owner))
+            h, owner, n = h[order], owner[order], n[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else np.zeros(0, int)
+            merged = owner[new], h[new], np.add.reduceat(n, new) if len(new) else n
+            owners.append(merged[0])
+            hashes.append(merged[1])
+            counts.append(merged[2])
+    return merged
+
+
 @dataclass
 class LanguageFilters:
     langs: list[str]
@@ -85,20 +126,20 @@ class LanguageFilters:
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         n, m = len(texts), len(self.langs)
-        h, owner = grams(texts)
-        total = np.bincount(owner, minlength=n)[:n]
-        counts = np.zeros((n, m))
-        places = self.slots(h)
-        for q, plane in enumerate(self.planes):
-            mask = plane[places[0]]
-            for s in places[1:]:
-                mask &= plane[s]
-            for k in range(64 * q, min(64 * q + 64, m)):
-                counts[:, k] = np.bincount(owner, ((mask >> np.uint64(k % 64)) & np.uint64(1)).astype(float), n)[:n]
+        total, counts = np.zeros(n), np.zeros((n, m))
+        for h, owner in gram_blocks(texts):
+            total += np.bincount(owner, minlength=n)
+            places = self.slots(h)
+            for q, plane in enumerate(self.planes):
+                mask = plane[places[0]]
+                for s in places[1:]:
+                    mask &= plane[s]
+                for k in range(64 * q, min(64 * q + 64, m)):
+                    counts[:, k] += np.bincount(owner, ((mask >> np.uint64(k % 64)) & np.uint64(1)).astype(float), n)
         share = counts / np.maximum(total, 1)[:, None]
         share = np.clip((share - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1) if m else share
         best = np.where(share.max(axis=1) > 0, share.argmax(axis=1), self.common) if m else np.zeros(n, int)
-        sure = share.max(axis=1) / np.maximum(share.sum(axis=1), 1e-12) if m else np.zeros(n)
+        sure = share.max(axis=1) ** 2 / np.maximum(share.sum(axis=1), 1e-12) if m else np.zeros(n)
         return [self.langs[b] if t and m else UNKNOWN for b, t in zip(best, total)], [float(s) if t else 0.0 for s, t in zip(sure, total)]
 
 
@@ -107,11 +148,13 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(crc_rest(id_col, 4) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS, most: int = GRAMS) -> LanguageFilters:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS, most: int = GRAMS, few: int = FEW_DOCS) -> LanguageFilters:
     """Filters from at most `sample` documents for each language, with a non-null language and not held out.
 
     The documents of a language are those whose id has the smallest hash. Their n-grams are counted by Spark; of each
-    language at most `most` come to the driver, the most frequent ones first, hash order on ties.
+    language at most `most` come to the driver, the most frequent ones first, hash order on ties; rarer ones are in no
+    filter, which lowers all shares of a text alike. N-grams of a single document are left out where a language has `few`
+    sampled documents or more, and kept for languages of fewer. The driver holds a row for each language.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__t"))
     open_ = own.where(F.col("__lang").isNotNull() & F.col("__t").isNotNull() & ~held_out("__id"))
@@ -125,12 +168,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def make():
         def run(texts):
-            h, owner = grams(texts)
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else np.zeros(0, int)
-            n = np.diff(np.append(new, len(h)))
-            return owner[new], [h[new].view(np.int64), n]
+            owner, h, n = gram_counts(texts)
+            return owner, [h.view(np.int64), n]
 
         return run
 
@@ -140,20 +179,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found = {k: np.zeros(0, np.uint64) for k in sizes}
     if totals:
         weight = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(1.0 / n))])
-        shares = counted.where("docs > 1").select("__lang", "h", (F.col("n") * F.element_at(weight, F.col("__lang"))).alias("share"))
+        several = [k for k, n in sizes.items() if min(n, sample) >= few]
+        shares = counted.where((F.col("docs") > 1) | ~F.col("__lang").isin(several)).select("__lang", "h", (F.col("n") * F.element_at(weight, F.col("__lang"))).alias("share"))
         by_gram = shares.groupBy("h").agg(F.max("share").alias("top"), F.collect_list(F.struct("__lang", "share")).alias("of"))  # one entry for each language
         mine = checkpoint(by_gram.select("h", "top", F.explode("of").alias("x")).where(F.col("x.share") >= LEAST_PART * F.col("top")).select("h", F.col("x.__lang").alias("lang"), F.col("x.share").alias("share")))
+        best = Window.partitionBy("lang").orderBy(F.desc("share"), "h")
+        kept = mine.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select("lang", "h").collect()
         for lang in totals:
-            rows = mine.where(F.col("lang") == lang).orderBy(F.desc("share"), "h").limit(most).select("h").collect()
-            found[lang] = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+            found[lang] = np.array([r[1] for r in kept if r[0] == lang], np.int64).view(np.uint64)
     return LanguageFilters.build(found, min(sizes, key=lambda k: (-sizes[k], k)))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns keep with lang_pred and score (0 to 1: the language's part of all corrected shares).
+    """Columns keep with lang_pred and score (0 to 1: the share of the text's n-grams that the language
+    has, times its part of all languages' shares).
 
     A null text and one with no letter give `und` and 0; a text whose n-grams no language has gives the most frequent
-    language and 0; ties go to the first language by name. Whole texts count, row by row; columns of keep that have the
+    language and 0; ties go to the first language by name. Whole texts count, row by row, a block of characters at a time;
+    an empty table gives an empty one, repeated rows get equal results; columns of keep that have the
     name of a result are replaced.
     """
 

@@ -122,7 +122,7 @@ def test_language_edge_cases(spark):
 
 
 def test_more_languages_than_bits_in_a_word():
-    grams = {f"l{k:03d}": langid.grams([bytes([97 + k % 26, 97 + k // 26, 97 + (k * 7) % 26]) * 2])[0] for k in range(130)}
+    grams = {f"l{k:03d}": langid.gram_counts([bytes([97 + k % 26, 97 + k // 26, 97 + (k * 7) % 26]) * 2])[1] for k in range(130)}
     filters = langid.LanguageFilters.build(grams, None)
     assert len(filters.planes) == 3
     for k in (0, 63, 64, 129):
@@ -131,4 +131,86 @@ def test_more_languages_than_bits_in_a_word():
 
 @pytest.mark.parametrize("text", ["ab", "été x", "a-b"])
 def test_as_many_grams_as_letters_twice(text):
-    assert len(langid.grams([text.encode()])[0]) == 2 * sum(c.isalpha() for c in text)
+    assert langid.gram_counts([text.encode()])[2].sum() == 2 * sum(c.isalpha() for c in text)
+
+
+def test_blocks_change_no_count():
+    texts = ["Été à la plage, ΟΔΟΣ x " * 7, None, "ab", "", "z" * 40, "\U0001f600 ünï"]
+    raw = [t.encode() if t is not None else None for t in texts]
+    whole = langid.gram_counts(raw)
+    brute = {}
+    for r, t in enumerate(texts):
+        s = (t or "").lower()
+        for k, c in enumerate(s):
+            if c.isalpha():
+                near = [s[j] if 0 <= j < len(s) and s[j].isalpha() else "" for j in (k - 2, k - 1, k, k + 1)]
+                near[0] = near[0] if near[1] else ""
+                for g in (tuple(near[1:]), tuple(near)):
+                    brute[r, g] = brute.get((r, g), 0) + 1
+    assert sorted(whole[2].tolist()) == sorted(brute.values()) and np.bincount(whole[0]).tolist() == np.bincount([r for r, _ in brute]).tolist()
+    for block in (1, 2, 3, 10, 64):
+        assert all((a == b).all() for a, b in zip(whole, langid.gram_counts(raw, block)))
+
+
+def test_a_language_of_one_document(spark):
+    finnish = "tämä on lyhyt suomenkielinen teksti joka kertoo metsästä ja järvestä"
+    docs = [(i, f"the cat number {i} sat on the mat and looked at the {'dog bird fish'.split()[i % 3]}", "en") for i in range(200)]
+    open_id = next(i for i in range(1000, 1010) if zlib.crc32(str(i).encode()) % 4 != 2)
+    filters = langid.fit(spark.createDataFrame([*docs, (open_id, finnish, "fi")], "doc_id long, text string, lang string"))
+    langs, scores = filters.predict([finnish.encode(), "kertoo järvestä".encode(), b"the cat looked at the dog", "żółw źdźbło".encode()])
+    assert langs[:3] == ["fi", "fi", "en"] and min(scores[:3]) > 0.5 and scores[3] < 0.2
+
+
+def test_few_good_rows_make_a_forest(spark):
+    docs = spark.createDataFrame([(i, "good words here " * 20 + str(i) if i < 7 else "$$$ ||| ###" * (i % 4 + 1)) for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 7).cast("int").alias("quality"))
+    assert isolation.fit(docs, labels) is not None
+    assert isolation.fit(docs, labels.where("quality = 0")) is None
+
+
+def test_repeated_ids_and_samples(spark):
+    from rastermill.llm import common, training
+
+    docs = spark.createDataFrame([(i % 5, f"text {i} " * (i % 7 + 1)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 3, "doc_id long, quality int")
+    matrix = lambda texts: textstats.feature_matrix(texts)[1]
+    a, b = (training.labelled_features(d, labels, "quality", matrix) for d in (docs, docs.repartition(7)))
+    assert a[0].tolist() == [0, 1, 2, 3, 4] and (a[1] == b[1]).all() and a[2].tolist() == [0, 1, 0, 1, 0]
+    rows = spark.range(1_000_000)
+    rare = rows.where("id % 5000 = 0").select("id")
+    got = common.smallest_hash(rare, "id", 150, 1_000_000, 64)
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in common.smallest_hash(rare, "id", 150).collect()) and got.count() == 150
+
+
+def trees_by_hand(model, x):
+    """The mean path of each row, one step at a time."""
+    out = []
+    for row in x:
+        paths = []
+        for at in model.roots:
+            while model.feature[at] >= 0:
+                at = model.left[at] + (0 if row[model.feature[at]] < model.value[at] else 1)
+            paths.append(model.path[at])
+        out.append(2.0 ** (-np.mean(paths) / float(isolation.mean_path(isolation.POINTS))))
+    return np.array(out)
+
+
+def test_verdicts_by_walking_each_tree(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    forest = isolation.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = isolation.quality_rules(docs, forest, ["doc_id"]).collect()
+    want = trees_by_hand(forest, textstats.feature_matrix([(texts[r.doc_id] or "").encode() for r in rows])[1])
+    assert np.allclose([r.anomaly for r in rows], want) and [r.kept for r in rows] == [not r.base_failed and w < forest.threshold for r, w in zip(rows, want)]
+
+
+def test_scores_by_adding_table_entries(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = gam.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in gam.classify(docs, model, ["doc_id"]).collect():
+        x = textstats.measure((texts[r.doc_id] or "").encode())[1]
+        logit = model.start + sum(t[sum(c <= v for c in e)] for e, t, v in zip(model.edges, model.tables, x))
+        low = [sum(c <= v for c in e) for e, v in zip(model.coarse, x)]
+        logit += sum(t[low[i], low[j]] for (i, j), t in zip(model.pairs, model.pair_tables))
+        assert abs(r.score - 1 / (1 + np.exp(-logit))) < 1e-9
