@@ -34,8 +34,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path; source, language and id stand for directories and file."""
-    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    """Documents have no path; source, language and id stand for directories and file. None is named as a licence file, so none inherits."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", part("source"), part("lang"), part("doc_id")))
     return licenses.scan(docs, licenses.standard_templates(spark))
 
 
