@@ -21,8 +21,8 @@ def clip_add(value: Column, mult: Column) -> Column:
 
 
 def idiv(a: Column, b) -> Column:
-    """Whole quotient of numbers that are not negative."""
-    return F.floor(a / (F.lit(b) if isinstance(b, int) else b))
+    """Whole quotient of whole numbers that are not negative, exact whatever their size."""
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
 
 
 def nearest_code(total: Column, count: Column, book: list[int]) -> Column:

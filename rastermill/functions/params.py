@@ -47,9 +47,9 @@ def decay_sizes(params: DataFrame) -> DataFrame:
     """(image_id, stroke_id, size): the size of each stroke, a row becoming stroke_count rows.
 
     params: image_id, stroke_count, start, end (cells), cutoff, softness, progress. A cutoff of 0 or less gives the end size
-    throughout, 3 or more the start size, both as they are; any other size is made even.
+    throughout, 3 or more the start size, both as they are; any other size is made even. The last three count to four places.
     """
-    n, s, e, cut, soft, prog = (F.col(c) for c in ("stroke_count", "start", "end", "cutoff", "softness", "progress"))
+    n, s, e, cut, soft, prog = *(F.col(c) for c in ("stroke_count", "start", "end")), *(F.round(F.col(c), 4) for c in ("cutoff", "softness", "progress"))
     df = params.select("*", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("stroke_id"))
     i = F.col("stroke_id")
     x = F.when(n > 1, i * n / (n - 1)).otherwise(F.lit(0.0))

@@ -19,7 +19,7 @@ def codebook(res: DataFrame, bits: int, mode: str = "Stable_Uniform", seed: int
     ends = res.groupBy(*KC).agg(F.min("diff").alias("lo"), F.max("diff").alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")
     every = F.sequence(lo, hi - 1)
-    spread = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor((lo * (n - 1) + i * (hi - lo)) / F.lit(n - 1)).cast("int"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor((lo * (n - 1) + i * (hi - lo)) / F.lit(n - 1)).cast("int")) if bits else F.array(lo)
     if mode == "Random":
         full = F.array_sort(F.transform(F.slice(F.array_sort(F.transform(every, lambda v: F.struct(F.xxhash64(v, *KC, F.lit(seed)).alias("h"), v.alias("v")))), 1, n), lambda x: x["v"]))
     elif mode == "Uniform":
@@ -61,8 +61,13 @@ def unpack_codes(packed: DataFrame, keys: list[str], width: int, signed: bool =
 
 
 def encode_float(c: Column, decimals: int = 4) -> Column:
-    """A number as the truncated whole number of its `decimals` places."""
-    return F.floor(c * 10**decimals).cast("long")
+    """A number as the whole number of its `decimals` places, truncated towards zero."""
+    return (c * 10**decimals).cast("long")
+
+
+def decode_float(c: Column, decimals: int = 4) -> Column:
+    """The number that encode_float made a whole number of, to its `decimals` places."""
+    return c.cast("double") / 10**decimals
 
 
 def code_histogram(codes: DataFrame, code: str, width: int) -> DataFrame:

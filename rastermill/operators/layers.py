@@ -1,43 +1,52 @@
 """Residual codes in layers of disjoint squares, coarse to fine, and their decoding.
 
 Strokes that overlap must be fitted one after the other; layers of squares that don't overlap give every square its own cells, so
-that a whole layer is one aggregation. All layers run within one partitioning by image and channel: each quarter's cells are
-in one partition already, and the windows of all layers sort but never shuffle.
+that a whole layer is one aggregation. All layers run within one partitioning by image, channel and the smallest tile that the
+quarters of all layers nest in: each quarter's cells are in one partition already, the windows of all layers sort but never
+shuffle, and one large raster spans many tasks.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import CELL, KC, K, book_value, clip_add, code_bits, idiv, nearest_code
-from .residual import residual
+from ..functions.expr import CELL, KC, K, book_value, clip_add, code_bits, idiv, nearest_code, quadrant_code
+from .quadrant import channel_selector, quadrant_error, worst_quadrant
+from .residual import channel_error, residual
 
 
 def _step(df: DataFrame, half: int, book: list[int], name: str) -> DataFrame:
     """df (cell, target, canvas) with the code of each cell's quarter under `name`, and the canvas moved by it."""
-    quarter = Window.partitionBy(*KC, idiv(F.col("row"), half), idiv(F.col("col"), half))
+    quarter = Window.partitionBy(*KC, "tr", "tc", idiv(F.col("row"), half), idiv(F.col("col"), half))
     diff = (F.col("target") - F.col("canvas")).cast("long")
     coded = df.withColumns({"__s": F.sum(diff).over(quarter), "__n": F.count(diff).over(quarter)})
     coded = coded.withColumn(name, nearest_code(F.col("__s"), F.col("__n"), book).cast("int")).drop("__s", "__n")
     return coded.withColumn("canvas", clip_add(F.col("canvas"), book_value(book, F.col(name))).cast("int"))
 
 
-def _paired(target: DataFrame, canvas: DataFrame) -> DataFrame:
-    """(cell, target, canvas) for cells that both have, partitioned by image and channel: each side is shuffled once.
+def _tile(sizes: list[int]) -> int:
+    """Side of the smallest tile that the quarters of all sizes nest in."""
+    return math.lcm(*[max(1, s // 2) for s in sizes])
+
+
+def _paired(target: DataFrame, canvas: DataFrame, tile: int) -> DataFrame:
+    """(cell, target, canvas, tr, tc) for cells that both have, partitioned by image, channel and tile (tr, tc): each side is shuffled once.
 
     A join on the cell would shuffle both sides by all four keys, and its rows once more for the layers.
     """
     none = F.lit(None).cast("int")
     both = target.select(*CELL, F.col("value").cast("int").alias("target"), none.alias("canvas")).unionByName(canvas.select(*CELL, none.alias("target"), F.col("value").cast("int").alias("canvas")))
-    return both.repartition(*KC).groupBy(*CELL).agg(F.max("target").alias("target"), F.max("canvas").alias("canvas")).where("target IS NOT NULL AND canvas IS NOT NULL")
+    both = both.withColumns({"tr": idiv(F.col("row"), tile), "tc": idiv(F.col("col"), tile)}).repartition(*KC, "tr", "tc")
+    return both.groupBy(*CELL, "tr", "tc").agg(F.max("target").alias("target"), F.max("canvas").alias("canvas")).where("target IS NOT NULL AND canvas IS NOT NULL")
 
 
 def encode_cells(target: DataFrame, canvas: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
     """(cell, target, canvas, c0, c1, ...): the canvas after all layers, and each cell's code in each layer."""
-    return reduce(lambda df, x: _step(df, max(1, x[1] // 2), book, f"c{x[0]}"), enumerate(sizes), _paired(target, canvas))
+    return reduce(lambda df, x: _step(df, max(1, x[1] // 2), book, f"c{x[0]}"), enumerate(sizes), _paired(target, canvas, _tile(sizes))).drop("tr", "tc")
 
 
 def layer_codes(encoded: DataFrame, sizes: list[int]) -> DataFrame:
@@ -67,7 +76,7 @@ def encode_layers(target: DataFrame, canvas: DataFrame, sizes: list[int], book:
 
     All layers' errors come from the one pass that encodes them.
     """
-    res = _paired(target, canvas)
+    res = _paired(target, canvas, _tile(sizes))
     for k, s in enumerate(sizes):
         res = _step(res, max(1, s // 2), book, f"c{k}").withColumn(f"e{k}", (F.col("target") - F.col("canvas")).cast("long"))
     head = lambda s: (F.col("row") % max(1, s // 2) == 0) & (F.col("col") % max(1, s // 2) == 0)
@@ -85,6 +94,33 @@ def decode_layers(canvas: DataFrame, codes: DataFrame, sizes: list[int], book: l
     return sorted_steps.select(*CELL, F.aggregate("steps", F.col("value"), lambda a, s: clip_add(a, s["m"])).cast("int").alias("value"))
 
 
+def encode_selected(target: DataFrame, canvas: DataFrame, size: int, book: list[int], h: int, w: int, depth: int, strategy: str = "Strict") -> DataFrame:
+    """(image_id, codes, bits, sse) of one layer that moves only the worst region of each selected channel.
+
+    Regions are those of `depth` halvings, channels those of channel_selector; a channel costs its region's `depth` bits
+    and three channel numbers of two bits an image, each quarter in the region its code. sse is over all cells of the raster.
+    """
+    half = max(1, size // 2)
+    res = residual(target, canvas)
+    chosen = channel_selector(channel_error(res), strategy).select("image_id", F.explode(F.array_distinct("selector")).alias("channel"))
+    worst = worst_quadrant(quadrant_error(res, h, w, depth)).join(chosen, KC).select(*KC, "code")
+    placed = res.select(*CELL, "target", "canvas", "diff", quadrant_code(F.col("row"), F.col("col"), h, w, depth).alias("code"))
+    inside = placed.join(worst.withColumn("moves", F.lit(True)), [*KC, "code"], "left")
+    part = [*KC, "code", "moves", idiv(F.col("row"), half).alias("qr"), idiv(F.col("col"), half).alias("qc")]
+    quarters = inside.groupBy(*part).agg(F.sum("diff").alias("s"), F.count("diff").alias("n"), F.collect_list(F.struct("target", "canvas")).alias("cells"))
+    moved = quarters.select(*KC, "moves", "cells", F.when(F.col("moves"), book_value(book, nearest_code(F.col("s"), F.col("n"), book).cast("int"))).otherwise(0).alias("m"))
+    left = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.pow(c["target"] - clip_add(c["canvas"], F.col("m")), F.lit(2)).cast("long"))
+    by_channel = moved.groupBy(*KC).agg(F.count("moves").alias("codes"), F.sum(left).alias("sse"))
+    bits = F.sum(F.col("codes") * code_bits(len(book)) + F.when(F.col("codes") > 0, depth).otherwise(0)) + 6
+    return by_channel.groupBy(*K).agg(F.sum("codes").alias("codes"), bits.alias("bits"), F.sum("sse").alias("sse"))
+
+
+def config_sweep(target: DataFrame, canvas: DataFrame, configs: list[tuple[int, int, list[int]]]) -> DataFrame:
+    """(image_id, config_id, codes, bits, sse) of one layer under each (config_id, size, book): one pass for each size, all its books in it."""
+    by_size = {size: {k: book for k, s, book in configs if s == size} for _, size, _ in configs}
+    return reduce(DataFrame.unionByName, [param_sweep(target, canvas, books, size).withColumnRenamed("book_id", "config_id") for size, books in by_size.items()])
+
+
 def param_sweep(target: DataFrame, canvas: DataFrame, books: dict[int, list[int]], size: int) -> DataFrame:
     """(image_id, book_id, codes, bits, sse) of one layer under each codebook; the rasters are paired and partitioned once."""
     half = max(1, size // 2)

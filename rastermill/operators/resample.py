@@ -16,7 +16,7 @@ ONE = 1 << 16
 def downsample_box(cells: DataFrame, h: int, w: int, n_h: int, n_w: int) -> DataFrame:
     """Floored means over the cells that fall into each of n_h x n_w boxes."""
     box = cells.groupBy(*KC, idiv(F.col("row") * n_h, h).cast("int").alias("r"), idiv(F.col("col") * n_w, w).cast("int").alias("c"))
-    return box.agg(F.floor(F.sum("value") / F.count("value")).cast("int").alias("value")).select(*KC, F.col("r").alias("row"), F.col("c").alias("col"), "value")
+    return box.agg(idiv(F.sum("value"), F.count("value")).cast("int").alias("value")).select(*KC, F.col("r").alias("row"), F.col("c").alias("col"), "value")
 
 
 def upsample_nearest(cells: DataFrame, n_h: int, n_w: int, h: int, w: int) -> DataFrame:
@@ -66,4 +66,4 @@ def resample(cells: DataFrame, h: int, w: int, n_h: int, n_w: int, kernel: str =
     table = lambda size, new: F.broadcast(spark.createDataFrame(weights(size, new, kernel), "i int, o int, weight long"))  # noqa: E731  bounded by the axes, not by the data
     across = cells.join(table(w, n_w), F.col("col") == F.col("i")).groupBy(*KC, "row", F.col("o").alias("c")).agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
     down = across.join(table(h, n_h), F.col("row") == F.col("i")).groupBy(*KC, F.col("o").alias("r"), "c").agg(F.sum(F.col("s") * F.col("weight")).alias("s"))
-    return down.select(*KC, F.col("r").alias("row"), F.col("c").alias("col"), clip(F.floor((F.col("s") + (ONE * ONE // 2)) / F.lit(ONE * ONE))).cast("int").alias("value"))
+    return down.select(*KC, F.col("r").alias("row"), F.col("c").alias("col"), clip(idiv(F.greatest(F.lit(0), F.col("s") + (ONE * ONE // 2)), ONE * ONE)).cast("int").alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import CELL, KC, K
+from ..functions.expr import CELL, KC, K, idiv
 
 
 def residual(target: DataFrame, canvas: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def start_color(cells: DataFrame, mode: str = "Average", ycbcr: bool = False, cu
         return cells.select(*KC).distinct().withColumn("colour", F.element_at(F.array(*[F.lit(c) for c in colour]), F.col("channel") + 1))
     if mode == "Random":
         return cells.select(*KC).distinct().withColumn("colour", F.pmod(F.xxhash64(*KC, F.lit(seed)), F.lit(256)).cast("int"))
-    return groups.agg(F.floor(F.sum("value") / F.count("value")).cast("int").alias("colour"))
+    return groups.agg(idiv(F.sum("value"), F.count("value")).cast("int").alias("colour"))
 
 
 def channel_error(res: DataFrame) -> DataFrame:
@@ -40,13 +40,13 @@ def channel_error(res: DataFrame) -> DataFrame:
 
 
 def _mse() -> Column:
-    return F.floor(F.sum(F.col("diff").cast("long") * F.col("diff")) / F.count("diff"))
+    return idiv(F.sum(F.col("diff").cast("long") * F.col("diff")), F.count("diff"))
 
 
 def channel_mse(res: DataFrame) -> DataFrame:
     """(image_id, mse0, mse1, mse2, avg_mse): truncated means of squares; the average is of the truncated values, truncated."""
     mse = res.groupBy(*KC).agg(_mse().alias("mse"))
-    wide = mse.groupBy(*K).agg(*[F.max(F.when(F.col("channel") == c, F.col("mse"))).alias(f"mse{c}") for c in range(3)], F.floor(F.sum("mse") / F.count("mse")).alias("avg_mse"))
+    wide = mse.groupBy(*K).agg(*[F.max(F.when(F.col("channel") == c, F.col("mse"))).alias(f"mse{c}") for c in range(3)], idiv(F.sum("mse"), F.count("mse")).alias("avg_mse"))
     return wide
 
 

@@ -50,9 +50,12 @@ def footprint(strokes: DataFrame, cells: DataFrame, tile: int = TILE) -> DataFra
 
 
 def summed_area(cells: DataFrame, value: str = "value") -> DataFrame:
-    """(cell, total): sums over all cells up to and with each, by row and then by column."""
+    """(cell, total): sums over all cells up to and with each, by row and then by column.
+
+    The windows are single rows and columns, so that one large raster spans many tasks, for a second shuffle.
+    """
     along = lambda by, order: Window.partitionBy(*KC, by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cells.repartition(*KC).select(*CELL, F.sum(value).over(along("row", "col")).alias("part"))
+    rows = cells.select(*CELL, F.sum(value).over(along("row", "col")).alias("part"))
     return rows.select(*CELL, F.sum("part").over(along("col", "row")).alias("total"))
 
 

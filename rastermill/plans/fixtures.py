@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 H, W = 24, 32
 BOOK = [-10, 0, 5, 20]
+#: (config_id, size of squares, codebook).
+CONFIGS = [(0, 8, [-20, 0, 20]), (1, 4, [-20, 0, 20]), (2, 4, [-40, -10, 0, 10, 40]), (3, 2, [-20, 0, 20])]
 BOOKS = {0: BOOK, 1: [-40, -10, 0, 10, 40], 2: [5, 0, -5, 0]}
 
 PX_LI = f"""
@@ -57,7 +59,7 @@ FROM {t:customer}"""
 #: Curve parameters of each customer: short curves, all branches.
 CURVES = """
 SELECT c_custkey AS image_id, CAST(1 + (c_custkey*31) % 40 AS INT) AS stroke_count, CAST(6 + c_custkey % 25 AS INT) AS start, CAST(2 + c_custkey % 3 AS INT) AS end_,
-       CAST(c_custkey % 8 AS DOUBLE) * 0.5 AS cutoff, CAST(c_custkey % 3 AS DOUBLE) * 0.5 AS softness, CAST(c_custkey % 5 AS DOUBLE) * 0.25 AS progress,
+       CAST(c_custkey % 8 AS DOUBLE) * 0.5 + CAST(CASE WHEN c_custkey % 7 = 3 THEN 0.123456 ELSE 0 END AS DOUBLE) AS cutoff, CAST(c_custkey % 3 AS DOUBLE) * 0.5 AS softness, CAST(c_custkey % 5 AS DOUBLE) * 0.25 + CAST(CASE WHEN c_custkey % 11 = 3 THEN 0.012345 ELSE 0 END AS DOUBLE) AS progress,
        CAST(20 + (c_custkey*7919) % 500 AS INT) AS height, CAST(20 + (c_custkey*104729) % 700 AS INT) AS width, CAST(1 + c_custkey % 19 AS INT) AS size
 FROM {t:customer}"""
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators.resample import ONE, weights
 from . import fixtures as fx
 
+ONE = 65536
+
 _duck = lambda sql: fx.render(sql, "duck")
 H, W = fx.H, fx.W
 KCELL = "image_id, channel, row, col"
@@ -56,7 +57,24 @@ _CTE |= _layer(0, "res", 4, _B1) | _layer(1, "l0", 2, _B1) | _layer(2, "l1", 1,
 for _b, _entries in fx.BOOKS.items():
     _CTE |= {x.replace("q0", f"bq{_b}").replace("l0", f"bl{_b}"): y.replace("q0", f"bq{_b}").replace("l0", f"bl{_b}") for x, y in _layer(0, "res", 2, _entries).items()}
 
+_CTE["thumb"] = f"SELECT image_id, channel, CAST(row*6//{H} AS INT) AS row, CAST(col*8//{W} AS INT) AS col, CAST(SUM(value)//COUNT(*) AS INT) AS value FROM px GROUP BY image_id, channel, row*6//{H}, col*8//{W}"
+_CTE["tres"] = f"SELECT p.image_id, p.channel, p.row, p.col, p.value AS target, t.value AS canvas FROM px p JOIN thumb t ON p.image_id=t.image_id AND p.channel=t.channel AND p.row*6//{H}=t.row AND p.col*8//{W}=t.col"
+_TREE = {}
+for _k, _half in enumerate((4, 2, 1)):
+    _TREE |= {x.replace("q", "tq").replace("l", "tl"): y.replace(f"JOIN q{_k} ", f"JOIN tq{_k} ") for x, y in _layer(_k, "tres" if not _k else f"tl{_k - 1}", _half, _B1).items()}
+_CTE |= _TREE
+for _c, _size, _entries in fx.CONFIGS:
+    _CTE |= {x.replace("q0", f"cq{_c}").replace("l0", f"cl{_c}"): y.replace("q0", f"cq{_c}").replace("l0", f"cl{_c}") for x, y in _layer(0, "res", _size // 2, _entries).items()}
+#: The worst of four regions of the worst channel of each image, and the layer of squares of 4 in it.
+_CTE["worst1"] = "SELECT image_id, channel FROM errors QUALIFY ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY sum_err DESC, channel)=1"
+_CTE["quad2"] = f"SELECT *, CASE WHEN row>={H // 2} THEN 2 ELSE 0 END + CASE WHEN col>={W // 2} THEN 1 ELSE 0 END AS code FROM res"
+_CTE["worst2"] = "SELECT q.image_id, q.channel, q.code FROM (SELECT image_id, channel, code, SUM(err) AS err FROM quad2 GROUP BY 1,2,3) q JOIN worst1 w ON q.image_id=w.image_id AND q.channel=w.channel QUALIFY ROW_NUMBER() OVER (PARTITION BY q.image_id ORDER BY q.err DESC, q.code)=1"
+_CTE["sel"] = "SELECT q.* FROM quad2 q JOIN worst2 w ON q.image_id=w.image_id AND q.channel=w.channel AND q.code=w.code"
+_CTE |= {x.replace("q0", "sq").replace("l0", "sl"): y.replace("q0", "sq").replace("l0", "sl") for x, y in _layer(0, "sel", 2, _B1).items()}
+
 _NEEDS = {
+    "thumb": ["px"], "tres": ["px", "thumb"], "tq0": ["tres"], "tl0": ["tq0"], "tq1": ["tl0"], "tl1": ["tq1"], "tq2": ["tl1"], "tl2": ["tq2"], "worst1": ["errors"], "quad2": ["res"], "worst2": ["worst1", "quad2"], "sel": ["worst2", "quad2"], "sq": ["sel"], "sl": ["sq"],
+    **{f"cq{c}": ["res"] for c, _, _ in fx.CONFIGS}, **{f"cl{c}": [f"cq{c}"] for c, _, _ in fx.CONFIGS},
     "colours": ["px"], "canvas": ["colours"], "res": ["colours"], "errors": ["res"], "quad4": ["res"], "qerr": ["quad4"], "fp": ["strokes", "px"], "sched0": ["strokes"], "sched": ["sched0"], "parts": ["strokes"], "sat": ["px"],
     "fitstats": ["fp", "res"], "runs": ["runs0"], "sweep": ["runs"], "pairs": ["runs"], "q0": ["res"], "l0": ["q0"], "q1": ["l0"], "l1": ["q1"], "q2": ["l1"], "l2": ["q2"], **{f"bq{b}": ["res"] for b in fx.BOOKS}, **{f"bl{b}": [f"bq{b}"] for b in fx.BOOKS},
 }
@@ -82,8 +100,28 @@ def _planes(*planes: str) -> str:
     return _with("px", "").rstrip() + f", w AS ({wide}) {each}"
 
 
-def _weights(size: int, new: int) -> str:
-    return "(VALUES " + ", ".join(f"({i},{o},{v})" for i, o, v in weights(size, new)) + ") AS t(i, o, weight)"
+_PI = "PI()"
+_KERNELS = {  # of x, with how far they reach
+    "bilinear": ("GREATEST(0.0::DOUBLE, 1-ABS(x))", 1),
+    "bicubic": ("CASE WHEN ABS(x)<1 THEN (1.5::DOUBLE*ABS(x)-2.5::DOUBLE)*x*x+1 WHEN ABS(x)<2 THEN ((-0.5::DOUBLE*ABS(x)+2.5::DOUBLE)*ABS(x)-4)*ABS(x)+2 ELSE 0 END", 2),
+    "lanczos": (f"CASE WHEN x=0 THEN 1 WHEN ABS(x)<3 THEN SIN({_PI}*x)/({_PI}*x)*SIN({_PI}*x/3)/({_PI}*x/3) ELSE 0 END", 3),
+}
+
+
+def _weights(size: int, new: int, kernel: str) -> str:
+    """A table (i, o, weight): taps of each output, edges held, normed to ONE, what rounding leaves on the largest tap."""
+    f, reach = _KERNELS[kernel]
+    scale = f"GREATEST(1.0::DOUBLE, {size}::DOUBLE/{new})"
+    outs = f"SELECT CAST(range AS INT) AS o, (range+0.5::DOUBLE)*{size}/{new}-0.5::DOUBLE AS centre FROM range({new})"
+    taps = f"SELECT o, GREATEST(0, LEAST({size - 1}, j)) AS i, (j-centre)/{scale} AS x FROM (SELECT o, centre, unnest(range(CAST(FLOOR(centre-{reach}*{scale}) AS INT), CAST(CEIL(centre+{reach}*{scale}) AS INT)+1)) AS j FROM ({outs}))"
+    normed = f"SELECT o, i, CAST(FLOOR(v/SUM(v) OVER (PARTITION BY o)*{ONE}+0.5::DOUBLE) AS BIGINT) AS u FROM (SELECT o, i, SUM({f}) AS v FROM ({taps}) GROUP BY 1,2)"
+    return f"(SELECT CAST(i AS INT) AS i, o, u+CASE WHEN ROW_NUMBER() OVER (PARTITION BY o ORDER BY u DESC, i)=1 THEN {ONE}-SUM(u) OVER (PARTITION BY o) ELSE 0 END AS weight FROM ({normed}) WHERE u<>0) AS t"
+
+
+def _resampled(source: str, h: int, w: int, n_h: int, n_w: int, kernel: str) -> str:
+    across = f"SELECT image_id, channel, row, o AS c, SUM(value*weight) AS s FROM {source} JOIN {_weights(w, n_w, kernel)} ON col=i GROUP BY 1,2,3,4"
+    down = f"SELECT image_id, channel, o AS r, c, SUM(s*weight) AS s FROM ({across}) JOIN {_weights(h, n_h, kernel)} ON row=i GROUP BY 1,2,3,4"
+    return f"SELECT image_id, channel, r AS row, c AS col, CAST(GREATEST(0, LEAST(255, (GREATEST(0, s+{ONE * ONE // 2}))//{ONE * ONE})) AS INT) AS value FROM ({down})"
 
 
 def _spread(n: int) -> str:
@@ -103,7 +141,7 @@ _X = "(CASE WHEN n>1 THEN i*n/(n-1) ELSE 0 END)"
 _SIZES = f"""SELECT image_id, CAST(i AS INT) AS stroke_id, CAST(CASE WHEN cutoff<=0 THEN e WHEN cutoff>=3 THEN s ELSE FLOOR(ROUND(
  CASE WHEN {_X}>=n*cutoff THEN e ELSE progress*(CASE WHEN softness<=0 THEN (CASE WHEN {_X}>=n*cutoff/2 THEN e ELSE s END) ELSE s+(e-s)/(1+EXP(-(1/softness*(SQRT(ABS(e-s))/n))*({_X}-n*cutoff/2))) END)
  + (1-progress)*(s+{_X}/(n*cutoff)*(e-s)) END, 6)/2)*2 END AS INT) AS size
-FROM (SELECT image_id, cutoff, softness, progress, CAST(stroke_count AS DOUBLE) AS n, CAST(start AS DOUBLE) AS s, CAST(end_ AS DOUBLE) AS e, CAST(unnest(range(stroke_count)) AS DOUBLE) AS i FROM curves)"""
+FROM (SELECT image_id, ROUND(cutoff, 4) AS cutoff, ROUND(softness, 4) AS softness, ROUND(progress, 4) AS progress, CAST(stroke_count AS DOUBLE) AS n, CAST(start AS DOUBLE) AS s, CAST(end_ AS DOUBLE) AS e, CAST(unnest(range(stroke_count)) AS DOUBLE) AS i FROM curves)"""
 _CTE["sizes"] = _SIZES
 _NEEDS["sizes"] = ["curves"]
 
@@ -199,7 +237,12 @@ def _sql() -> dict[str, str]:
         "code_histogram": _with("parts", "SELECT image_id, code, COUNT(*) AS n, COUNT(*)*2 AS bits FROM parts GROUP BY 1,2"),
         "downsample_box": _with("px", f"SELECT image_id, channel, CAST(row*3//{H} AS INT) AS row, CAST(col*5//{W} AS INT) AS col, CAST(FLOOR(AVG(value)) AS INT) AS value FROM px GROUP BY image_id, channel, row*3//{H}, col*5//{W}"),
         "upsample_nearest": _with("px", f"SELECT t.image_id, t.channel, r.row, c.col, t.value FROM (SELECT image_id, channel, row*3//{H} AS tr, col*4//{W} AS tc, CAST(FLOOR(AVG(value)) AS INT) AS value FROM px GROUP BY 1,2,3,4) t JOIN (SELECT CAST(range AS INT) AS row FROM range(20)) r ON r.row*3//20=t.tr JOIN (SELECT CAST(range AS INT) AS col FROM range(30)) c ON c.col*4//30=t.tc"),
-        "resample_bicubic": _with("px", f"SELECT image_id, channel, r AS row, c AS col, CAST(LEAST(255, GREATEST(0, FLOOR((s+{ONE * ONE // 2})/{ONE * ONE}))) AS INT) AS value FROM (SELECT image_id, channel, o AS r, c, SUM(s*weight) AS s FROM (SELECT image_id, channel, row, o AS c, SUM(value*weight) AS s FROM px JOIN {_weights(W, 40)} ON col=i GROUP BY 1,2,3,4) a JOIN {_weights(H, 10)} ON row=i GROUP BY 1,2,3,4)"),
+        "resample_bicubic": _with("px", _resampled("px", H, W, 10, 40, "bicubic")),
+        "resample_bilinear": _with("px", _resampled("px", H, W, 10, 13, "bilinear")),
+        "resample_lanczos": _with("px", _resampled("px", H, W, 9, 14, "lanczos")),
+        "upsample_lanczos": _with("thumb", _resampled("thumb", 6, 8, H, W, "lanczos")),
+        "float_codes": _with("curves", "SELECT image_id, CAST(0 AS INT) AS pos, TRUNC(cutoff*10000)/10000 AS x FROM curves UNION ALL SELECT image_id, 1, CASE WHEN progress=0 THEN 0 ELSE TRUNC(-progress*10000)/10000 END FROM curves"),
+        "metrics_sink": _with("l1", "SELECT 'coarse' AS run, a.image_id, CAST(a.codes*3 AS BIGINT) AS bits, CAST(b.sse AS BIGINT) AS sse FROM (SELECT image_id, COUNT(*) AS codes FROM q0 GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM l0 GROUP BY 1) b ON a.image_id=b.image_id UNION ALL SELECT 'fine', a.image_id, CAST(a.codes*3 AS BIGINT), CAST(LEAST(b.sse, c.sse) AS BIGINT) FROM (SELECT image_id, COUNT(*) AS codes FROM (SELECT image_id FROM q0 UNION ALL SELECT image_id FROM q1) GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM l0 GROUP BY 1) b ON a.image_id=b.image_id JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM l1 GROUP BY 1) c ON a.image_id=c.image_id"),
         "valid_strokes": _with("strokes", f"SELECT image_id, stroke_id, channel, row, col, size FROM strokes WHERE row<{H} AND col<{W}"),
         "footprint": _with("fp", "SELECT image_id, stroke_id, channel, row, col, quarter FROM fp"),
         "strokes_anti": _with("fp", "SELECT image_id, stroke_id, channel, row, col, size FROM strokes s WHERE NOT EXISTS (SELECT 1 FROM fp f WHERE f.image_id=s.image_id AND f.stroke_id=s.stroke_id)"),
@@ -215,6 +258,9 @@ def _sql() -> dict[str, str]:
         "fit_layer": _with("res", f"SELECT image_id, channel, CAST(row//2 AS INT) AS qr, CAST(col//2 AS INT) AS qc, CAST({_book(_M, 'SUM(diff)', 'COUNT(*)')} AS INT) AS idx FROM res GROUP BY image_id, channel, row//2, col//2"),
         "encode_layers": _with("l2", " UNION ALL ".join(f"SELECT a.image_id, {k} AS layer, a.codes, a.codes*3 AS bits, b.sse FROM (SELECT image_id, COUNT(*) AS codes FROM q{k} GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM l{k} GROUP BY 1) b ON a.image_id=b.image_id" for k in range(3))),
         "decode_layers": _with("l2", decoded),
+        "encode_thumbnail": _with("tl2", " UNION ALL ".join(f"SELECT a.image_id, {k} AS layer, a.codes, a.codes*3 AS bits, CAST(b.sse AS BIGINT) AS sse, {20 + 24 * 48} AS thumb_bits FROM (SELECT image_id, COUNT(*) AS codes FROM tq{k} GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM tl{k} GROUP BY 1) b ON a.image_id=b.image_id" for k in range(3))),
+        "encode_selected": _with("sl", "SELECT r.image_id, c.codes, c.codes*3+8 AS bits, CAST(r.sse+d.moved AS BIGINT) AS sse FROM (SELECT image_id, SUM(diff*diff) AS sse FROM res GROUP BY 1) r JOIN (SELECT image_id, COUNT(*) AS codes FROM sq GROUP BY 1) c ON r.image_id=c.image_id JOIN (SELECT a.image_id, SUM((b.target-b.canvas)*(b.target-b.canvas)-(a.target-a.canvas)*(a.target-a.canvas)) AS moved FROM sel a JOIN sl b ON a.image_id=b.image_id AND a.channel=b.channel AND a.row=b.row AND a.col=b.col GROUP BY 1) d ON r.image_id=d.image_id"),
+        "config_sweep": _with(" ".join(f"cl{c}" for c, _, _ in fx.CONFIGS), " UNION ALL ".join(f"SELECT a.image_id, {c} AS config_id, a.codes, a.codes*{(len(m) - 1).bit_length()} AS bits, CAST(s.sse AS BIGINT) AS sse FROM (SELECT image_id, COUNT(*) AS codes FROM cq{c} GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM cl{c} GROUP BY 1) s ON a.image_id=s.image_id" for c, _, m in fx.CONFIGS)),
         "replay_equals_fit": _with("px", "SELECT image_id, COUNT(*) AS cells, 0 AS off FROM px GROUP BY 1"),
         "param_sweep": _with(" ".join(f"bl{b}" for b in fx.BOOKS), " UNION ALL ".join(f"SELECT a.image_id, {b} AS book_id, a.codes, a.codes*{(len(m) - 1).bit_length()} AS bits, s.sse FROM (SELECT image_id, COUNT(*) AS codes FROM bq{b} GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM bl{b} GROUP BY 1) s ON a.image_id=s.image_id" for b, m in fx.BOOKS.items())),
         "uniform_quantise": _with("px", "SELECT image_id, COUNT(*)*5 AS bits, CAST(FLOOR(SUM(e*e)/COUNT(*)) AS BIGINT) AS mse FROM (SELECT image_id, value-LEAST(255, value//10*10+5) AS e FROM px) GROUP BY 1"),

@@ -254,6 +254,40 @@ def resample_bicubic(spark, d):
     return resample.resample(px(spark, d), H, W, 10, 40)
 
 
+@query
+def resample_bilinear(spark, d):
+    return resample.resample(px(spark, d), H, W, 10, 13, "bilinear")
+
+
+@query
+def resample_lanczos(spark, d):
+    return resample.resample(px(spark, d), H, W, 9, 14, "lanczos")
+
+
+@query
+def upsample_lanczos(spark, d):
+    return resample.resample(resample.downsample_box(px(spark, d), H, W, 6, 8), 6, 8, H, W, "lanczos")
+
+
+@query
+def float_codes(spark, d):
+    """Curve parameters as signed codes of four decimals, packed for each image, and back."""
+    c = fx.frame(spark, d, fx.CURVES)
+    parts = c.select("image_id", F.posexplode(F.array(F.col("cutoff"), -F.col("progress"))).alias("part", "x")).withColumn("code", codes.encode_float(F.col("x")))
+    back = codes.unpack_codes(codes.pack_codes(parts, ["image_id"], ["part"], "code", 18, True), ["image_id"], 18, True)
+    return back.select("image_id", "pos", F.round(codes.decode_float(F.col("code")), 4).alias("x"))
+
+
+@query
+def metrics_sink(spark, d):
+    """What two encodings cost and leave, appended to one table and read from it."""
+    path = f"{storage.shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    for name, sizes in (("coarse", [8]), ("fine", [8, 4])):
+        made = layers.encode_layers(px(spark, d), canvas(spark, d), sizes, fx.BOOKS[1])
+        storage.append_metrics(made.groupBy("image_id").agg(F.sum("bits").alias("bits"), F.min("sse").alias("sse")).select(F.lit(name).alias("run"), "image_id", "bits", "sse"), path)
+    return spark.read.parquet(path)
+
+
 @query
 def valid_strokes(spark, d):
     return strokes.valid_strokes(some_strokes(spark, d), H, W).select("image_id", "stroke_id", "channel", "row", "col", "size")
@@ -347,6 +381,24 @@ def replay_equals_fit(spark, d):
     return fitted.groupBy("image_id").agg(F.count("*").alias("cells")).join(off, "image_id", "left").select("image_id", "cells", F.coalesce("off", F.lit(0)).alias("off"))
 
 
+@query
+def encode_selected(spark, d):
+    return layers.encode_selected(px(spark, d), canvas(spark, d), 4, fx.BOOKS[1], H, W, 2)
+
+
+@query
+def encode_thumbnail(spark, d):
+    """Layers from a blown-up thumbnail instead of a flat colour, with the bits that the thumbnail adds to the header."""
+    p = px(spark, d)
+    start = resample.upsample_nearest(resample.downsample_box(p, H, W, 6, 8), 6, 8, H, W)
+    return layers.encode_layers(p, start, SIZES, fx.BOOKS[1]).withColumn("thumb_bits", F.lit(20 + 24 * 6 * 8))
+
+
+@query
+def config_sweep(spark, d):
+    return layers.config_sweep(px(spark, d), canvas(spark, d), fx.CONFIGS)
+
+
 @query
 def param_sweep(spark, d):
     return layers.param_sweep(px(spark, d), canvas(spark, d), fx.BOOKS, 4)

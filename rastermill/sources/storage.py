@@ -32,4 +32,5 @@ def read_codes(spark: SparkSession, path: str, image_id: int | None = None, shar
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
+    """Adds rows to a table of metrics; earlier ones stay."""
     metrics.write.mode("append").parquet(path)
