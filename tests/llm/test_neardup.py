@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -121,6 +122,31 @@ def test_similar_texts_of_many_differing_bits(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted({*similar_groups(texts).values()})
 
 
+def test_dense_group_about_the_limit(spark):
+    """Copies of one text with none to six edits: most are near some others but not all, and share most of their prefixes."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(140):
+        w = base[: rng.choice([150, 150, 150, 130, 120])]
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4, 5, 6])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(12)}"
+        rows.append((k, " ".join(w)))
+    want = {*similar_groups(rows).values()}
+    assert 5 < len(want) < 120
+    got = similar.one_of_each_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_no_more_bits_differ_than_shingles():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 700, 9000):
+        a, b = (np.unique(rng.integers(0, 2**63, size + 1)[:size]) for _ in range(2))
+        b = np.union1d(b[: size // 5], a[size // 9 :])
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(similar._odd(a).view(np.uint64), similar._odd(b).view(np.uint64)))
+        assert bits <= len(np.setxor1d(a, b)) and (bits > 0) == (size > 1)
+
+
 CLASHES = ["id", "th", "key", "n", "fp", "first", "c0", "c1", "__n", "__keep", "nth", "said", "meta.lang", "a b", "least", "rows"]
 
 
