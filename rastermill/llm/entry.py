@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gam, isolation, langid, licenses, packing, pii, secretscan, simhash, tokencount
+from . import conversations, decontaminate, gam, isolation, langid, licenses, minhash, packing, periodic, pii, secretscan, simhash, tokencount
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -64,7 +64,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-_QUERIES = (op1_token_counts, op2_quality_rules, op3_quality_classifier, op4_pii, op5_license_scan, op6_language_id, op7_decontamination, op8_secret_scan, op9_simhash, op10_packing)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text in ten gets a tail that repeats; then the runs of all texts."""
+    found = periodic.periodic_runs(periodic.repeated(table(spark, sf_dir, "documents")), ["doc_id"])
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    longest = F.element_at(F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], F.signum((b["length"] - a["length"]).cast("double")).cast("int")).otherwise(F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["period"] < b["period"])), -1).otherwise(1))), 1)
+    own = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, longest).alias("r"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return own.select("doc_id", "n_runs", "r.start", "r.length", "r.period", F.expr("1000 * r.length div r.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.col("repaired").cast("binary"), 256).alias("repaired_sha256"))
+
+
+_QUERIES = (op1_token_counts, op2_quality_rules, op3_quality_classifier, op4_pii, op5_license_scan, op6_language_id, op7_decontamination, op8_secret_scan, op9_simhash, op10_packing, op11_periodic_runs, op12_minhash, op13_conversation_repair)
 
 
 def queries() -> dict:
