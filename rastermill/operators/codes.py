@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import KC
+from ..functions.expr import KC, K
 
 
 def codebook(res: DataFrame, bits: int, mode: str = "Stable_Uniform", seed: int = 0) -> DataFrame:
@@ -73,3 +73,39 @@ def decode_float(c: Column, decimals: int = 4) -> Column:
 def code_histogram(codes: DataFrame, code: str, width: int) -> DataFrame:
     """(image_id, code, n, bits): use of each code, and the bits spent on it."""
     return codes.groupBy("image_id", F.col(code).alias("code")).agg(F.count("*").alias("n")).withColumn("bits", F.col("n") * width)
+
+
+def prefix_lengths(histogram: DataFrame, code: str = "code", count: str = "n", keys: list[str] | None = None) -> DataFrame:
+    """(keys, code, n, length, word): lengths of an optimal prefix code of each image's codes, from a histogram, and its canonical words.
+
+    The two lightest groups of codes become one until one is left, each time all their codes get one bit more; ties by the lowest code.
+    It is a fold over the codebook, which bounds it, in array expressions: an image is one row, and images spread over tasks. A lone code
+    has one bit. Words are numbered by length, then code.
+    """
+    keys = keys or K
+    groups = F.array_sort(F.collect_list(F.struct(F.col(count).cast("long").alias("w"), F.col(code).cast("long").alias("least"), F.array(F.col(code).cast("long")).alias("codes"))))
+    held = histogram.groupBy(*keys).agg(groups.alias("groups"), F.map_from_entries(F.collect_list(F.struct(F.col(code).cast("long"), F.col(count).cast("long")))).alias("count"))
+    start = F.struct(F.col("groups").alias("g"), F.transform(F.map_keys("count"), lambda c: F.struct(c.alias("code"), F.lit(0).alias("length"))).alias("lengths"))
+
+    def merged(state, _):
+        a, b = F.get(state["g"], F.lit(0)), F.get(state["g"], F.lit(1))
+        codes = F.concat(a["codes"], b["codes"])
+        one = F.struct((a["w"] + b["w"]).alias("w"), F.least(a["least"], b["least"]).alias("least"), codes.alias("codes"))
+        rest = F.slice(state["g"], F.lit(3), F.greatest(F.size(state["g"]) - 2, F.lit(0)))
+        longer = F.transform(state["lengths"], lambda x: F.struct(x["code"].alias("code"), (x["length"] + F.array_contains(codes, x["code"]).cast("int")).alias("length")))
+        return F.when(F.size(state["g"]) < 2, state).otherwise(F.struct(F.array_sort(F.concat(rest, F.array(one))).alias("g"), longer.alias("lengths")))
+
+    done = held.select(*keys, "count", F.aggregate(F.sequence(F.lit(1), F.size("groups")), start, merged)["lengths"].alias("lengths"))
+    each = done.select(*keys, "count", F.inline("lengths")).select(*keys, F.col("code").alias(code), F.element_at("count", F.col("code")).alias(count), F.greatest(F.lit(1), "length").alias("length"))
+    order = Window.partitionBy(*keys).orderBy("length", code).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("length"))).over(order), F.lit(0.0))  # exact: sums of powers of two
+    word = F.lpad(F.bin((before * F.pow(F.lit(2.0), F.col("length"))).cast("long")), F.col("length"), "0")
+    return each.withColumn("word", word)
+
+
+def coded_size(histogram: DataFrame, width: int, code: str = "code", count: str = "n") -> DataFrame:
+    """(image_id, codes, fixed_bits, coded_bits, entropy_bits): an image's codes at `width` bits each, by its prefix code, and the bound that no code beats."""
+    lengths = prefix_lengths(histogram, code, count)
+    n = F.col(count)
+    sums = lengths.groupBy(*K).agg(F.sum(n).alias("codes"), F.sum(n * F.col("length")).alias("coded_bits"), F.sum(n * F.log2(n)).alias("part"))
+    return sums.select(*K, "codes", (F.col("codes") * width).alias("fixed_bits"), "coded_bits", F.round(F.col("codes") * F.log2("codes") - F.col("part"), 3).alias("entropy_bits"))

@@ -11,10 +11,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import CELL, KC, K, book_value, clip_add, code_bits, idiv, nearest_code, quadrant_code
+from ..sources.storage import checkpoint
+from .evaluate import few_rows
 from .quadrant import channel_selector, quadrant_error, worst_quadrant
 from .residual import channel_error, residual
 
@@ -68,7 +70,7 @@ def as_strokes(codes: DataFrame, size: int) -> DataFrame:
     tile = codes.groupBy(*KC, idiv(F.col("qr"), 2).cast("int").alias("tr"), idiv(F.col("qc"), 2).cast("int").alias("tc"))
     at = [F.max(F.when((F.col("qr") % 2 == q // 2) & (F.col("qc") % 2 == q % 2), F.col("idx"))) for q in range(4)]
     idx = tile.agg(F.array(*[F.coalesce(a, F.lit(-1)) for a in at]).alias("idx"))
-    return idx.select("image_id", (F.col("tr") * 1000000 + F.col("tc")).alias("stroke_id"), "channel", (F.col("tr") * size).alias("row"), (F.col("tc") * size).alias("col"), F.lit(size).alias("size"), "idx")
+    return idx.select("image_id", (F.col("tr").cast("long") * (1 << 31) + F.col("tc")).alias("stroke_id"), "channel", (F.col("tr") * size).alias("row"), (F.col("tc") * size).alias("col"), F.lit(size).alias("size"), "idx")
 
 
 def encode_layers(target: DataFrame, canvas: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
@@ -85,13 +87,66 @@ def encode_layers(target: DataFrame, canvas: DataFrame, sizes: list[int], book:
     return sums.select("image_id", layers)
 
 
-def decode_layers(canvas: DataFrame, codes: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
-    """The canvas after all layers' codes: one equi-join on (layer, quarter) for all layers, then a fold of each cell's steps."""
-    quarters = F.array(*[F.struct(F.lit(k).alias("layer"), idiv(F.col("row"), max(1, s // 2)).cast("int").alias("qr"), idiv(F.col("col"), max(1, s // 2)).cast("int").alias("qc")) for k, s in enumerate(sizes)])
-    placed = canvas.select(*CELL, F.col("value").cast("int"), F.inline(quarters))
-    steps = placed.join(codes.select(*KC, "layer", "qr", "qc", book_value(book, F.col("idx")).alias("m")), [*KC, "layer", "qr", "qc"])
-    sorted_steps = steps.groupBy(*CELL, "value").agg(F.array_sort(F.collect_list(F.struct("layer", "m"))).alias("steps"))
-    return sorted_steps.select(*CELL, F.aggregate("steps", F.col("value"), lambda a, s: clip_add(a, s["m"])).cast("int").alias("value"))
+def _quarters(half: int, tile: int) -> int:
+    return (tile // half) ** 2
+
+
+def _place(row: Column, col: Column, half: int, tile: int) -> Column:
+    """Number of a cell's quarter within its tile."""
+    return idiv(row % tile, half) * (tile // half) + idiv(col % tile, half)
+
+
+def code_tiles(codes: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
+    """(image_id, channel, tr, tc, l0, l1, ...): all codes of a tile in one row, tiles being those that the quarters of all layers nest in.
+
+    Each layer has arrays at (numbers of quarters, ascending) and by (what their cells are moved by). codes may have the region, as
+    `code`; quarters of different regions then have numbers of their own.
+    """
+    tile = _tile(sizes)
+    region = F.col("code") if "code" in codes.columns else F.lit(0)
+    half = F.element_at(F.array(*[F.lit(max(1, s // 2)) for s in sizes]), F.col("layer") + 1)
+    corner = lambda q: F.col(q).cast("long") * half
+    number = idiv(corner("qr") % tile, half) * idiv(F.lit(tile), half) + idiv(corner("qc") % tile, half) + region * idiv(F.lit(tile), half) * idiv(F.lit(tile), half)
+    placed = codes.select(*KC, idiv(corner("qr"), tile).alias("tr"), idiv(corner("qc"), tile).alias("tc"), "layer", F.struct(number.cast("int").alias("at"), book_value(book, F.col("idx")).alias("by")).alias("c"))
+    own = lambda k: F.array_sort(F.collect_list(F.when(F.col("layer") == k, F.col("c"))))
+    tiles = placed.groupBy(*KC, "tr", "tc").agg(*[own(k).alias(f"l{k}") for k in range(len(sizes))])
+    return tiles.select(*KC, "tr", "tc", *[F.struct(F.col(f"l{k}.at").alias("at"), F.col(f"l{k}.by").alias("by")).alias(f"l{k}") for k in range(len(sizes))])
+
+
+def canvas_tiles(canvas: DataFrame, sizes: list[int]) -> DataFrame:
+    """(image_id, channel, tr, tc, cells): a canvas by the tiles of code_tiles, cells as structs (row, col, value)."""
+    tile = _tile(sizes)
+    by = [*KC, idiv(F.col("row"), tile).cast("long").alias("tr"), idiv(F.col("col"), tile).cast("long").alias("tc")]
+    return canvas.groupBy(*by).agg(F.collect_list(F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("int").alias("value"))).alias("cells"))
+
+
+def decode_tiles(canvas: DataFrame, codes: DataFrame, sizes: list[int], regions: tuple[int, int, int] | None = None) -> DataFrame:
+    """The canvas after all layers' codes, from canvas_tiles and code_tiles: one row a tile on each side, cells folded inside it.
+
+    Nothing is multiplied by layers. Tables in buckets by image, channel and tile (storage.write_bucketed) join without a shuffle.
+    regions: (h, w, depth) where codes have regions.
+    """
+    tile = _tile(sizes)
+
+    def moved(c: Column) -> Column:
+        value = c["value"]
+        for k, s in enumerate(sizes):
+            half, layer = max(1, s // 2), F.col(f"l{k}")
+            at = _place(c["row"], c["col"], half, tile)
+            if regions:
+                at = at + quadrant_code(c["row"], c["col"], *regions) * _quarters(half, tile)
+            full = (F.size(layer["at"]) == _quarters(half, tile)) & F.lit(regions is None)  # then a quarter's number is its place
+            place = F.when(full, at + 1).otherwise(F.array_position(layer["at"], at.cast("int"))).cast("int")
+            value = F.when(F.coalesce(place, F.lit(0)) > 0, clip_add(value, F.get(layer["by"], place - 1))).otherwise(value)
+        return F.struct(c["row"].alias("row"), c["col"].alias("col"), value.cast("int").alias("value"))
+
+    both = canvas.join(codes, [*KC, "tr", "tc"], "left")
+    return both.select(*KC, F.inline(F.transform("cells", moved)))
+
+
+def decode_layers(canvas: DataFrame, codes: DataFrame, sizes: list[int], book: list[int], regions: tuple[int, int, int] | None = None) -> DataFrame:
+    """The canvas after all layers' codes; cells that no code meets stay."""
+    return decode_tiles(canvas_tiles(canvas, sizes), code_tiles(codes, sizes, book), sizes, regions)
 
 
 def encode_selected(target: DataFrame, canvas: DataFrame, size: int, book: list[int], h: int, w: int, depth: int, strategy: str = "Strict") -> DataFrame:
@@ -101,7 +156,7 @@ def encode_selected(target: DataFrame, canvas: DataFrame, size: int, book: list[
     and three channel numbers of two bits an image, each quarter in the region its code. sse is over all cells of the raster.
     """
     half = max(1, size // 2)
-    res = residual(target, canvas)
+    res = checkpoint(residual(target, canvas))  # read three times
     chosen = channel_selector(channel_error(res), strategy).select("image_id", F.explode(F.array_distinct("selector")).alias("channel"))
     worst = worst_quadrant(quadrant_error(res, h, w, depth)).join(chosen, KC).select(*KC, "code")
     placed = res.select(*CELL, "target", "canvas", "diff", quadrant_code(F.col("row"), F.col("col"), h, w, depth).alias("code"))
@@ -115,10 +170,26 @@ def encode_selected(target: DataFrame, canvas: DataFrame, size: int, book: list[
     return by_channel.groupBy(*K).agg(F.sum("codes").alias("codes"), bits.alias("bits"), F.sum("sse").alias("sse"))
 
 
-def config_sweep(target: DataFrame, canvas: DataFrame, configs: list[tuple[int, int, list[int]]]) -> DataFrame:
-    """(image_id, config_id, codes, bits, sse) of one layer under each (config_id, size, book): one pass for each size, all its books in it."""
-    by_size = {size: {k: book for k, s, book in configs if s == size} for _, size, _ in configs}
-    return reduce(DataFrame.unionByName, [param_sweep(target, canvas, books, size).withColumnRenamed("book_id", "config_id") for size, books in by_size.items()])
+def config_sweep(target: DataFrame, canvas: DataFrame, configs: DataFrame) -> DataFrame:
+    """(image_id, config_id, codes, bits, sse) of one layer under each row (config_id, size, book) of configs.
+
+    The rasters are paired once, in the tiles that the quarters of all sizes nest in; the quarters of each size come from that
+    partitioning, and each is coded under all books of its size. How many books and sizes there are does not change the plan's shape.
+    """
+    rows = few_rows(configs.select("config_id", "size", "book"))
+    by_half: dict[int, list] = {}
+    for r in rows:
+        by_half.setdefault(max(1, r["size"] // 2), []).append(r)
+    halves = sorted(by_half)
+    config = lambda r: F.struct(F.lit(r["config_id"]).alias("config_id"), F.lit(code_bits(len(r["book"]))).alias("width"), F.array(*[F.lit(m) for m in r["book"]]).alias("book"))
+    books = F.array(*[F.array(*[config(r) for r in by_half[h]]) for h in halves])
+    cells = _paired(target, canvas, math.lcm(*halves)).select(*CELL, "tr", "tc", "target", "canvas", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(h).alias("half")) for k, h in enumerate(halves)])))
+    quarters = cells.groupBy(*KC, "tr", "tc", "k", idiv(F.col("row"), F.col("half")).alias("qr"), idiv(F.col("col"), F.col("half")).alias("qc")).agg(F.sum((F.col("target") - F.col("canvas")).cast("long")).alias("s"), F.count("*").alias("n"), F.collect_list(F.struct("target", "canvas")).alias("cells"))
+    each = quarters.select("image_id", "s", "n", "cells", F.inline(F.get(books, F.col("k"))))
+    away = F.transform("book", lambda m, i: F.struct(F.abs(m.cast("long") * F.col("n") - F.col("s")).alias("d"), i.alias("i")))
+    placed = each.select("image_id", "config_id", "width", "cells", F.get("book", F.array_min(away)["i"]).alias("m"))
+    left = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.pow(c["target"] - clip_add(c["canvas"], F.col("m")), F.lit(2)).cast("long"))
+    return placed.groupBy("image_id", "config_id").agg(F.count("*").alias("codes"), F.sum("width").cast("long").alias("bits"), F.sum(left).alias("sse"))
 
 
 def param_sweep(target: DataFrame, canvas: DataFrame, books: dict[int, list[int]], size: int) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import CELL, KC, book_value, clip_add, nearest_code
 
-TILE = 16
+#: Bits of the smallest tile's side.
+LEAST = 4
 
 
 def sample_origins(bounds: DataFrame, seed: int = 0) -> DataFrame:
@@ -27,22 +28,38 @@ def valid_strokes(strokes: DataFrame, h: int, w: int) -> DataFrame:
     return strokes.where((c("size") > 0) & (c("row") < h) & (c("col") < w) & (c("row") + c("size") > 0) & (c("col") + c("size") > 0))
 
 
-def _tiles(strokes: DataFrame, tile: int) -> DataFrame:
-    span = lambda at: F.explode(F.sequence(F.floor(F.col(at) / tile).cast("int"), F.floor((F.col(at) + F.col("size") - 1) / tile).cast("int")))
+def _level() -> Column:
+    """Bits of the side of a square's grid: the least power of two that holds the square, 2 ** LEAST or more."""
+    return F.greatest(F.lit(LEAST), F.length(F.bin(F.col("size") - 1)))
+
+
+def _levels(strokes: DataFrame) -> list[int]:
+    """The grids that squares of strokes have: 60 numbers at most, whatever the table."""
+    return sorted(r["g"] for r in strokes.where("size > 0").select(_level().alias("g")).distinct().collect())
+
+
+def _tile(at: Column, grid: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), grid)).cast("long")
+
+
+def _tiles(strokes: DataFrame) -> DataFrame:
+    """strokes (with grid) once for each tile of the grid that they touch: four at most in their own grid and in coarser ones."""
+    span = lambda at: F.explode(F.sequence(_tile(F.col(at), F.col("grid")), _tile(F.col(at) + F.col("size") - 1, F.col("grid"))))
     return strokes.where("size > 0").select("*", span("row").alias("tr")).select("*", span("col").alias("tc"))
 
 
-def footprint(strokes: DataFrame, cells: DataFrame, tile: int = TILE) -> DataFrame:
+def footprint(strokes: DataFrame, cells: DataFrame) -> DataFrame:
     """(image_id, stroke_id, channel, row, col, quarter, and strokes' other columns) for each cell that a square covers.
 
-    A cell lies in one tile, a square in the few that it touches; the join is on the tile, so that squares meet the cells
-    around them only, not all of their raster.
+    Squares lie in grids by size: each touches four tiles of its own grid at most, however large it is, and a cell lies in one
+    tile of each grid that any square has. The join is on the tile, so that squares meet the cells around them only.
     """
-    squares = _tiles(strokes.withColumnsRenamed({"row": "srow", "col": "scol"}).withColumns({"row": F.col("srow"), "col": F.col("scol")}), tile).drop("row", "col")
-    placed = cells.select(*CELL, F.floor(F.col("row") / tile).cast("int").alias("tr"), F.floor(F.col("col") / tile).cast("int").alias("tc"))
+    squares = _tiles(strokes.withColumn("grid", _level())).withColumnsRenamed({"row": "srow", "col": "scol"})
+    grids = F.explode(F.array(*[F.lit(g) for g in _levels(strokes)]).cast("array<int>")).alias("grid")
+    placed = cells.select(*CELL, grids).withColumns({"tr": _tile(F.col("row"), F.col("grid")), "tc": _tile(F.col("col"), F.col("grid"))})
     c = F.col
     inside = (c("row") >= c("srow")) & (c("row") < c("srow") + c("size")) & (c("col") >= c("scol")) & (c("col") < c("scol") + c("size"))
-    met = placed.join(squares, [*KC, "tr", "tc"]).where(inside)
+    met = placed.join(squares, [*KC, "grid", "tr", "tc"]).where(inside)
     half = F.floor(c("size") / 2)
     quarter = 2 * (c("row") >= c("srow") + half).cast("int") + (c("col") >= c("scol") + half).cast("int")
     rest = [x for x in strokes.columns if x not in (*KC, "stroke_id", "row", "col", "size")]
@@ -97,18 +114,22 @@ def score_candidates(strokes: DataFrame, res: DataFrame, book: list[int], h: int
     return rect_stats(strokes, res, h, w, "diff").select("image_id", "stroke_id", "channel", "quarter", best["i"].alias("idx"), (-best["d"]).alias("gain"))
 
 
-def overlapping_strokes(strokes: DataFrame, tile: int = TILE) -> DataFrame:
+def overlapping_strokes(strokes: DataFrame) -> DataFrame:
     """(image_id, channel, first, second) for pairs of squares of one channel that share a cell, the earlier one first.
 
-    Pairs meet in tiles, and each comes from one tile only: that of the upper left cell of what they share.
+    Two squares meet in the grid of the larger one, of which each touches four tiles at most; a pair comes from one tile only,
+    that of the upper left cell of what they share.
     """
-    placed = _tiles(strokes.select(*KC, "stroke_id", "row", "col", "size"), tile)
-    side = lambda p: placed.select(*KC, "tr", "tc", *[F.col(x).alias(f"{p}_{x}") for x in ("stroke_id", "row", "col", "size")])
+    own = strokes.select(*KC, "stroke_id", "row", "col", "size", _level().alias("own"))
+    grids = F.array(*[F.lit(g) for g in _levels(strokes)]).cast("array<int>")
+    guests = _tiles(own.select("*", F.explode(F.filter(grids, lambda g: g >= F.col("own"))).alias("grid")))
+    hosts = _tiles(own.withColumn("grid", F.col("own")))
+    side = lambda t, p: t.select(*KC, "grid", "tr", "tc", *[F.col(x).alias(f"{p}_{x}") for x in ("stroke_id", "row", "col", "size", "own")])
     c = F.col
-    both = side("a").join(side("b"), [*KC, "tr", "tc"]).where(c("a_stroke_id") < c("b_stroke_id"))
+    both = side(hosts, "a").join(side(guests, "b"), [*KC, "grid", "tr", "tc"]).where((c("a_stroke_id") < c("b_stroke_id")) | ((c("a_stroke_id") > c("b_stroke_id")) & (c("b_own") < c("a_own"))))
     meet = lambda x: (c(f"a_{x}") < c(f"b_{x}") + c("b_size")) & (c(f"b_{x}") < c(f"a_{x}") + c("a_size"))
-    here = (F.floor(F.greatest("a_row", "b_row") / tile) == c("tr")) & (F.floor(F.greatest("a_col", "b_col") / tile) == c("tc"))
-    return both.where(meet("row") & meet("col") & here).select(*KC, c("a_stroke_id").alias("first"), c("b_stroke_id").alias("second"))
+    here = (_tile(F.greatest("a_row", "b_row"), c("grid")) == c("tr")) & (_tile(F.greatest("a_col", "b_col"), c("grid")) == c("tc"))
+    return both.where(meet("row") & meet("col") & here).select(*KC, F.least("a_stroke_id", "b_stroke_id").alias("first"), F.greatest("a_stroke_id", "b_stroke_id").alias("second"))
 
 
 def covering_strokes(strokes: DataFrame, cells: DataFrame, covered: bool = True) -> DataFrame:

@@ -72,7 +72,17 @@ _CTE["worst2"] = "SELECT q.image_id, q.channel, q.code FROM (SELECT image_id, ch
 _CTE["sel"] = "SELECT q.* FROM quad2 q JOIN worst2 w ON q.image_id=w.image_id AND q.channel=w.channel AND q.code=w.code"
 _CTE |= {x.replace("q0", "sq").replace("l0", "sl"): y.replace("q0", "sq").replace("l0", "sl") for x, y in _layer(0, "sel", 2, _B1).items()}
 
+#: Three layers in the two worst of eight regions of the selected channels: rg<k> cells before layer k, rs<k> its regions, rq<k> its codes.
+_CTE["rg0"] = f"SELECT image_id, channel, row, col, target, canvas, CAST(CASE WHEN row>={H // 2} THEN 4 ELSE 0 END + CASE WHEN col>={W // 2} THEN 2 ELSE 0 END + CASE WHEN row%{H // 2}>={H // 4} THEN 1 ELSE 0 END AS INT) AS code FROM res"
+for _k, _half in enumerate((4, 2, 1)):
+    _CTE[f"re{_k}"] = f"SELECT image_id, channel, code, SUM(ABS(target-canvas)) AS err FROM rg{_k} GROUP BY 1,2,3"
+    _CTE[f"rc{_k}"] = f"SELECT *, FIRST_VALUE(err) OVER w AS e1, NTH_VALUE(err, 2) OVER (PARTITION BY image_id ORDER BY err DESC, channel ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e2, NTH_VALUE(err, 3) OVER (PARTITION BY image_id ORDER BY err DESC, channel ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e3, ROW_NUMBER() OVER w AS place FROM (SELECT image_id, channel, SUM(err) AS err FROM re{_k} GROUP BY 1,2) WINDOW w AS (PARTITION BY image_id ORDER BY err DESC, channel)"
+    _CTE[f"rs{_k}"] = f"SELECT e.image_id, e.channel, e.code FROM re{_k} e JOIN rc{_k} c ON e.image_id=c.image_id AND e.channel=c.channel WHERE c.place<=CASE WHEN c.e1>2*c.e2 THEN 1 WHEN c.e2>2*c.e3 THEN 2 ELSE 3 END QUALIFY ROW_NUMBER() OVER (PARTITION BY e.image_id, e.channel ORDER BY e.err DESC, e.code)<=2"
+    _CTE[f"rq{_k}"] = f"SELECT g.image_id, g.channel, g.code, CAST(row//{_half} AS INT) AS qr, CAST(col//{_half} AS INT) AS qc, CAST({_book(_B1, 'SUM(target-canvas)', 'COUNT(*)')} AS INT) AS idx FROM rg{_k} g JOIN rs{_k} s ON g.image_id=s.image_id AND g.channel=s.channel AND g.code=s.code GROUP BY g.image_id, g.channel, g.code, row//{_half}, col//{_half}"
+    _CTE[f"rg{_k + 1}"] = f"SELECT g.image_id, g.channel, g.row, g.col, g.target, CASE WHEN q.idx IS NULL THEN g.canvas ELSE LEAST(255, GREATEST(0, g.canvas+([{', '.join(map(str, _B1))}])[q.idx+1])) END AS canvas, g.code FROM rg{_k} g LEFT JOIN rq{_k} q ON g.image_id=q.image_id AND g.channel=q.channel AND g.code=q.code AND g.row//{_half}=q.qr AND g.col//{_half}=q.qc"
+
 _NEEDS = {
+    "rg0": ["res"], **{f"re{k}": [f"rg{k}"] for k in range(3)}, **{f"rc{k}": [f"re{k}"] for k in range(3)}, **{f"rs{k}": [f"rc{k}"] for k in range(3)}, **{f"rq{k}": [f"rs{k}"] for k in range(3)}, **{f"rg{k + 1}": [f"rq{k}"] for k in range(3)},
     "thumb": ["px"], "tres": ["px", "thumb"], "tq0": ["tres"], "tl0": ["tq0"], "tq1": ["tl0"], "tl1": ["tq1"], "tq2": ["tl1"], "tl2": ["tq2"], "worst1": ["errors"], "quad2": ["res"], "worst2": ["worst1", "quad2"], "sel": ["worst2", "quad2"], "sq": ["sel"], "sl": ["sq"],
     **{f"cq{c}": ["res"] for c, _, _ in fx.CONFIGS}, **{f"cl{c}": [f"cq{c}"] for c, _, _ in fx.CONFIGS},
     "colours": ["px"], "canvas": ["colours"], "res": ["colours"], "errors": ["res"], "quad4": ["res"], "qerr": ["quad4"], "fp": ["strokes", "px"], "sched0": ["strokes"], "sched": ["sched0"], "parts": ["strokes"], "sat": ["px"],
@@ -94,6 +104,35 @@ def _with(names: str, body: str) -> str:
     return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({_CTE[n]})" for n in order) + " " + body
 
 
+def _recursive(names: str, ctes: str, body: str) -> str:
+    return _with(names, "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f", {ctes} {body}"
+
+
+_CTE["met"] = "SELECT a.image_id, a.channel, a.stroke_id AS first, b.stroke_id AS second FROM strokes a JOIN strokes b ON a.image_id=b.image_id AND a.channel=b.channel AND a.stroke_id<b.stroke_id AND a.row<b.row+b.size AND b.row<a.row+a.size AND a.col<b.col+b.size AND b.col<a.col+a.size"
+_NEEDS["met"] = ["strokes"]
+_LEVELS = "lv AS (SELECT image_id, channel, stroke_id, 0 AS level FROM strokes UNION SELECT o.image_id, o.channel, o.second, l.level+1 FROM lv l JOIN met o ON o.image_id=l.image_id AND o.channel=l.channel AND o.first=l.stroke_id)"
+#: One square after the other: step is the square that has just been fitted, quarter and idx what it was to each cell.
+_SEQUENCE = f"""seq AS (SELECT {KCELL}, target, canvas, -1 AS step, CAST(NULL AS INT) AS quarter, CAST(NULL AS BIGINT) AS idx FROM res
+ UNION ALL SELECT {KCELL}, target, CASE WHEN quarter IS NULL THEN canvas ELSE LEAST(255, GREATEST(0, canvas+([{', '.join(map(str, fx.BOOK))}])[idx+1])) END, step, quarter, CASE WHEN quarter IS NOT NULL THEN idx END
+ FROM (SELECT *, {_book(fx.BOOK, 'total', 'n')} AS idx FROM (SELECT *, SUM(target-canvas) OVER w AS total, COUNT(*) OVER w AS n
+  FROM (SELECT r.image_id, r.channel, r.row, r.col, r.target, r.canvas, r.step+1 AS step, CASE WHEN s.stroke_id IS NOT NULL THEN CAST(CASE WHEN r.row>=s.row+s.size//2 THEN 2 ELSE 0 END + CASE WHEN r.col>=s.col+s.size//2 THEN 1 ELSE 0 END AS INT) END AS quarter
+   FROM seq r LEFT JOIN strokes s ON s.image_id=r.image_id AND s.channel=r.channel AND s.stroke_id=r.step+1 AND r.row>=s.row AND r.row<s.row+s.size AND r.col>=s.col AND r.col<s.col+s.size WHERE r.step<61)
+  WINDOW w AS (PARTITION BY image_id, channel, quarter))))"""
+
+
+#: Every square of 4 and 8: sums over the cells of each of its quarters.
+_CTE["gains"] = " UNION ALL ".join(
+    f"SELECT image_id, channel, CAST(r AS INT) AS row, CAST(c AS INT) AS col, {size} AS size, CAST(SUM(g) AS BIGINT) AS gain FROM (SELECT image_id, channel, r, c, q, list_max([{', '.join(f'2*{m}*SUM(diff)-COUNT(*)*{m * m}' for m in fx.BOOK)}]) AS g FROM (SELECT image_id, channel, diff, row-i AS r, col-j AS c, i//{size // 2}*2+j//{size // 2} AS q FROM res CROSS JOIN (SELECT range AS i FROM range({size})) CROSS JOIN (SELECT range AS j FROM range({size}))) WHERE r BETWEEN 0 AND {H - size} AND c BETWEEN 0 AND {W - size} GROUP BY 1,2,3,4,5) GROUP BY 1,2,3,4"
+    for size in (4, 8)
+)
+_NEEDS["gains"] = ["res"]
+#: The best square of what is left, one at a time in each channel.
+_BEST = "FIRST_VALUE({'row': row, 'col': col, 'size': size, 'gain': gain}) OVER (PARTITION BY image_id, channel ORDER BY gain DESC, row, col, size)"
+_PICKS = f"picks AS (SELECT image_id, channel, row, col, size, gain, {_BEST} AS b FROM gains WHERE gain>0 UNION ALL SELECT image_id, channel, row, col, size, gain, {_BEST} AS b FROM picks WHERE NOT (row<b.row+b.size AND b.row<row+size AND col<b.col+b.size AND b.col<col+size))"
+#: The weights of a layer's codes, the two lightest becoming one in each step; what the steps weigh is what the code costs.
+_HUFFMAN = f"hist AS (SELECT image_id, idx, COUNT(*) AS n FROM (SELECT image_id, channel, row//2 AS qr, col//2 AS qc, {_book(fx.BOOKS[1], 'SUM(diff)', 'COUNT(*)')} AS idx FROM res GROUP BY 1,2,3,4) GROUP BY 1,2), huff AS (SELECT image_id, list_sort(list(CAST(n AS BIGINT))) AS w, CASE WHEN COUNT(*)=1 THEN CAST(SUM(n) AS BIGINT) ELSE 0 END AS cost FROM hist GROUP BY 1 UNION ALL SELECT image_id, list_sort(list_append(w[3:], w[1]+w[2])), cost+w[1]+w[2] FROM huff WHERE len(w)>1)"
+
+
 def _planes(*planes: str) -> str:
     wide = "SELECT image_id, row, col, CAST(MAX(CASE WHEN channel=0 THEN value END) AS BIGINT) AS r, CAST(MAX(CASE WHEN channel=1 THEN value END) AS BIGINT) AS g, CAST(MAX(CASE WHEN channel=2 THEN value END) AS BIGINT) AS b FROM px GROUP BY 1,2,3"
     each = " UNION ALL ".join(f"SELECT image_id, {c} AS channel, row, col, CAST(LEAST(255000000, GREATEST(0, {p}))//1000000 AS INT) AS value FROM w" for c, p in enumerate(planes))
@@ -258,9 +297,20 @@ def _sql() -> dict[str, str]:
         "fit_layer": _with("res", f"SELECT image_id, channel, CAST(row//2 AS INT) AS qr, CAST(col//2 AS INT) AS qc, CAST({_book(_M, 'SUM(diff)', 'COUNT(*)')} AS INT) AS idx FROM res GROUP BY image_id, channel, row//2, col//2"),
         "encode_layers": _with("l2", " UNION ALL ".join(f"SELECT a.image_id, {k} AS layer, a.codes, a.codes*3 AS bits, b.sse FROM (SELECT image_id, COUNT(*) AS codes FROM q{k} GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM l{k} GROUP BY 1) b ON a.image_id=b.image_id" for k in range(3))),
         "decode_layers": _with("l2", decoded),
+        "decode_bucketed": _with("l2", decoded),
+        "decode_regions": _with("rg3", f"SELECT {KCELL}, CAST(canvas AS INT) AS value FROM rg3"),
+        "region_codes": _with("rg3", " UNION ALL ".join(f"SELECT image_id, channel, code, {k} AS layer, qr, qc, idx FROM rq{k}" for k in range(3))),
+        "encode_regions": _with("rg3", " UNION ALL ".join(f"SELECT a.image_id, {k} AS layer, a.codes, a.regions, a.codes*3+a.regions*3+6 AS bits, CAST(b.sse AS BIGINT) AS sse FROM (SELECT image_id, COUNT(*) AS codes, COUNT(DISTINCT channel*8+code) AS regions FROM rq{k} GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM rg{k + 1} GROUP BY 1) b ON a.image_id=b.image_id" for k in range(3))),
         "encode_thumbnail": _with("tl2", " UNION ALL ".join(f"SELECT a.image_id, {k} AS layer, a.codes, a.codes*3 AS bits, CAST(b.sse AS BIGINT) AS sse, {20 + 24 * 48} AS thumb_bits FROM (SELECT image_id, COUNT(*) AS codes FROM tq{k} GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM tl{k} GROUP BY 1) b ON a.image_id=b.image_id" for k in range(3))),
         "encode_selected": _with("sl", "SELECT r.image_id, c.codes, c.codes*3+8 AS bits, CAST(r.sse+d.moved AS BIGINT) AS sse FROM (SELECT image_id, SUM(diff*diff) AS sse FROM res GROUP BY 1) r JOIN (SELECT image_id, COUNT(*) AS codes FROM sq GROUP BY 1) c ON r.image_id=c.image_id JOIN (SELECT a.image_id, SUM((b.target-b.canvas)*(b.target-b.canvas)-(a.target-a.canvas)*(a.target-a.canvas)) AS moved FROM sel a JOIN sl b ON a.image_id=b.image_id AND a.channel=b.channel AND a.row=b.row AND a.col=b.col GROUP BY 1) d ON r.image_id=d.image_id"),
         "config_sweep": _with(" ".join(f"cl{c}" for c, _, _ in fx.CONFIGS), " UNION ALL ".join(f"SELECT a.image_id, {c} AS config_id, a.codes, a.codes*{(len(m) - 1).bit_length()} AS bits, CAST(s.sse AS BIGINT) AS sse FROM (SELECT image_id, COUNT(*) AS codes FROM cq{c} GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM cl{c} GROUP BY 1) s ON a.image_id=s.image_id" for c, _, m in fx.CONFIGS)),
+        "best_squares": _with("gains", "SELECT image_id, channel, size, row, col, gain FROM gains QUALIFY ROW_NUMBER() OVER (PARTITION BY image_id, channel, size ORDER BY gain DESC, row, col)=1"),
+        "disjoint_squares": _recursive("gains", _PICKS, "SELECT DISTINCT image_id, channel, b.row AS row, b.col AS col, b.size AS size, b.gain AS gain FROM picks"),
+        "coded_size": _recursive("res", _HUFFMAN, "SELECT h.image_id, h.codes, CAST(h.codes*3 AS BIGINT) AS fixed_bits, CAST(f.cost AS BIGINT) AS coded_bits, ROUND(h.codes*LOG2(h.codes)-h.part, 3) AS entropy_bits FROM (SELECT image_id, CAST(SUM(n) AS BIGINT) AS codes, SUM(n*LOG2(n)) AS part FROM hist GROUP BY 1) h JOIN (SELECT image_id, MAX(cost) AS cost FROM huff GROUP BY 1) f ON h.image_id=f.image_id"),
+        "stream_replay": _with("log", f"SELECT image_id, channel, row, col, CAST(list_reduce(list_prepend(0, list(m ORDER BY stroke_id)), lambda a, x: GREATEST(0, LEAST(255, a+x))) AS INT) AS value FROM (SELECT l.image_id, l.channel, l.stroke_id, CAST(l.row+r AS INT) AS row, CAST(l.col+c AS INT) AS col, CAST(([{', '.join(map(str, fx.BOOK))}])[l.idx+1] AS INT) AS m FROM log l CROSS JOIN (SELECT range AS r FROM range(4)) CROSS JOIN (SELECT range AS c FROM range(4))) GROUP BY 1,2,3,4"),
+        "stroke_levels": _recursive("strokes met", _LEVELS, "SELECT image_id, channel, stroke_id, MAX(level) AS level FROM lv GROUP BY 1,2,3"),
+        "fit_strokes": _recursive("res strokes met", f"{_LEVELS}, {_SEQUENCE}", "SELECT f.image_id, f.channel, f.stroke_id, f.quarter, l.level, f.idx FROM (SELECT DISTINCT image_id, channel, step AS stroke_id, quarter, CAST(idx AS INT) AS idx FROM seq WHERE quarter IS NOT NULL) f JOIN (SELECT image_id, channel, stroke_id, MAX(level) AS level FROM lv GROUP BY 1,2,3) l ON f.image_id=l.image_id AND f.channel=l.channel AND f.stroke_id=l.stroke_id"),
+        "fit_strokes_canvas": _recursive("res strokes", _SEQUENCE, f"SELECT {KCELL}, CAST(canvas AS INT) AS value FROM seq WHERE step=61"),
         "replay_equals_fit": _with("px", "SELECT image_id, COUNT(*) AS cells, 0 AS off FROM px GROUP BY 1"),
         "param_sweep": _with(" ".join(f"bl{b}" for b in fx.BOOKS), " UNION ALL ".join(f"SELECT a.image_id, {b} AS book_id, a.codes, a.codes*{(len(m) - 1).bit_length()} AS bits, s.sse FROM (SELECT image_id, COUNT(*) AS codes FROM bq{b} GROUP BY 1) a JOIN (SELECT image_id, SUM((target-canvas)*(target-canvas)) AS sse FROM bl{b} GROUP BY 1) s ON a.image_id=s.image_id" for b, m in fx.BOOKS.items())),
         "uniform_quantise": _with("px", "SELECT image_id, COUNT(*)*5 AS bits, CAST(FLOOR(SUM(e*e)/COUNT(*)) AS BIGINT) AS mse FROM (SELECT image_id, value-LEAST(255, value//10*10+5) AS e FROM px) GROUP BY 1"),
@@ -269,6 +319,9 @@ def _sql() -> dict[str, str]:
         "matched_rate": _with("runs", "SELECT a.image_id, a.quality AS a_quality, a.mse AS a_mse, b.quality AS b_quality, b.mse AS b_mse FROM runs a JOIN runs b ON a.image_id=b.image_id AND a.codec='tile' AND b.codec='uniform' QUALIFY ROW_NUMBER() OVER (PARTITION BY a.image_id, a.quality ORDER BY ABS(a.rate-b.rate), b.rate, b.quality)=1"),
         "lossless_carry": _with("sweep", "SELECT image_id, codec, quality, mse, ROUND(shown, 6) AS shown FROM sweep"),
         "quality_sweep": _with("sweep", "SELECT s.image_id, s.quality, s.bits, s.mse, ROUND(s.shown, 6) AS shown, ROUND(l.efficiency, 6) AS line FROM sweep s JOIN (SELECT image_id, MAX(efficiency) AS efficiency FROM runs WHERE codec='tile' AND quality=4 GROUP BY 1) l ON s.image_id=l.image_id WHERE s.codec='uniform'"),
+        "value_histogram": _with("px", "SELECT image_id, CAST(value AS INT) AS value, n, CAST(SUM(n) OVER w AS BIGINT) AS below, CAST(SUM(n*value) OVER w AS BIGINT) AS first, CAST(SUM(n*value*value) OVER w AS BIGINT) AS second FROM (SELECT image_id, CAST(value AS BIGINT) AS value, COUNT(*) AS n FROM px GROUP BY 1,2) WINDOW w AS (PARTITION BY image_id ORDER BY value)"),
+        "quantiser_runs": _with("runs0", "SELECT image_id, codec, CAST(quality AS INT) AS quality, CAST(bits AS BIGINT) AS bits, mse FROM runs0"),
+        "win_rate_by_size": _with("pairs px", "SELECT CASE WHEN area<1500 THEN 'small' WHEN area<1650 THEN 'middle' ELSE 'large' END AS size_class, COUNT(*) AS runs, CAST(SUM(CASE WHEN winner='a' THEN 1 ELSE 0 END) AS BIGINT) AS wins FROM pairs p JOIN (SELECT image_id, SUM(CASE WHEN value>0 THEN 1 ELSE 0 END) AS area FROM px GROUP BY 1) a ON p.image_id=a.image_id GROUP BY 1"),
         "win_rate": _with("pairs", "SELECT CASE WHEN b_quality<10 THEN 'below 10' WHEN b_quality<60 THEN 'below 60' ELSE '60 and more' END AS size_class, COUNT(*) AS runs, SUM(CASE WHEN winner='a' THEN 1 ELSE 0 END) AS wins FROM pairs GROUP BY 1"),
         "stream_progress": _with("log", "SELECT image_id, stroke_id//500 AS part, COUNT(*) AS strokes, SUM(bits) AS bits FROM log GROUP BY 1,2"),
         "stream_rate": _with("log", "SELECT strftime(day, '%Y-%m-%d') AS day, strokes, bits FROM (SELECT date_trunc('day', ts) AS day, COUNT(*) AS strokes, SUM(bits) AS bits FROM log GROUP BY 1) WHERE day + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 2 DAY FROM log)"),

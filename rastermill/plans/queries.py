@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params
 from ..functions.expr import KC, nearest_code, quadrant_text
-from ..operators import cells, codes, color, evaluate, layers, quadrant, resample, residual, schedule, strokes
+from ..operators import cells, codes, color, evaluate, layers, quadrant, regions, resample, residual, schedule, search, strokes, waves
 from ..sources import storage
 from ..streaming import progress
 from . import fixtures as fx
@@ -52,7 +52,11 @@ def log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.efficiency(fx.frame(spark, d, fx.RUNS), F.lit(H * W * 3 * 8))
+    """Uniform quantisation at twelve qualities, from one histogram an image, and means of tiles of three sides."""
+    p = px(spark, d)
+    configs = spark.range(12).select((1 + 9 * F.col("id")).cast("int").alias("quality"), (100 - 9 * F.col("id")).cast("int").alias("step"))
+    made = evaluate.uniform_runs(evaluate.value_histogram(p), configs).unionByName(evaluate.tile_runs(p, [2, 4, 8]))
+    return evaluate.efficiency(made, F.lit(H * W * 3 * 8))
 
 
 def curves(spark: SparkSession, d: str) -> DataFrame:
@@ -328,6 +332,30 @@ def score_candidates(spark, d):
     return strokes.score_candidates(some_strokes(spark, d), res(spark, d), fx.BOOKS[1], H, W)
 
 
+SEARCH = [4, 8]
+
+
+def _gains(spark, d):
+    return search.square_gains(res(spark, d), SEARCH, BOOK)
+
+
+@query
+def best_squares(spark, d):
+    return search.best_squares(_gains(spark, d))
+
+
+@query
+def disjoint_squares(spark, d):
+    return search.disjoint_squares(storage.checkpoint(_gains(spark, d)), SEARCH, H, W)
+
+
+@query
+def coded_size(spark, d):
+    """Codes of a layer by their optimal prefix code, against fixed width and entropy."""
+    made = layers.fit_layer(px(spark, d), canvas(spark, d), 4, fx.BOOKS[1])[0]
+    return codes.coded_size(codes.code_histogram(made.withColumnRenamed("idx", "code"), "code", 3), 3)
+
+
 @query
 def replay_strokes(spark, d):
     return strokes.replay_strokes(canvas(spark, d), some_strokes(spark, d), BOOK)
@@ -371,11 +399,41 @@ def decode_layers(spark, d):
     return layers.decode_layers(flat, made, SIZES, fx.BOOKS[1])
 
 
+def _regions(spark, d):
+    return regions.encode_regions(px(spark, d), canvas(spark, d), SIZES, fx.BOOKS[1], H, W, 3, 2)
+
+
+@query
+def encode_regions(spark, d):
+    return _regions(spark, d)[1]
+
+
+@query
+def region_codes(spark, d):
+    return _regions(spark, d)[0]
+
+
+@query
+def decode_regions(spark, d):
+    return layers.decode_layers(canvas(spark, d), _regions(spark, d)[0], SIZES, fx.BOOKS[1], (H, W, 3))
+
+
+@query
+def decode_bucketed(spark, d):
+    """As decode_layers, from tables in buckets by image, channel and tile: the join shuffles neither cells nor codes."""
+    flat, name = canvas(spark, d), f"tiles_{uuid.uuid4().hex}"
+    made = layers.layer_codes(layers.encode_cells(px(spark, d), flat, SIZES, fx.BOOKS[1]), SIZES)
+    keys = ["image_id", "channel", "tr", "tc"]
+    start = storage.write_bucketed(layers.canvas_tiles(flat, SIZES), f"{name}_canvas", keys)
+    return layers.decode_tiles(start, storage.write_bucketed(layers.code_tiles(made, SIZES, fx.BOOKS[1]), f"{name}_codes", keys), SIZES)
+
+
 @query
 def replay_equals_fit(spark, d):
     """Cells of each image, and those in which the replay of a layer's squares differs from the fitted canvas: none."""
     flat = canvas(spark, d)
-    made, fitted = layers.fit_layer(px(spark, d), flat, 4, BOOK)
+    done = storage.checkpoint(layers.encode_cells(px(spark, d), flat, [4], BOOK))
+    made, fitted = layers.layer_codes(done, [4]).drop("layer"), done.select("image_id", "channel", "row", "col", F.col("canvas").alias("value"))
     again = strokes.replay_strokes(flat, layers.as_strokes(made, 4), BOOK)
     off = residual.diff_cells(fitted, again).groupBy("image_id").agg(F.count("*").alias("off"))
     return fitted.groupBy("image_id").agg(F.count("*").alias("cells")).join(off, "image_id", "left").select("image_id", "cells", F.coalesce("off", F.lit(0)).alias("off"))
@@ -396,7 +454,23 @@ def encode_thumbnail(spark, d):
 
 @query
 def config_sweep(spark, d):
-    return layers.config_sweep(px(spark, d), canvas(spark, d), fx.CONFIGS)
+    return layers.config_sweep(px(spark, d), canvas(spark, d), spark.createDataFrame(fx.CONFIGS, "config_id int, size int, book array<int>"))
+
+
+@query
+def stroke_levels(spark, d):
+    return waves.stroke_levels(some_strokes(spark, d))
+
+
+@query
+def fit_strokes(spark, d):
+    """The codes of squares that overlap, each fitted to what the earlier ones left."""
+    return waves.fit_strokes(px(spark, d), canvas(spark, d), some_strokes(spark, d), BOOK)[0]
+
+
+@query
+def fit_strokes_canvas(spark, d):
+    return waves.fit_strokes(px(spark, d), canvas(spark, d), some_strokes(spark, d), BOOK)[1]
 
 
 @query
@@ -435,6 +509,24 @@ def quality_sweep(spark, d):
     return got.select("image_id", "quality", "bits", "mse", F.round("shown", 6).alias("shown"), F.round("line", 6).alias("line"))
 
 
+@query
+def value_histogram(spark, d):
+    return evaluate.value_histogram(px(spark, d))
+
+
+@query
+def quantiser_runs(spark, d):
+    return runs(spark, d).select("image_id", "codec", "quality", "bits", "mse")
+
+
+@query
+def win_rate_by_size(spark, d):
+    """Wins by the class of an image's number of cells that are not black, which stands for its size."""
+    lit = px(spark, d).groupBy("image_id").agg(F.sum((F.col("value") > 0).cast("long")).alias("area"))
+    pairs = evaluate.paired_comparison(runs(spark, d), F.expr(TILE4), F.expr(UNIFORM)).join(lit, "image_id")
+    return evaluate.win_rate(pairs, F.when(F.col("area") < 1500, "small").when(F.col("area") < 1650, "middle").otherwise("large"))
+
+
 @query
 def win_rate(spark, d):
     return evaluate.win_rate(evaluate.paired_comparison(runs(spark, d), F.expr(TILE4), F.expr(UNIFORM)), F.when(F.col("b_quality") < 10, "below 10").when(F.col("b_quality") < 60, "below 60").otherwise("60 and more"))
@@ -451,6 +543,20 @@ def stream_progress(spark, d):
     return progress.run_to_table(progress.stream_progress(_log_stream(spark, d), 500), "complete")
 
 
+def _replay_stream(spark, d):
+    e = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/[e]vents.parquet")
+    n = F.col("event_id")
+    place = lambda by, most: F.pmod(n * by, F.lit(most)).cast("int")
+    return e.select((F.col("user_id") % 16).alias("image_id"), n.alias("stroke_id"), place(1, 3).alias("channel"), place(7919, 20).alias("row"), place(104729, 28).alias("col"), F.lit(4).alias("size"), place(1, 4).alias("idx"))
+
+
+@query
+def stream_replay(spark, d):
+    """The last canvas of the strokes that events stand for, replayed from black as a stream with state."""
+    changes, _ = progress.replay_to_tables(progress.stream_replay(_replay_stream(spark, d), BOOK, 8))
+    return progress.last_canvas(changes)
+
+
 @query
 def stream_rate(spark, d):
     return progress.run_to_table(progress.stream_rate(_log_stream(spark, d)), "append").select(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_timestamp("start") / 86400).cast("int")).cast("string").alias("day"), "strokes", "bits")

@@ -19,6 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="rastermill-")
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there: what follows neither plans nor runs its making again."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = 16, dealt: bool = False) -> DataFrame:
+    """df as a table of the warehouse in buckets by keys, and read from it: joins of such tables by these keys shuffle neither.
+
+    dealt: df is in `buckets` partitions by keys already. A checkpoint would not do, as an adaptive plan's partitioning is not kept in it.
+    """
+    (df if dealt else df.repartition(buckets, *keys)).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_codes(codes: DataFrame, path: str, shards: int = 16, mode: str = "overwrite") -> None:
     """Codes by shards of images: a reader of one image opens one shard, and many images don't make many folders."""
     codes.withColumn("shard", F.pmod(F.col("image_id"), F.lit(shards)).cast("int")).repartition("shard").write.mode(mode).partitionBy("shard").parquet(path)

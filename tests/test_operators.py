@@ -202,9 +202,11 @@ def test_streamed_replay_equals_the_batch_and_tells_late_strokes(spark, tmp_path
     def catch_up():
         stream().writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", progress._ROCKSDB)
     catch_up()
     spark.createDataFrame([*on_time[20:], (1, 3, 0, 0, 0, 4, 3)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     catch_up()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = spark.read.parquet(out)
     assert [r.stroke_id for r in got.where("late").select("stroke_id").distinct().collect()] == [3]
     last = {(r.row, r.col): r.value for r in got.where("not late").groupBy("row", "col").agg(F.max_by("value", "stroke_id").alias("value")).collect()}
