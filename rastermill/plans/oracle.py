@@ -246,6 +246,7 @@ def _sql() -> dict[str, str]:
         "assemble_cells": _with("emb", "SELECT image_id, COUNT(*) AS n, string_agg(CAST(value AS VARCHAR), ',' ORDER BY row, col, channel) AS cells FROM emb GROUP BY 1"),
         "densify": _with("sparse", f"SELECT g.image_id, g.channel, g.row, g.col, COALESCE(s.value, 7) AS value FROM (SELECT image_id, channel, row, col FROM (SELECT DISTINCT image_id FROM sparse) CROSS JOIN (SELECT CAST(range AS INT) AS channel FROM range(3)) CROSS JOIN (SELECT CAST(range AS INT) AS row FROM range({H})) CROSS JOIN (SELECT CAST(range AS INT) AS col FROM range({W}))) g LEFT JOIN sparse s ON s.image_id=g.image_id AND s.channel=g.channel AND s.row=g.row AND s.col=g.col"),
         "codes_roundtrip": _with("strokes", "SELECT image_id, stroke_id, channel, row, col, size, concat_ws(',', i0, i1, i2, i3) AS idx FROM strokes"),
+        "pixmaps_roundtrip": _with("px", f"SELECT image_id, {H} AS height, {W} AS width, channel, row, col, value FROM px"),
         "rgb_to_ycbcr": _planes("299000*r+587000*g+114000*b", "128000000-168736*r-331264*g+500000*b", "128000000+500000*r-418688*g-81312*b"),
         "ycbcr_to_rgb": _planes("1000000*r+1402000*(b-128)", "1000000*r-344136*(g-128)-714136*(b-128)", "1000000*r+1772000*(g-128)"),
         "residual": _with("res", "SELECT * FROM res"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import params
 from ..functions.expr import KC, nearest_code, quadrant_text
 from ..operators import cells, codes, color, evaluate, layers, quadrant, regions, resample, residual, schedule, search, strokes, waves
-from ..sources import storage
+from ..sources import netpbm, storage
 from ..streaming import progress
 from . import fixtures as fx
 
@@ -90,6 +90,14 @@ def codes_roundtrip(spark, d):
     return storage.read_codes(spark, path).select("image_id", "stroke_id", "channel", "row", "col", "size", joined("idx").alias("idx"))
 
 
+@query
+def pixmaps_roundtrip(spark, d):
+    """All rasters written as picture files, and read from them in bands of rows."""
+    path = f"{storage.shared_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    netpbm.write_pixmaps(px(spark, d), path, H, W)
+    return netpbm.scan_pixmaps(spark, path, 1000).select("image_id", "height", "width", "channel", "row", "col", "value")
+
+
 @query
 def rgb_to_ycbcr(spark, d):
     return color.rgb_to_ycbcr(px(spark, d))

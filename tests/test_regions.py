@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastermill.operators import cells, codes, evaluate, layers, regions, residual, search, strokes, waves
-from rastermill.sources import storage
+from rastermill.sources import netpbm, storage
 
 from .test_operators import raster, values
 
@@ -200,3 +200,21 @@ def test_matched_rate_pairs_no_runs(spark):
         if near:
             want.add((a[0], a[2], a[3], a[4], near[0][2], near[0][1], near[0][3]))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_pixmaps_in_bands(spark, tmp_path):
+    p = noisy(spark, 19, 23).unionByName(noisy(spark, 19, 23).withColumn("image_id", F.lit(2).cast("long")).where("row <> 4"))
+    netpbm.write_pixmaps(p, str(tmp_path / "in"), 19, 23)
+    netpbm.write_pixmaps(noisy(spark, 5, 3, 1).withColumn("image_id", F.lit(9).cast("long")), str(tmp_path / "in"), 5, 3, 1)
+    (tmp_path / "in" / "x.txt").write_text("no picture")
+    (tmp_path / "in" / "y.ppm").write_bytes(b"P6\n# a comment\n2 1\n255\n\x01\x02\x03\x04\x05\x06")
+    (tmp_path / "in" / "z.ppm").write_bytes(b"P6 nonsense")
+    want = values(p, "image_id", "channel", "row", "col") | {(2, c, 4, k): 0 for c in range(3) for k in range(23)} | values(noisy(spark, 5, 3, 1).withColumn("image_id", F.lit(9)), "image_id", "channel", "row", "col")
+    for band in (10, 69, 70, 500, 1 << 20):
+        got = netpbm.scan_pixmaps(spark, str(tmp_path / "in"), band)
+        own = values(got.where("image_id < 10"), "image_id", "channel", "row", "col")
+        assert own == want and got.where("image_id < 10").count() == len(want)
+        assert values(got.where("origin LIKE '%/y.ppm'"), "channel", "row", "col") == {(c, 0, k): 3 * k + c + 1 for c in range(3) for k in range(2)}
+    small = netpbm.scan_pixmaps(spark, str(tmp_path / "in")).where("height < 10 AND width > 2")
+    assert {r.image_id for r in small.select("image_id").distinct().collect()} == {9}
+    assert small.count() == 15
