@@ -18,8 +18,6 @@ from ..sources import storage
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Text handled at once inside a task.
 SLICE_BYTES = 4 << 20
-#: Most rows of a few numbers that a join sends to all executors.
-MOST_SENT = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +43,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Files of a shuffle go when the query that wrote them ends. For work in many checkpointed steps, of which none reads an earlier one's shuffles."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
+    before = spark.conf.get(name, None)  # other versions of Spark may not have it
+    if before is None:
+        yield
+        return
     spark.conf.set(name, "true")
     try:
         yield
@@ -65,11 +66,6 @@ def by_position(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{k}" for k in range(len(names))]), [f"c{names.index(c)}" for c in columns]
 
 
-def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
-    """df, which has been checkpointed, marked for broadcast where it has at most `most` rows; beyond that its joins shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def smallest_hash(df: DataFrame, key: str, n: int, total: int | None = None, spare: int = 4) -> DataFrame:
     """A sample of at most n rows, the same at each run: those whose key has the smallest hash.
 

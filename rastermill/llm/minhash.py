@@ -16,7 +16,7 @@ What is shuffled: buckets (16 bytes a band and class), and the texts of pairs th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import by_position, checkpoint, map_text, shuffles_removed
 from .graph import connected_components
-from .shingles import hashes
+from .shingles import fingerprint, hashes
 
 WIDTH, PERCENT = 4, 80
 ROWS, BANDS = 4, 40
@@ -89,14 +89,16 @@ def odd_sketch(s: np.ndarray, longs: int = ODD) -> np.ndarray:
     return np.packbits((np.bincount(((s >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _measured(known: DataFrame, width: int) -> DataFrame:
-    """(id, th, k1, k2, n, sig): 128 bits that stand for the set, its size, and its odd sketch and bands; a task gives sig once for each set."""
+def _measured(known: DataFrame, width: int, simhash: bool) -> DataFrame:
+    """(id, th, k1, k2, n, fp, sig): 128 bits that stand for the set, its size, the SimHash of the shingles, and the set's odd sketch and bands; a task gives sig once for each set."""
 
     def make():
         seen = set()
 
         def run(texts):
-            sets = [shingle_set(t, width) for t in texts]
+            every = [hashes(t, width) for t in texts]
+            prints = np.array([fingerprint(h) if simhash else 0 for h in every], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in every]
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             new = [k for k in range(len(sets)) if len(sets[k]) and keys[k] not in seen and not seen.add(keys[k])]
             sig = [np.zeros(0, np.int64)] * len(sets)
@@ -104,12 +106,12 @@ def _measured(known: DataFrame, width: int) -> DataFrame:
                 for k, b in zip(new, bands(coordinates([sets[k] for k in new], ROWS * BANDS), ROWS)):
                     sig[k] = np.concatenate((odd_sketch(sets[k]), b))
             half = lambda x: x - (1 << 64) if x >> 63 else x
-            return [[half(k >> 64) for k in keys], [half(k & (1 << 64) - 1) for k in keys], [len(s) for s in sets], sig]
+            return [[half(k >> 64) for k in keys], [half(k & (1 << 64) - 1) for k in keys], [len(s) for s in sets], prints, sig]
 
         return run
 
     long = T.LongType()
-    return map_text(known, make, [T.StructField("k1", long), T.StructField("k2", long), T.StructField("n", long), T.StructField("sig", T.ArrayType(long))], ["id", "th"], "said")
+    return map_text(known, make, [T.StructField("k1", long), T.StructField("k2", long), T.StructField("n", long), T.StructField("fp", long), T.StructField("sig", T.ArrayType(long))], ["id", "th"], "said")
 
 
 def _alike(shared, m, n):
@@ -154,12 +156,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, known: DataFrame, width: in
 
 def _sketched(rows: DataFrame, classes: DataFrame, c: str, name: str) -> DataFrame:
     """rows with size and odd sketch of the class in column c, as n<name> and o<name>0.. ."""
-    own = classes.select(F.col("cid").alias(f"__{name}"), F.col("n").alias(f"n{name}"), *[F.col("sig")[k].alias(f"o{name}{k}") for k in range(ODD)])
+    own = classes.select(F.col("cid").alias(f"__{name}"), F.col("n").alias(f"n{name}"), *[F.get("sig", F.lit(k)).alias(f"o{name}{k}") for k in range(ODD)])
     return rows.join(own, F.col(c) == F.col(f"__{name}")).drop(f"__{name}")
 
 
-def links(classes: DataFrame, known: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Links (a, b) of classes (cid, n, sig, least) that give the components of all similar pairs; known: (id, th, said), with the text of each class's least (id, th)."""
+def links(classes: DataFrame, known: DataFrame, width: int = WIDTH, index: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links (a, b) of classes (cid, n, fp, sig, least) that give the components of all similar pairs; known: (id, th, said), with the text of each
+    class's least (id, th); index: pairs (a, b) of cid to look at besides."""
     bucket = F.explode(F.slice("sig", ODD + 1, BANDS)).alias("bucket")
     postings = classes.where(F.size("sig") > 0).select("cid", bucket).repartition("bucket")
     sizes = postings.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1")
@@ -169,7 +172,8 @@ def links(classes: DataFrame, known: DataFrame, width: int = WIDTH) -> DataFrame
     pivots = weighed.groupBy("bucket").agg(F.max(F.struct("w", "cid")).alias("p")).select("bucket", F.col("p.cid").alias("a"))
     met = weighed.join(pivots, "bucket").where("cid <> a").select(F.col("cid").alias("b"), "a").repartition("b")
     best = met.groupBy("b", "a").count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
-    first = _sketched(_sketched(checkpoint(best), classes, "a", "x"), classes, "b", "y").where(_may_be_alike("x", "y")).select("a", "b")
+    some = best.select("a", "b").union(index(classes).select("a", "b")).distinct() if index else best
+    first = _sketched(_sketched(checkpoint(some), classes, "a", "x"), classes, "b", "y").where(_may_be_alike("x", "y")).select("a", "b")
     one = checkpoint(_confirmed(checkpoint(first), classes, known, width))
     roots = connected_components(one)
     named = live.select("bucket", "cid").join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
@@ -185,6 +189,20 @@ def links(classes: DataFrame, known: DataFrame, width: int = WIDTH) -> DataFrame
     return checkpoint(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(two))
 
 
+def components(known: DataFrame, width: int, index: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(held, named) of the texts known (id, th, said): held (id, th, k1, k2, n) a row for each, named (k1, k2, least, first, root) a row for each distinct set.
+
+    Rows with one root are a component; least is a set's smallest (id, th), first its smallest id. The empty set has no link. With an
+    index, classes have their SimHash as fp.
+    """
+    held = checkpoint(_measured(known, width, index is not None))
+    some = held.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("least"), F.min("id").alias("first"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("sig").alias("sig"))
+    classes = checkpoint(some.withColumn("cid", F.monotonically_increasing_id()))
+    roots = connected_components(links(classes, known, width, index))
+    named = classes.select("k1", "k2", "cid", "least", "first").join(roots, F.col("cid") == F.col("node"), "left")
+    return held.select("id", "th", "k1", "k2", "n"), named.select("k1", "k2", "least", "first", F.coalesce("root", "cid").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row: component_id is the smallest id reachable over links of similar sets, kept
     tells whether it is the row's own.
@@ -198,11 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own, (i, t) = by_position(docs, id_col, text_col)
     with shuffles_removed(docs.sparkSession):
         known = own.select(F.col(i).alias("id"), F.xxhash64(F.col(t).cast("string")).alias("th"), F.col(t).cast("string").alias("said"))
-        held = checkpoint(_measured(known, width))
-        some = held.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("least"), F.min("id").alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig"))
-        classes = checkpoint(some.withColumn("cid", F.monotonically_increasing_id()))
-        roots = connected_components(links(classes, known, width))
-        named = classes.select("k1", "k2", "cid", "first").join(roots, F.col("cid") == F.col("node"), "left").select("k1", "k2", "first", F.coalesce("root", "cid").alias("root"))
+        held, named = components(known, width)
         best = named.groupBy("root").agg(F.min("first").alias("component_id"))
         named = checkpoint(named.join(best, "root").select("k1", "k2", "component_id"))
         alone = held.where("n = 0").select("id", "n", F.col("id").alias("component_id"))

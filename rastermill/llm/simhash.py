@@ -13,14 +13,14 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_text
+from .common import by_position, checkpoint, map_text, shuffles_removed
 from .graph import connected_components
+from .minhash import components
 from .shingles import fingerprint, hashes
-from .similar import one_of_each_similar
 
 BITS, WIDTH = 4, 4
 #: Postings longer than this are split by a fourth byte.
@@ -105,20 +105,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_candidates(classes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Pairs (a, b) of keys of classes (key, n, fp) that the index finds: each class with the least of its fingerprint, and those of linked fingerprints."""
+    """Pairs (a, b) of classes (cid, n, fp) that the index finds: each class with the least of its fingerprint, and those of linked fingerprints."""
     worded = classes.where("n > 0")
-    of = checkpoint(worded.groupBy("fp").agg(F.min("key").alias("a")))
-    same = worded.join(of, "fp").where("key <> a").select("a", F.col("key").alias("b"))
+    of = checkpoint(worded.groupBy("fp").agg(F.min("cid").alias("a")))
+    same = worded.join(of, "fp").where("cid <> a").select("a", F.col("cid").alias("b"))
     pairs = links(of.select("fp"), bits).toDF("fa", "fb")
     linked = pairs.join(of.toDF("fa", "x"), "fa").join(of.toDF("fb", "y"), "fb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return same.union(linked)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that stay when one row of each group of near copies does (five-word shingles, similarity 0.8 or more).
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """The rows of docs, with all columns, that stay when one row of each group of near copies does (five-word shingles, similarity 0.8 or more): that of the smallest id.
 
     Fingerprints within BITS bits are candidates, found by the index. As most pairs of similarity 0.8 lie beyond any number of
-    bits that shared bytes can promise, the pairs of the exact prefix join of `similar` are candidates besides, so that no link
-    is lost. All candidates are verified by their whole sets. What stays, and all edge cases, as of similar.one_of_each_similar.
+    bits that shared bytes can promise, pairs that meet in MinHash buckets are candidates besides, which lose a pair at the limit with
+    a probability of under 1e-9. All are confirmed by their whole sets (minhash.links).
+
+    Words as of shingles.hashes. Null and wordless texts are one component. Rows are told apart by id and text: of unlike
+    texts that share an id each counts for itself, and on ties the smaller hash of the text stays; of rows that repeat
+    both, one stays, that of the smaller hash of its columns. Rows with a null id stay. Very long texts count whole. An
+    empty table gives an empty one; no column's name clashes with a working column.
     """
-    return one_of_each_similar(docs, id_col, text_col, near_candidates)
+    own, (i, t) = by_position(docs, id_col, text_col)
+    with shuffles_removed(docs.sparkSession):
+        own = own.withColumns({"th": F.xxhash64(F.col(t).cast("string")), "id": F.col(i)})
+        known = own.where(F.col("id").isNotNull()).select("id", "th", F.col(t).cast("string").alias("said"))
+        held, named = components(known, width, near_candidates)
+        named = checkpoint(named)
+        best = checkpoint(named.groupBy("root").agg(F.min("least").alias("best")))
+        rows = held.groupBy("id", "th").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("rows")).select("id", "th", "rows", "k.k1", "k.k2")
+        judged = rows.join(named.select("k1", "k2", "root").join(best, "root"), ["k1", "k2"]).select("id", "th", (F.struct("id", "th") == F.col("best")).alias("stays"), "rows")
+        judged = checkpoint(judged.where("not stays or rows > 1"))
+    out = own.join(judged.select("id", "th"), ["id", "th"], "left_anti")
+    repeated = own.join(judged.where("stays").select("id", "th"), ["id", "th"], "left_semi")
+    order = F.xxhash64(*[F.to_json(F.struct(c)) for c in own.columns if c not in ("id", "th")])
+    once = repeated.withColumn("nth", F.row_number().over(Window.partitionBy("id", "th").orderBy(order))).where("nth = 1").drop("nth")
+    return out.unionByName(once).drop("id", "th").toDF(*docs.columns)
