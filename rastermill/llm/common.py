@@ -105,7 +105,8 @@ def map_text(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructF
 
     make() runs once in each task and gives a function from a list of texts (bytes, None for null) to a list of value
     lists, one for each of fields, in the order of the texts. With explode the function gives (rows, values): rows are
-    positions of the texts, as often as wished, and only these come out. Only the columns keep and text leave the scan.
+    positions of the texts, as often as wished, and only these come out. Only the columns keep and text leave the scan. Columns go by
+    position, so that names may be any; those of keep that have the name of a field are replaced.
     """
 
     spark = df.sparkSession
@@ -113,9 +114,10 @@ def map_text(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructF
     new = {f.name for f in fields}
     keep = [c for c in keep if c not in new]
     own = text in keep
-    src = df.select(*[F.col(f"`{c}`") for c in keep], *([] if own else [F.col(f"`{text}`").cast("string").alias("__text")]))
+    placed, at_of = by_position(df, *keep, text)
+    src = placed.select(*at_of[: len(keep)], *([] if own else [F.col(at_of[-1]).cast("string").alias("t")]))
     at = keep.index(text) if own else len(keep)
-    schema = T.StructType([*src.schema.fields[: len(keep)], *fields])
+    schema = T.StructType([*src.schema.fields[: len(keep)], *[T.StructField(f"n{k}", f.dataType) for k, f in enumerate(fields)]])
     names, kinds = schema.names, [to_arrow_type(f.dataType) for f in fields]
     width = len(keep)
 
@@ -132,4 +134,4 @@ def map_text(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructF
                     values = fn(texts)
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(v, kind) for v, kind in zip(values, kinds)]], names=names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])

@@ -34,9 +34,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path; source, language and id stand for directories and file. None is named as a licence file, so none inherits."""
+    """Documents have no path: each ten ids are a project, with directories by source and language. Every tenth id is its project's LICENSE, whose statement, if it has one, the others inherit."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", part("source"), part("lang"), part("doc_id")))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(1).cast("long"))
+    project = F.call_function("div", number, F.lit(10)).cast("string")
+    path = F.when(number % 10 == 0, F.concat_ws("/", project, F.lit("LICENSE"))).otherwise(F.concat_ws("/", project, part("source"), part("lang"), part("doc_id")))
+    docs = table(spark, sf_dir, "documents").withColumn("path", path)
     return licenses.scan(docs, licenses.standard_templates(spark))
 
 

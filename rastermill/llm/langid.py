@@ -23,7 +23,7 @@ from .common import checkpoint, crc_rest, map_text
 SLOTS, PROBES, SAMPLE_DOCS, GRAMS = 1 << 20, 3, 8000, 30_000
 #: An n-gram belongs to a language if its share of that language's n-grams is so large a part of its largest share.
 LEAST_PART = 0.05
-#: An n-gram that only one sampled document holds belongs to no language of so many sampled documents or more.
+#: An n-gram that only one sampled document holds counts half in a language of so many sampled documents, and less in one of more.
 FEW_DOCS = 50
 #: Characters handled at once.
 BLOCK = 1 << 17
@@ -148,23 +148,45 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(crc_rest(id_col, 4) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS, most: int = GRAMS, few: int = FEW_DOCS) -> LanguageFilters:
-    """Filters from at most `sample` documents for each language, with a non-null language and not held out.
+def sample_bound(n: int, sample: int) -> int:
+    """The bound of a 64-bit hash below which `sample` of n documents are expected; any n, in whole numbers."""
+    return (1 << 63) - 1 if n <= sample else -(1 << 63) + (sample << 64) // n
+
+
+def smallest_of_each(open_: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
+    """`sample` rows of each language, those whose id has the smallest hash (more only where ids repeat).
+
+    A first bound on the hash, with room to spare, leaves few ids to rank; the last one ranked is the bound that texts are held against,
+    so that no text is shuffled.
+    """
+    session, u = open_.sparkSession, F.xxhash64("__id", F.lit("lang"))
+    first = session.createDataFrame([(k, sample_bound(n, sample + 6 * int(sample**0.5) + 6)) for k, n in sizes.items()], "of string, bound long")
+    within = lambda df, bounds: df.join(bounds, F.col("__lang") == F.col("of")).where(u <= F.col("bound")).drop("of", "bound")
+    ids = within(open_.select("__id", "__lang"), first).select("__lang", u.alias("u"))
+    nth = F.row_number().over(Window.partitionBy("__lang").orderBy("u"))
+    last = checkpoint(ids.withColumn("nth", nth).where(F.col("nth") <= sample).groupBy(F.col("__lang").alias("of")).agg(F.max("u").alias("bound")))
+    return within(open_, last)
+
+
+def sure_part(docs: int) -> float:
+    """What an n-gram of a single document counts where a language has so many sampled documents: all of it for one, half of it for FEW_DOCS, then ever less."""
+    return 1 / (1 + ((docs - 1) / FEW_DOCS) ** 2)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS, most: int = GRAMS) -> LanguageFilters:
+    """Filters from `sample` documents for each language, with a non-null language and not held out.
 
     The documents of a language are those whose id has the smallest hash. Their n-grams are counted by Spark; of each
     language at most `most` come to the driver, the most frequent ones first, hash order on ties; rarer ones are in no
-    filter, which lowers all shares of a text alike. N-grams of a single document are left out where a language has `few`
-    sampled documents or more, and kept for languages of fewer. The driver holds a row for each language.
+    filter, which lowers all shares of a text alike. An n-gram of a single document counts the less the more documents of its language
+    were sampled (sure_part). The driver holds a row for each language.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__t"))
     open_ = own.where(F.col("__lang").isNotNull() & F.col("__t").isNotNull() & ~held_out("__id"))
     sizes = {r[0]: r[1] for r in open_.groupBy("__lang").count().collect()}
     if not sizes:
         return LanguageFilters([], [], np.zeros(0))
-    # an expected `sample` documents of each language: those below a share of the range of the hash
-    u = F.pmod(F.xxhash64("__id", F.lit("lang")), F.lit(1_000_000))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1, sample / n) * 1_000_000)))])
-    some = open_.where(u < F.element_at(share, F.col("__lang")))
+    some = smallest_of_each(open_, sizes, sample)
 
     def make():
         def run(texts):
@@ -178,9 +200,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     totals = {r[0]: r[1] for r in counted.groupBy("__lang").agg(F.sum("n")).collect()}
     found = {k: np.zeros(0, np.uint64) for k in sizes}
     if totals:
-        weight = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(1.0 / n))])
-        several = [k for k, n in sizes.items() if min(n, sample) >= few]
-        shares = counted.where((F.col("docs") > 1) | ~F.col("__lang").isin(several)).select("__lang", "h", (F.col("n") * F.element_at(weight, F.col("__lang"))).alias("share"))
+        weights = open_.sparkSession.createDataFrame([(k, sure_part(min(sizes[k], sample)), n) for k, n in totals.items()], "lang string, once double, total long").withColumnRenamed("lang", "of")
+        held = counted.join(weights, F.col("__lang") == F.col("of"))  # a small table: Spark sends it or shuffles, as it sees fit
+        # an n-gram of one document alone is worth the less the more documents could have had it
+        shares = held.select("__lang", "h", (F.col("n") / F.col("total") * F.when(F.col("docs") > 1, 1.0).otherwise(F.col("once"))).alias("share")).where("share > 0")
         by_gram = shares.groupBy("h").agg(F.max("share").alias("top"), F.collect_list(F.struct("__lang", "share")).alias("of"))  # one entry for each language
         mine = checkpoint(by_gram.select("h", "top", F.explode("of").alias("x")).where(F.col("x.share") >= LEAST_PART * F.col("top")).select("h", F.col("x.__lang").alias("lang"), F.col("x.share").alias("share")))
         best = Window.partitionBy("lang").orderBy(F.desc("share"), "h")

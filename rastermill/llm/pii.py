@@ -63,9 +63,11 @@ VALID = {
     "phone": f"length({_D.format(t='s.t')}) BETWEEN 10 AND 15",
 }
 _JOINED = "({b}.start - {a}.end BETWEEN 1 AND 2 AND substring({a}.r, 1, {b}.start - {a}.end) RLIKE '^[ ()./-]+$' AND NOT {b}.t LIKE '+%')"
-#: The spans from group s, at place k, over 1, 2, ... neighbouring groups; each has a digit, so that 24 groups suffice for 24 digits,
-#: and with two characters between digits and two before them 24 digits have 72 characters at most.
-_RUNS = f"IF(k + 1 < size(__number) AND {_JOINED.format(a='s', b='element_at(__number, k + 2)')}, aggregate(slice(__number, k + 2, 23), named_struct('last', s, 'on', true, 'out', array(s)), (a, b) -> IF(a.on AND length(a.last.t) <= 72 AND {_JOINED.format(a='a.last', b='b')}, {{longer}}, named_struct('last', a.last, 'on', false, 'out', a.out)), a -> a.out), array(s))"
+#: Groups that a number is written in, at most: nineteen digits in pairs and threes have eight.
+GROUPS = 8
+#: The spans from group s, at place k, over 1, 2, ... GROUPS neighbouring groups; with two characters between digits and two before
+#: them 24 digits have 72 characters at most.
+_RUNS = f"IF(k + 1 < size(__number) AND {_JOINED.format(a='s', b='element_at(__number, k + 2)')}, aggregate(slice(__number, k + 2, {GROUPS - 1}), named_struct('last', s, 'on', true, 'out', array(s)), (a, b) -> IF(a.on AND length(a.last.t) <= 72 AND {_JOINED.format(a='a.last', b='b')}, {{longer}}, named_struct('last', a.last, 'on', false, 'out', a.out)), a -> a.out), array(s))"
 _LONGER = "named_struct('start', a.last.start, 'end', b.end, 't', concat(a.last.t, substring(a.last.r, 1, b.start - a.last.end), b.t), 'l', a.last.l, 'r', b.r)"
 _RUNS = _RUNS.replace("{longer}", f"named_struct('last', {_LONGER}, 'on', true, 'out', concat(a.out, array({_LONGER})))")
 _WORDS = {"w_phone": "tel|phone|call|fax|mobil|whatsapp", "w_card": "card|visa|credit|pay|iban|konto", "w_mail": "mail|contact|write|address", "w_host": "ip|host|server|addr", "w_number": "no|nr|ref|order|isbn|version|commit|token|id"}
@@ -127,7 +129,7 @@ def _with_exact(df: DataFrame) -> DataFrame:
 
 
 def _with_proposed(df: DataFrame) -> DataFrame:
-    """df, which has __exact, with __proposed: spans of the loose patterns, ascending; numbers: each group and all neighbouring groups that hold 7 to 24 digits.
+    """df, which has __exact, with __proposed: spans of the loose patterns, ascending; numbers: each group and up to GROUPS neighbouring ones that hold 7 to 24 digits.
 
     Of each span: mail (the generator), hit (an exact span overlaps it), inside (one covers it), fills (it covers one, with two characters more at most).
     """

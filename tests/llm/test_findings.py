@@ -85,6 +85,33 @@ def test_spdx_headers_inside_another_licence(spark):
     assert got == {0: ("MPL-2.0", "own"), **{k: (v, "own") for k, v in enumerate(said.values(), 1)}, 20: ("ISC", "own"), 21: ("Unlicense", "own"), 22: ("AGPL-3.0", "own"), 23: ("BSD-2-Clause", "own")}
 
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+LICENCES = {
+    "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.": "GPL-2.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "GPL-3.0",
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+    BSD: "BSD-2-Clause",
+    f"Copyright (c) 2020\n\n{BSD}\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED AS IS": "BSD-3-Clause",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+    "This file is not licensed under the Apache License, Version 2.0.": None,
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/": "EPL-2.0",
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.": "Apache-2.0",
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.": "GPL-2.0",
+    "MIT License\n\nCopyright (c) 2021\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:": "MIT",
+    "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.": "Apache-2.0",
+    "This code isn't released under the MIT License.": None,
+    "The committee will license the stadium to two clubs.": None,
+}
+
+
+def test_versions_clauses_and_denials(spark):
+    df = spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(LICENCES)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df, licenses.standard_templates(spark)).collect()}
+    assert got == dict(enumerate(LICENCES.values()))
+
+
 def test_rare_and_bare_secrets(spark, model):
     plain = [(i, f"build {i * 7919:012d} commit {i * 104729 ** 3 % (1 << 128):032x} end") for i in range(5000)]
     bare = [(9000, "see AKIA" + "Q7" * 8 + " here"), (9001, "see ghp_" + "a1B2" * 9 + " here")]
@@ -135,12 +162,18 @@ def licences_by_hand(docs):
     n = len(units) + len(licenses.TEMPLATES)
     weights = lambda s: {w: c * (math.log((n + 1) / (df[w] + 1)) + 1) for w, c in terms(s).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    models, best = [(name, weights(s)) for name, s in licenses.TEMPLATES], {}
+    models, best = [(name, weights(s), licenses.facts(s)) for name, s in licenses.TEMPLATES], {}
     for i, s, spdx in units:
-        v = weights(s)
-        found = [(1.0, spdx)] if spdx else [(round(sum(x * m.get(w, 0) for w, x in v.items()) / norm(v) / norm(m), 9), name) for name, m in models]
-        for c, name in found:
-            if c >= licenses.LEAST_COSINE and (i not in best or (-c, name) < (-best[i][0], best[i][1])):
+        v, (version, marks, denied) = weights(s), licenses.facts(s)
+        top = {}
+        for name, m, (number, kind, _) in models if not spdx and not denied else []:
+            c = round(sum(x * m.get(w, 0) for w, x in v.items()) / norm(v) / norm(m), 9)
+            if kind == marks and number in (None, version) and c >= licenses.LEAST_COSINE:
+                top[name] = max(c, top.get(name, 0))
+        ranked = [(1.0, spdx)] if spdx else sorted(((c, name) for name, c in top.items()), key=lambda x: (-x[0], x[1]))
+        if ranked and (len(ranked) == 1 or ranked[0][0] - ranked[1][0] >= licenses.MARGIN):
+            c, name = ranked[0]
+            if i not in best or (-c, name) < (-best[i][0], best[i][1]):
                 best[i] = (c, name)
     return best
 
@@ -150,8 +183,14 @@ def test_licences_equal_plain_tf_idf(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     want = licences_by_hand(docs)
     rows = entry.op5_license_scan(spark, d).collect()
-    assert {r.doc_id for r in rows if r.origin == "inherited"} == set()
-    assert {r.doc_id: (round(r.cosine, 6), r.license) for r in rows if r.license} == {i: (round(c, 6), name) for i, (c, name) in want.items()}
+    folders = {(r.path.rsplit("/", 1)[0]): r.license for r in rows if r.path.endswith("/LICENSE") and r.origin == "own"}
+    assert folders
+    for r in rows:
+        if r.origin != "own":
+            above = [f for f in folders if r.path.startswith(f + "/")]
+            assert (r.license, r.origin, r.directory) == ((folders[above[0]], "inherited", above[0]) if above else (None, None, None))
+    assert any(r.origin == "inherited" for r in rows)
+    assert {r.doc_id: (round(r.cosine, 6), r.license) for r in rows if r.origin == "own"} == {i: (round(c, 6), name) for i, (c, name) in want.items()}
 
 
 def test_licence_ties_and_long_texts(spark):

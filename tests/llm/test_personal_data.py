@@ -122,3 +122,19 @@ def test_any_column_name(spark, model):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "x [EMAIL]", *range(len(names))), (None, None, *range(len(names)))], key=repr)
     got = pii.personal_data(df, model, ["doc_id", *names])
     assert got.columns[: len(names) + 1] == ["doc_id", *names] and got.where("n_email = 1").count() == 1
+
+
+def test_dense_short_numbers(spark):
+    """A table of single digits: each has two proposals, not twenty-three, and the cost grows with the text."""
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = pii.fit(docs)
+    took = {}
+    for size in (20_000, 100_000):
+        df = spark.createDataFrame([(1, " ".join("1234567890"[k % 10] for k in range(size // 2))), (2, "call 555-123-4567 or +1 415 555 2671")], "doc_id long, text string")
+        start = time.perf_counter()
+        got = {r.doc_id: r for r in pii.personal_data(df, model, ["doc_id"]).collect()}
+        took[size] = time.perf_counter() - start
+        assert got[2].n_phone == 1 and got[1].n_phone == 0
+    assert took[100_000] < 10 * max(took[20_000], 1)
