@@ -54,11 +54,11 @@ def decay_sizes(params: DataFrame) -> DataFrame:
     i = F.col("stroke_id")
     x = F.when(n > 1, i * n / (n - 1)).otherwise(F.lit(0.0))
     stop = n * cut
-    lin = s + x / stop * (e - s)
-    k = F.lit(1.0) / soft * (F.sqrt(F.abs(e - s)) / n)
-    sig = F.when(soft <= 0, F.when(x >= stop / 2, e).otherwise(s).cast("double")).otherwise(s + (e - s) / (1 + F.exp(-k * (x - stop / 2))))
-    curve = F.when(x >= stop, e.cast("double")).otherwise(prog * sig + (1 - prog) * lin)
-    even = F.floor(_steady(curve) / 2) * 2
+    straight = s + x / stop * (e - s)
+    steepness = F.lit(1.0) / soft * (F.sqrt(F.abs(e - s)) / n)
+    step = F.when(soft <= 0, F.when(x >= stop / 2, e).otherwise(s).cast("double")).otherwise(s + (e - s) / (1 + F.exp(-steepness * (x - stop / 2))))
+    mixed = F.when(x >= stop, e.cast("double")).otherwise(prog * step + (1 - prog) * straight)
+    even = F.floor(_steady(mixed) / 2) * 2
     return df.select("image_id", "stroke_id", F.when(cut <= 0, e).when(cut >= 3, s).otherwise(even).cast("int").alias("size"))
 
 

@@ -286,6 +286,7 @@ def _sql() -> dict[str, str]:
         "valid_strokes": _with("strokes", f"SELECT image_id, stroke_id, channel, row, col, size FROM strokes WHERE row<{H} AND col<{W}"),
         "footprint": _with("fp", "SELECT image_id, stroke_id, channel, row, col, quarter FROM fp"),
         "strokes_anti": _with("fp", "SELECT image_id, stroke_id, channel, row, col, size FROM strokes s WHERE NOT EXISTS (SELECT 1 FROM fp f WHERE f.image_id=s.image_id AND f.stroke_id=s.stroke_id)"),
+        "strokes_semi": _with("fp", "SELECT image_id, stroke_id, channel, row, col, size FROM strokes s WHERE EXISTS (SELECT 1 FROM fp f WHERE f.image_id=s.image_id AND f.stroke_id=s.stroke_id)"),
         "overlapping_strokes": _with("strokes", "SELECT a.image_id, a.channel, a.stroke_id AS first, b.stroke_id AS second FROM strokes a JOIN strokes b ON a.image_id=b.image_id AND a.channel=b.channel AND a.stroke_id<b.stroke_id AND a.row<b.row+b.size AND b.row<a.row+a.size AND a.col<b.col+b.size AND b.col<a.col+a.size"),
         "summed_area": _with("sat", "SELECT * FROM sat"),
         "rect_stats": _with("fp", "SELECT f.image_id, f.stroke_id, f.channel, f.quarter, COUNT(*) AS n, SUM(p.value) AS total FROM fp f JOIN px p ON f.image_id=p.image_id AND f.channel=p.channel AND f.row=p.row AND f.col=p.col GROUP BY 1,2,3,4"),

@@ -315,6 +315,11 @@ def strokes_anti(spark, d):
     return strokes.covering_strokes(some_strokes(spark, d), px(spark, d), False).select("image_id", "stroke_id", "channel", "row", "col", "size")
 
 
+@query
+def strokes_semi(spark, d):
+    return strokes.covering_strokes(some_strokes(spark, d), px(spark, d)).select("image_id", "stroke_id", "channel", "row", "col", "size")
+
+
 @query
 def overlapping_strokes(spark, d):
     return strokes.overlapping_strokes(some_strokes(spark, d))
