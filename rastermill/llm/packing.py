@@ -226,7 +226,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     piece, sequences hold at most `limit` ids, and offsets in a sequence run from 0 without a gap. The order is that of
     the rows in each partition of docs; nothing is shuffled, and a partition's last sequences are cut into powers of two
     where that saves padding. sequence_id is the partition's number times 2**33 plus the sequence's number there. Repeated
-    rows and ids are packed as often as they occur. Other columns are left out.
+    rows and ids are packed as often as they occur; a null id is an id. Very long texts are cut into as many pieces as they need; an
+    empty table gives an empty one. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)

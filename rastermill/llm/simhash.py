@@ -93,7 +93,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased (A-Z), split into words at space and U+0009..U+000D, and hashed as 4-word shingles (XXH64, seed
     42); shorter texts are one shingle; null and wordless texts have fingerprint 0 and are linked like any other. Equal
     fingerprints are one class, so copies cost nothing beyond their row. Rows with a null id get their component's
-    smallest id, null if all its ids are null. Repeated ids are separate rows. Other columns are left out.
+    smallest id, null if all its ids are null. Repeated ids are separate rows. Very long texts count whole; an empty table gives an
+    empty one. Other columns are left out, whatever their names.
     """
     held = checkpoint(fingerprints(docs, id_col, text_col))
     classes = held.groupBy("fp").agg(F.min(id_col).alias("least"))

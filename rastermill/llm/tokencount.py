@@ -113,8 +113,8 @@ class Counter:
 def token_counts(docs: DataFrame, vocabulary_path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns keep with n_tokens (greedy longest-match pieces of the whole text) and n_words (its space-parted chunks).
 
-    Null and empty texts have none of either. Rows are counted one by one, repeated ones equally; columns of keep that
-    have the name of a result are replaced.
+    Null and empty texts have none of either. Very long texts count whole, chunk by chunk; an empty table gives an empty one. Rows are
+    counted one by one, repeated ones equally; columns of keep that have the name of a result are replaced, other names never clash.
     """
 
     def make():
