@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, gam, isolation, langid, licenses, minhash, packing, periodic, pii, secretscan, simhash, tokencount
+from . import conversations, decontaminate, gam, isolation, langid, licenses, minhash, oracle, packing, periodic, pii, secretscan, simhash, tokencount
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -93,5 +93,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be had from SQL: they need trained models, automata, tokenizers, iteration or hashes that SQL lacks."""
-    return {}
+    """Only what SQL has the means for: the rest needs trained models, tokenizers or hashes that SQL lacks."""
+    return dict(oracle.SQL)
