@@ -107,10 +107,10 @@ def code_tiles(codes: DataFrame, sizes: list[int], book: list[int]) -> DataFrame
     half = F.element_at(F.array(*[F.lit(max(1, s // 2)) for s in sizes]), F.col("layer") + 1)
     corner = lambda q: F.col(q).cast("long") * half
     number = idiv(corner("qr") % tile, half) * idiv(F.lit(tile), half) + idiv(corner("qc") % tile, half) + region * idiv(F.lit(tile), half) * idiv(F.lit(tile), half)
-    placed = codes.select(*KC, idiv(corner("qr"), tile).alias("tr"), idiv(corner("qc"), tile).alias("tc"), "layer", F.struct(number.cast("int").alias("at"), book_value(book, F.col("idx")).alias("by")).alias("c"))
-    own = lambda k: F.array_sort(F.collect_list(F.when(F.col("layer") == k, F.col("c"))))
-    tiles = placed.groupBy(*KC, "tr", "tc").agg(*[own(k).alias(f"l{k}") for k in range(len(sizes))])
-    return tiles.select(*KC, "tr", "tc", *[F.struct(F.col(f"l{k}.at").alias("at"), F.col(f"l{k}.by").alias("by")).alias(f"l{k}") for k in range(len(sizes))])
+    placed = codes.select(*KC, idiv(corner("qr"), tile).alias("tr"), idiv(corner("qc"), tile).alias("tc"), F.struct(F.col("layer").cast("int").alias("layer"), number.cast("int").alias("at"), book_value(book, F.col("idx")).alias("by")).alias("c"))
+    tiles = placed.groupBy(*KC, "tr", "tc").agg(F.array_sort(F.collect_list("c")).alias("all"))
+    own = lambda k: F.filter("all", lambda c: c["layer"] == k)
+    return tiles.select(*KC, "tr", "tc", *[own(k).alias(f"l{k}") for k in range(len(sizes))]).select(*KC, "tr", "tc", *[F.struct(F.col(f"l{k}.at").alias("at"), F.col(f"l{k}.by").alias("by")).alias(f"l{k}") for k in range(len(sizes))])
 
 
 def canvas_tiles(canvas: DataFrame, sizes: list[int]) -> DataFrame:
