@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -60,6 +61,24 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables that a piece of work writes to the shared folder and reads again, packed closer than checkpoints; they go when the work ends, or fails."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.home, self.made = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        df.write.parquet(f"{self.home}/{self.made}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.home}/{self.made}")
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.home)
+
+
 def by_position(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
     """df with its columns named c0, c1, ..., so that no name clashes with a working column or needs quoting; new names of `columns`."""
     names = df.columns

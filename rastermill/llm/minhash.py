@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_position, checkpoint, map_text, shuffles_removed
+from .common import Scratch, by_position, checkpoint, map_text, shuffles_removed
 from .graph import connected_components
 from .shingles import fingerprint, hashes
 
@@ -160,13 +160,13 @@ def _sketched(rows: DataFrame, classes: DataFrame, c: str, name: str) -> DataFra
     return rows.join(own, F.col(c) == F.col(f"__{name}")).drop(f"__{name}")
 
 
-def links(classes: DataFrame, known: DataFrame, width: int = WIDTH, index: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def links(classes: DataFrame, known: DataFrame, scratch: Scratch, width: int = WIDTH, index: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) of classes (cid, n, fp, sig, least) that give the components of all similar pairs; known: (id, th, said), with the text of each
     class's least (id, th); index: pairs (a, b) of cid to look at besides."""
     bucket = F.explode(F.slice("sig", ODD + 1, BANDS)).alias("bucket")
     postings = classes.where(F.size("sig") > 0).select("cid", bucket).repartition("bucket")
     sizes = postings.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1")
-    live = checkpoint(postings.join(sizes, "bucket"))
+    live = scratch.put(postings.join(sizes, "bucket"))
     weight = live.groupBy("cid").agg(F.sum("g").alias("w"))
     weighed = live.join(weight, "cid").repartition("bucket")
     pivots = weighed.groupBy("bucket").agg(F.max(F.struct("w", "cid")).alias("p")).select("bucket", F.col("p.cid").alias("a"))
@@ -189,16 +189,16 @@ def links(classes: DataFrame, known: DataFrame, width: int = WIDTH, index: Calla
     return checkpoint(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(two))
 
 
-def components(known: DataFrame, width: int, index: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def components(known: DataFrame, width: int, scratch: Scratch, index: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(held, named) of the texts known (id, th, said): held (id, th, k1, k2, n) a row for each, named (k1, k2, least, first, root) a row for each distinct set.
 
     Rows with one root are a component; least is a set's smallest (id, th), first its smallest id. The empty set has no link. With an
     index, classes have their SimHash as fp.
     """
-    held = checkpoint(_measured(known, width, index is not None))
+    held = scratch.put(_measured(known, width, index is not None))
     some = held.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("least"), F.min("id").alias("first"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("sig").alias("sig"))
-    classes = checkpoint(some.withColumn("cid", F.monotonically_increasing_id()))
-    roots = connected_components(links(classes, known, width, index))
+    classes = scratch.put(some.withColumn("cid", F.monotonically_increasing_id()))
+    roots = connected_components(links(classes, known, scratch, width, index))
     named = classes.select("k1", "k2", "cid", "least", "first").join(roots, F.col("cid") == F.col("node"), "left")
     return held.select("id", "th", "k1", "k2", "n"), named.select("k1", "k2", "least", "first", F.coalesce("root", "cid").alias("root"))
 
@@ -214,12 +214,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty one. Other columns are left out, whatever their names.
     """
     own, (i, t) = by_position(docs, id_col, text_col)
-    with shuffles_removed(docs.sparkSession):
+    with shuffles_removed(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
         known = own.select(F.col(i).alias("id"), F.xxhash64(F.col(t).cast("string")).alias("th"), F.col(t).cast("string").alias("said"))
-        held, named = components(known, width)
+        held, named = components(known, width, scratch)
+        named = scratch.put(named)
         best = named.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = checkpoint(named.join(best, "root").select("k1", "k2", "component_id"))
+        named = scratch.put(named.join(best, "root").select("k1", "k2", "component_id"))
         alone = held.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-        rows = checkpoint(held.where("n > 0").select("id", "n", "k1", "k2")).join(named, ["k1", "k2"]).select("id", "n", "component_id")
+        out = checkpoint(held.where("n > 0").select("id", "n", "k1", "k2").join(named, ["k1", "k2"]).select("id", "n", "component_id").union(alone))
     kept = F.col("id").eqNullSafe(F.col("component_id"))
-    return rows.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

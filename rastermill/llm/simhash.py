@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_position, checkpoint, map_text, shuffles_removed
+from .common import Scratch, by_position, checkpoint, map_text, shuffles_removed
 from .graph import connected_components
 from .minhash import components
 from .shingles import fingerprint, hashes
@@ -128,16 +128,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty one; no column's name clashes with a working column.
     """
     own, (i, t) = by_position(docs, id_col, text_col)
-    with shuffles_removed(docs.sparkSession):
+    with shuffles_removed(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
         own = own.withColumns({"th": F.xxhash64(F.col(t).cast("string")), "id": F.col(i)})
         known = own.where(F.col("id").isNotNull()).select("id", "th", F.col(t).cast("string").alias("said"))
-        held, named = components(known, width, near_candidates)
-        named = checkpoint(named)
-        best = checkpoint(named.groupBy("root").agg(F.min("least").alias("best")))
+        held, named = components(known, width, scratch, near_candidates)
+        named = scratch.put(named)
+        best = scratch.put(named.groupBy("root").agg(F.min("least").alias("best")))
         rows = held.groupBy("id", "th").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("rows")).select("id", "th", "rows", "k.k1", "k.k2")
         judged = rows.join(named.select("k1", "k2", "root").join(best, "root"), ["k1", "k2"]).select("id", "th", (F.struct("id", "th") == F.col("best")).alias("stays"), "rows")
         judged = checkpoint(judged.where("not stays or rows > 1"))
     out = own.join(judged.select("id", "th"), ["id", "th"], "left_anti")
+    if judged.where("stays").isEmpty():  # no row repeats both id and text: the texts are shuffled once
+        return out.drop("id", "th").toDF(*docs.columns)
     repeated = own.join(judged.where("stays").select("id", "th"), ["id", "th"], "left_semi")
     order = F.xxhash64(*[F.to_json(F.struct(c)) for c in own.columns if c not in ("id", "th")])
     once = repeated.withColumn("nth", F.row_number().over(Window.partitionBy("id", "th").orderBy(order))).where("nth = 1").drop("nth")
