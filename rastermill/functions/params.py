@@ -63,10 +63,13 @@ def decay_sizes(params: DataFrame) -> DataFrame:
 
 
 def curve_sample(sizes: DataFrame, k: int) -> DataFrame:
-    """(image_id, sample, stroke_id, size): k evenly spaced strokes of each image's curve, first and last among them."""
+    """(image_id, sample, stroke_id, size): k evenly spaced strokes of each image's curve, first and last among them.
+
+    Both sides are dealt by stroke: sizes are often made by exploding a small table, which the optimiser takes for small and would broadcast.
+    """
     ends = sizes.groupBy("image_id").agg((F.max("stroke_id") + 1).alias("n"))
     at = ends.select("image_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / F.lit(max(k - 1, 1))).cast("int"))).alias("sample", "stroke_id"))
-    return at.join(sizes, ["image_id", "stroke_id"]).select("image_id", "sample", "stroke_id", "size")
+    return at.join(sizes.hint("merge"), ["image_id", "stroke_id"]).select("image_id", "sample", "stroke_id", "size")
 
 
 def quadrant_depth(df: DataFrame, most: int = 8) -> DataFrame:
