@@ -1,6 +1,7 @@
 """Binary pixmaps (P6) and greymaps (P5) as a data source: files are read in bands of rows, and written one by each image.
 
-A partition is a range of a file's bytes, so that one large picture spans many tasks and the driver opens no file. Names are looked at before
+A band is a range of a file's bytes, so that one large picture spans many tasks and the driver opens no file; a partition is one band of a large
+picture, or as many small ones as make up _PART bytes, each file counted _OPEN bytes more. Names are looked at before
 any file is opened; height and width are in the header, behind which a band that they rule out stops.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 SCHEMA = "image_id long, origin string, height int, width int, channel int, row int, col int, value int"
 _HEADER = re.compile(rb"P([56])\s(?:\s|#[^\n]*\n)*(\d+)\s+(\d+)\s+(\d+)\s")
+#: Bytes of a partition where bands are smaller, and what opening a file counts.
+_PART, _OPEN = 8 << 20, 16 << 10
 _PASSES = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, StringStartsWith: lambda a, b: a.startswith(b)}
 
 
@@ -36,10 +39,10 @@ def image_key(origin: str) -> int:
 
 
 @dataclass
-class Band(InputPartition):
-    origin: str
-    start: int
-    end: int
+class Bands(InputPartition):
+    """Ranges (origin, start, end): bands of one file that follow each other are one range, cut again where it is read."""
+
+    ranges: list
 
 
 class _Reader(DataSourceReader):
@@ -58,18 +61,32 @@ class _Reader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Band]:
+    def partitions(self) -> list[Bands]:
         where, root = _place(self.path)
-        out = []
+        out, now, held = [], [], 0
         for f in where.get_file_info(fs.FileSelector(root, recursive=True)):
             if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.pattern) and all(_PASSES[kind](f.path, value) for kind, value in self.by_name):
-                out += [Band(f.path, at, min(at + self.band, f.size)) for at in range(0, f.size, self.band)]
-        return out
-
-    def read(self, band: Band) -> Iterator[pa.RecordBatch]:
-        """Cells of the rows whose first byte lies in the band."""
+                for at in range(0, f.size, self.band):
+                    end = min(at + self.band, f.size)
+                    if now and now[-1][0] == f.path:
+                        now[-1] = (f.path, now[-1][1], end)
+                    else:
+                        now.append((f.path, at, end))
+                        held += _OPEN
+                    held += end - at
+                    if held >= _PART:
+                        out.append(Bands(now))
+                        now, held = [], 0
+        return [*out, Bands(now)] if now else out
+
+    def read(self, bands: Bands) -> Iterator[pa.RecordBatch]:
+        for origin, start, end in bands.ranges:
+            yield from self._rows(origin, start, end)
+
+    def _rows(self, origin: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+        """Cells of the rows whose first byte lies in the range, band by band."""
         where, _ = _place(self.path)
-        with where.open_input_file(band.origin) as f:
+        with where.open_input_file(origin) as f:
             head = _HEADER.match(f.read(min(f.size(), 4096)))
             if not head or int(head[4]) > 255:
                 return
@@ -78,10 +95,9 @@ class _Reader(DataSourceReader):
             if not width or not all(_PASSES[kind](size[c], value) for c, kind, value in self.by_header):
                 return
             line, base = width * planes, head.end()
-            first, last = (max(0, -(-(at - base) // line)) for at in (band.start, band.end))
-            first, last = (0 if band.start == 0 else first), min(last, height)
+            row = lambda at: 0 if at == 0 else min(height, max(0, -(-(at - base) // line)))  # the first one that starts there or later
             step = max(1, (1 << 18) // line)
-            for top in range(first, last, step):
+            for top, last in ((top, last) for at in range(start, end, self.band) for last in [row(min(at + self.band, end))] for top in range(row(at), last, step)):
                 rows = min(step, last - top)
                 f.seek(base + top * line)
                 data = np.frombuffer(f.read(rows * line), np.uint8)
@@ -90,7 +106,7 @@ class _Reader(DataSourceReader):
                 n = len(data)
                 r, rest = np.divmod(np.arange(n), line)
                 const = lambda v, kind: pa.array(np.full(n, v), kind)
-                columns = [const(image_key(band.origin), pa.int64()), pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), [band.origin]).cast(pa.string()), const(height, pa.int32()), const(width, pa.int32()), pa.array(rest % planes, pa.int32()), pa.array(top + r, pa.int32()), pa.array(rest // planes, pa.int32()), pa.array(data, pa.int32())]
+                columns = [const(image_key(origin), pa.int64()), pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), [origin]).cast(pa.string()), const(height, pa.int32()), const(width, pa.int32()), pa.array(rest % planes, pa.int32()), pa.array(top + r, pa.int32()), pa.array(rest // planes, pa.int32()), pa.array(data, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["image_id", "origin", "height", "width", "channel", "row", "col", "value"])
 
 
@@ -174,6 +190,7 @@ def write_pixmaps(cells: DataFrame, path: str, h: int, w: int, planes: int = 3)
     place = F.col("col") * planes + F.col("channel")
     held = lines.groupBy("image_id", "row").agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int"), F.col("value").cast("int")))).alias("m"))
     every = cells.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("row")).join(held, ["image_id", "row"], "left")
-    line = F.transform(F.sequence(F.lit(0), F.lit(w * planes - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)))
+    byte = lambda v: F.when(v.between(0, 255), F.lpad(F.hex(v), 2, "0")).otherwise(F.raise_error(F.concat(F.lit("no byte: "), v.cast("string"))))
+    line = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(w * planes - 1)), lambda k: byte(F.coalesce(F.try_element_at("m", k), F.lit(0)))), ""))
     out = every.select("image_id", F.lit(h).alias("height"), F.lit(w).alias("width"), F.lit(planes).alias("planes"), "row", line.alias("line"))
     out.repartition("image_id").sortWithinPartitions("image_id", "row").write.format("netpbm").option("path", path).mode("append").save()

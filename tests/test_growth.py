@@ -1,6 +1,9 @@
 """Plans and files that must not grow faster than the tables."""
 
+import pytest
+
 from rastermill.functions import params
+from rastermill.sources import netpbm
 
 
 def plan(df) -> str:
@@ -13,3 +16,28 @@ def test_curve_sample_broadcasts_no_curve(spark):
     got = params.curve_sample(params.decay_sizes(p), 5)
     assert "Broadcast" not in plan(got)
     assert sorted((r.image_id, r["sample"], r.stroke_id) for r in got.collect()) == sorted((i, k, k * (n - 1) // 4) for i, n, *_ in rows for k in range(5))
+
+
+def test_small_pictures_share_partitions(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.pgm").write_bytes(b"P5\n3 4\n255\n" + bytes((i + k) % 256 for k in range(12)))
+    got = netpbm.scan_pixmaps(spark, str(tmp_path), 5)
+    assert got.rdd.getNumPartitions() == 1
+    assert {(r.image_id, r.row, r.col): r.value for r in got.collect()} == {(i, k // 3, k % 3): (i + k) % 256 for i in range(300) for k in range(12)}
+    parts = netpbm._Reader({"path": str(tmp_path), "bandbytes": str(1 << 22)}).partitions()
+    assert sorted(o for p in parts for o, _, _ in p.ranges) == sorted(str(f) for f in tmp_path.iterdir())
+
+
+def test_large_pictures_span_partitions(tmp_path):
+    (tmp_path / "1.pgm").write_bytes(b"P5\n1000 20000\n255\n" + bytes(20_000_000))
+    reader = netpbm._Reader({"path": str(tmp_path), "bandbytes": "1000000"})
+    parts = reader.partitions()
+    assert len(parts) == 3
+    rows = [sorted({r for b in reader.read(p) for r in (b.column(5)[0].as_py(), b.column(5)[-1].as_py())}) for p in parts]
+    assert rows[0][0] == 0 and rows[-1][-1] == 19999 and all(b[0] == a[-1] + 1 for a, b in zip(rows, rows[1:]))
+
+
+def test_values_that_are_no_byte_are_not_written(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0, 0, 0, 256)], "image_id long, channel int, row int, col int, value int")
+    with pytest.raises(Exception, match="no byte"):
+        netpbm.write_pixmaps(cells, str(tmp_path), 1, 1, 1)
