@@ -39,6 +39,16 @@ def densify(sparse: DataFrame, h: int, w: int, fill: Column | None = None, chann
     return full.join(sparse, CELL, "left").select(*CELL, F.coalesce("value", fill if fill is not None else F.lit(0)).cast("int").alias("value"))
 
 
+def coloured(cells: DataFrame, colours: DataFrame) -> DataFrame:
+    """cells of images and channels that colours (image_id, channel, colour; each once) has, with colour.
+
+    An image's colours are one row, so that cells in partitions by image meet them without a shuffle; cells are not sorted.
+    """
+    own = colours.where("channel IS NOT NULL").groupBy(*K).agg(F.map_from_entries(F.collect_list(F.struct(F.col("channel").cast("int").alias("channel"), F.struct(F.col("colour").cast("int").alias("c")).alias("c")))).alias("__own"))
+    met = cells.join(own.hint("shuffle_hash"), K).withColumn("__c", F.try_element_at("__own", F.col("channel").cast("int")))
+    return met.where("__c IS NOT NULL").withColumn("colour", F.col("__c.c")).drop("__own", "__c")
+
+
 def fill_canvas(cells: DataFrame, colours: DataFrame) -> DataFrame:
     """A canvas of cells' shape in one colour for each image and channel: colours has (image_id, channel, colour)."""
-    return cells.select(*CELL).join(colours, KC).select(*CELL, F.col("colour").cast("int").alias("value"))
+    return coloured(cells.select(*CELL), colours).select(*CELL, F.col("colour").alias("value"))

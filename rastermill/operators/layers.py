@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import CELL, KC, K, book_value, clip_add, code_bits, idiv, nearest_code, quadrant_code
 from ..sources.storage import checkpoint
+from .cells import coloured
 from .evaluate import few_rows
 from .quadrant import channel_selector, quadrant_error, worst_quadrant
 from .residual import channel_error, residual
@@ -38,8 +39,12 @@ def _tile(sizes: list[int]) -> int:
 def _paired(target: DataFrame, canvas: DataFrame, tile: int) -> DataFrame:
     """(cell, target, canvas, tr, tc) for cells that both have, partitioned by image, channel and tile (tr, tc): each side is shuffled once.
 
-    A join on the cell would shuffle both sides by all four keys, and its rows once more for the layers.
+    A join on the cell would shuffle both sides by all four keys, and its rows once more for the layers. canvas may be colours
+    (image_id, channel, colour), for a canvas of target's shape in them: then target alone is shuffled.
     """
+    if "colour" in canvas.columns:
+        both = coloured(target.select(*CELL, F.col("value").cast("int").alias("target")), canvas).withColumnRenamed("colour", "canvas").where("target IS NOT NULL AND canvas IS NOT NULL")
+        return both.withColumns({"tr": idiv(F.col("row"), tile), "tc": idiv(F.col("col"), tile)}).repartition(*KC, "tr", "tc")
     none = F.lit(None).cast("int")
     both = target.select(*CELL, F.col("value").cast("int").alias("target"), none.alias("canvas")).unionByName(canvas.select(*CELL, none.alias("target"), F.col("value").cast("int").alias("canvas")))
     both = both.withColumns({"tr": idiv(F.col("row"), tile), "tc": idiv(F.col("col"), tile)}).repartition(*KC, "tr", "tc")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import CELL, KC, K, book_value, clip_add, code_bits, idiv, nearest_code, quadrant_code
 from ..sources.storage import checkpoint, write_bucketed
+from .cells import coloured
 from .quadrant import channel_selector, top_k_quadrants
 
 REGION = [*KC, "code"]
@@ -29,10 +30,14 @@ def _off() -> Column:
 def _tiled(target: DataFrame, canvas: DataFrame, h: int, w: int, depth: int) -> DataFrame:
     """(region, cells) by tiles of each region, as a table in buckets by region: each side is shuffled once, and the table never."""
     parts = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    none = F.lit(None).cast("int")
-    both = target.select(*CELL, F.col("value").cast("int").alias("target"), none.alias("canvas")).unionByName(canvas.select(*CELL, none.alias("target"), F.col("value").cast("int").alias("canvas")))
-    placed = both.withColumn("code", quadrant_code(F.col("row"), F.col("col"), h, w, depth)).repartition(parts, *REGION)
-    cells = placed.groupBy(*REGION, "row", "col").agg(F.max("target").alias("target"), F.max("canvas").alias("canvas")).where("target IS NOT NULL AND canvas IS NOT NULL")
+    inside = lambda df: df.withColumn("code", quadrant_code(F.col("row"), F.col("col"), h, w, depth)).repartition(parts, *REGION)
+    if "colour" in canvas.columns:  # one colour for each channel: target alone is shuffled
+        cells = inside(coloured(target.select(*CELL, F.col("value").cast("int").alias("target")), canvas).withColumnRenamed("colour", "canvas"))
+    else:
+        none = F.lit(None).cast("int")
+        both = inside(target.select(*CELL, F.col("value").cast("int").alias("target"), none.alias("canvas")).unionByName(canvas.select(*CELL, none.alias("target"), F.col("value").cast("int").alias("canvas"))))
+        cells = both.groupBy(*REGION, "row", "col").agg(F.max("target").alias("target"), F.max("canvas").alias("canvas"))
+    cells = cells.where("target IS NOT NULL AND canvas IS NOT NULL")
     tiles = cells.groupBy(*REGION, idiv(F.col("row"), TILE).alias("tr"), idiv(F.col("col"), TILE).alias("tc")).agg(F.collect_list(F.struct("row", "col", "target", "canvas")).alias("cells"))
     return write_bucketed(tiles, f"regions_{uuid.uuid4().hex}", REGION, parts, True)
 

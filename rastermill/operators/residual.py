@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import CELL, KC, K, idiv
+from .cells import coloured
 
 
 def residual(target: DataFrame, canvas: DataFrame) -> DataFrame:
-    """Cells with target, canvas, diff (target - canvas) and err (its size), by an equi-join on the whole cell."""
-    a, b = target.withColumnRenamed("value", "target"), canvas.withColumnRenamed("value", "canvas")
-    both = a.join(b, CELL)
+    """Cells with target, canvas, diff (target - canvas) and err (its size), by an equi-join on the whole cell.
+
+    canvas may be colours (image_id, channel, colour) instead, for a canvas of target's shape in them: then no cells are paired.
+    """
+    a = target.withColumnRenamed("value", "target")
+    if "colour" in canvas.columns:
+        both = coloured(a, canvas).withColumnRenamed("colour", "canvas")
+    else:
+        both = a.join(canvas.withColumnRenamed("value", "canvas"), CELL)
     return both.select(*CELL, "target", "canvas", (F.col("target") - F.col("canvas")).alias("diff"), F.abs(F.col("target") - F.col("canvas")).alias("err"))
 
 

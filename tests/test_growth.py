@@ -3,6 +3,9 @@
 import pytest
 
 from rastermill.functions import params
+from rastermill.operators import cells, layers, residual, resample
+from rastermill.plans import fixtures as fx
+from rastermill.plans import queries
 from rastermill.sources import netpbm
 
 
@@ -41,3 +44,33 @@ def test_values_that_are_no_byte_are_not_written(spark, tmp_path):
     cells = spark.createDataFrame([(1, 0, 0, 0, 256)], "image_id long, channel int, row int, col int, value int")
     with pytest.raises(Exception, match="no byte"):
         netpbm.write_pixmaps(cells, str(tmp_path), 1, 1, 1)
+
+
+def shuffles_of_cells(df) -> int:
+    """Exchanges in the plan above the one that deals packed images."""
+    return plan(df).count("Exchange hashpartitioning(") - plan(df).count("REPARTITION_BY_NUM") * 2
+
+
+def test_rasters_are_those_of_the_sql(spark, tmp_path):
+    rows = [(s, o, p, 3.0, 0.05, 0.02) for s in (None, 1, 2) for o, p in ((5, 7), (29, 39), (5, None), (None, 1), (-3, 4), (4, -3))] + [(3, None, None, 1.0, 0.1, 0.1), (4, 1, 1, None, None, None), (4, 2, 2, 1e9, 0.0, 0.0)]
+    table = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_partkey long, l_quantity double, l_discount double, l_tax double")
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    mine, theirs = fx.rasters(spark, str(tmp_path)), fx.frame(spark, str(tmp_path), fx.PX_LI)
+    assert mine.dtypes == theirs.dtypes
+    assert mine.exceptAll(theirs).isEmpty() and theirs.exceptAll(mine).isEmpty() and mine.count() == 5 * 3 * fx.H * fx.W
+
+
+def test_cells_of_rasters_are_not_shuffled(spark, sf):
+    p = queries.px(spark, sf)
+    for df in (resample.resample(p, fx.H, fx.W, 10, 40), residual.start_color(p), queries.res(spark, sf), queries.canvas(spark, sf)):
+        assert shuffles_of_cells(df) == 0
+
+
+def test_a_canvas_may_be_colours(spark):
+    p = spark.createDataFrame([(i, c, r, k, (i * 7 + c * 5 + r * 3 + k * 11) % 256) for i in (1, 2) for c in range(3) for r in range(5) for k in range(6)], "image_id long, channel int, row int, col int, value int")
+    some = residual.start_color(p).where("NOT (image_id = 2 AND channel = 1)")
+    whole = cells.fill_canvas(p, some)
+    assert whole.count() == 150
+    for f in (lambda canvas: residual.residual(p, canvas), lambda canvas: layers.encode_layers(p, canvas, [4, 2], [-9, 0, 9])):
+        a, b = f(whole), f(some)
+        assert a.dtypes == b.dtypes and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
