@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Steps:
+    """Tables that the steps of a piece of work write to the shared folder, packed closer than checkpoints, and remove when a later one is written.
+
+    Shuffle files of a step go when it is written, where Spark can do so.
+    """
+
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.home, self.at = spark, f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}", {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, before = f"{self.home}/{len(self.at)}", self.spark.conf.get(self._CLEAN, None)
+        if before is not None:
+            self.spark.conf.set(self._CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is not None:
+                self.spark.conf.set(self._CLEAN, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.at[id(out)] = (path, out)
+        return out
+
+    def remove(self, made: DataFrame) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at[id(made)][0])
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = 16, dealt: bool = False) -> DataFrame:
     """df as a table of the warehouse in buckets by keys, and read from it: joins of such tables by these keys shuffle neither.
 

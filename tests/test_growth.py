@@ -1,12 +1,14 @@
 """Plans and files that must not grow faster than the tables."""
 
+import os
+
 import pytest
 
 from rastermill.functions import params
-from rastermill.operators import cells, layers, residual, resample
+from rastermill.operators import cells, layers, residual, resample, search
 from rastermill.plans import fixtures as fx
 from rastermill.plans import queries
-from rastermill.sources import netpbm
+from rastermill.sources import netpbm, storage
 
 
 def plan(df) -> str:
@@ -74,3 +76,20 @@ def test_a_canvas_may_be_colours(spark):
     for f in (lambda canvas: residual.residual(p, canvas), lambda canvas: layers.encode_layers(p, canvas, [4, 2], [-9, 0, 9])):
         a, b = f(whole), f(some)
         assert a.dtypes == b.dtypes and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_disjoint_squares_over_bands_leave_their_result_alone(spark):
+    rows = [(1, 0, r, c, s, (r * 37 + c * 61 + s * 17) % 23 - 3) for r in range(240, 280) for c in range(4) for s in (2, 4)]
+    gains = spark.createDataFrame(rows, "image_id long, channel int, row int, col int, size int, gain long")
+    before = set(os.listdir(storage.shared_dir(spark)))
+    got = {(r.row, r.col, r["size"]) for r in search.disjoint_squares(gains, [2, 4], 600, 8).collect()}
+    want, used = set(), set()
+    for _, _, r, c, s, g in sorted(rows, key=lambda x: (-x[5], x[2], x[3], x[4])):
+        own = {(r + i, c + k) for i in range(s) for k in range(s)}
+        if g > 0 and not own & used:
+            used |= own
+            want.add((r, c, s))
+    assert got == want
+    made = [d for d in set(os.listdir(storage.shared_dir(spark))) - before if d.startswith("steps-")]
+    kept = sum(spark.read.parquet(f"{storage.shared_dir(spark)}/{d}/{k}").count() for d in made for k in os.listdir(f"{storage.shared_dir(spark)}/{d}"))
+    assert len(made) == 1 and kept == len(want)
