@@ -27,9 +27,8 @@ def idiv(a: Column, b) -> Column:
 
 def nearest_code(total: Column, count: Column, book: list[int]) -> Column:
     """Place in book of the entry nearest to total / count; the lowest place on ties. Whole numbers, no division."""
-    entries = F.array(*[F.lit(m).cast("long") for m in book])
-    away = F.transform(entries, lambda m, i: F.struct(F.abs(m * count - total).alias("d"), i.alias("i")))
-    return F.array_min(away)["i"]
+    away = [F.struct(F.abs(F.lit(m).cast("long") * count - total).alias("d"), F.lit(i).alias("i")) for i, m in enumerate(book)]
+    return F.array_min(F.array(*away))["i"]
 
 
 def book_value(book: list[int], idx: Column) -> Column:

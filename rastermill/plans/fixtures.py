@@ -112,7 +112,7 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PX_LI's rows, in partitions by image: an image's places, H * W at most, come to one row, which unfolds into all cells where it lies.
+    """PX_LI's rows, in partitions by image: an image's places, H * W at most, come to one row, which unfolds beside all blank places where it lies.
 
     Aggregates and windows by image need no shuffle of cells then. The number of partitions is Spark's for shuffles, as a count by bytes would be
     made for the packed rows.
@@ -123,8 +123,8 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = li.groupBy(*place).agg(total(F.col("l_quantity")).alias("q"), total(F.round(F.col("l_discount") * 100)).alias("d"), total(F.round(F.col("l_tax") * 100)).alias("t"))
     value = lambda c, by: F.least(F.lit(255), F.coalesce(F.col(c) * by, F.lit(0))).cast("int")
     inside = F.col("image_id").isNotNull() & (F.col("row") >= 0) & (F.col("col") >= 0)
-    entry = F.struct((F.col("row") * W + F.col("col")).alias("at"), F.array(value("q", 4), value("d", 20), value("t", 25)).alias("v"))
+    entry = F.struct((F.col("row") * W + F.col("col")).alias("at"), value("q", 4).alias("v0"), value("d", 20).alias("v1"), value("t", 25).alias("v2"))
     images = sums.select("image_id", F.when(inside, entry).alias("e")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id").groupBy("image_id").agg(F.collect_list("e").alias("some"))
-    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(H * W - 1)), F.transform("some", lambda e: e["at"])), lambda k: F.struct(k.alias("at"), F.array(*[F.lit(0)] * 3).alias("v")))
-    places = images.select("image_id", F.inline(F.concat("some", rest)))
-    return places.select("image_id", F.posexplode("v").alias("channel", "value"), "at").select("image_id", "channel", (F.col("at") / W).cast("int").alias("row"), (F.col("at") % W).alias("col"), "value")
+    blank = F.expr(f"transform(sequence(0, {H * W - 1}), k -> struct(k AS at, CAST(NULL AS INT) AS v0, CAST(NULL AS INT) AS v1, CAST(NULL AS INT) AS v2))")
+    places = images.select("image_id", F.inline(F.concat("some", blank))).groupBy("image_id", "at").agg(*[F.coalesce(F.max(f"v{k}"), F.lit(0)).alias(f"v{k}") for k in range(3)])
+    return places.select("image_id", F.posexplode(F.array("v0", "v1", "v2")).alias("channel", "value"), "at").select("image_id", "channel", (F.col("at") / W).cast("int").alias("row"), (F.col("at") % W).alias("col"), "value")
