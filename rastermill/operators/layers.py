@@ -1,9 +1,8 @@
 """Residual codes in layers of disjoint squares, coarse to fine, and their decoding.
 
 Strokes that overlap must be fitted one after the other; layers of squares that don't overlap give every square its own cells, so
-that a whole layer is one aggregation. All layers run within one partitioning by image, channel and the smallest tile that the
-quarters of all layers nest in: each quarter's cells are in one partition already, the windows of all layers sort but never
-shuffle, and one large raster spans many tasks.
+that a whole layer is one aggregation. All layers run within rows of the smallest tile that the quarters of all layers nest in: a row
+has all cells of each quarter, layers neither sort nor shuffle, and one large raster spans many tasks.
 """
 
 from __future__ import annotations
@@ -11,10 +10,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import CELL, KC, K, book_value, clip_add, code_bits, idiv, nearest_code, quadrant_code
+from ..functions.expr import CELL, KC, K, book_value, clip_add, code_bits, halvings, idiv, nearest_code, quadrant_code
 from ..sources.storage import checkpoint
 from .cells import coloured
 from .evaluate import few_rows
@@ -22,15 +21,6 @@ from .quadrant import channel_selector, quadrant_error, worst_quadrant
 from .residual import channel_error, residual
 
 
-def _step(df: DataFrame, half: int, book: list[int], name: str) -> DataFrame:
-    """df (cell, target, canvas) with the code of each cell's quarter under `name`, and the canvas moved by it."""
-    quarter = Window.partitionBy(*KC, "tr", "tc", idiv(F.col("row"), half), idiv(F.col("col"), half))
-    diff = (F.col("target") - F.col("canvas")).cast("long")
-    coded = df.withColumns({"__s": F.sum(diff).over(quarter), "__n": F.count(diff).over(quarter)})
-    coded = coded.withColumn(name, nearest_code(F.col("__s"), F.col("__n"), book).cast("int")).drop("__s", "__n")
-    return coded.withColumn("canvas", clip_add(F.col("canvas"), book_value(book, F.col(name))).cast("int"))
-
-
 def _tile(sizes: list[int]) -> int:
     """Side of the smallest tile that the quarters of all sizes nest in."""
     return math.lcm(*[max(1, s // 2) for s in sizes])
@@ -51,9 +41,126 @@ def _paired(target: DataFrame, canvas: DataFrame, tile: int) -> DataFrame:
     return both.groupBy(*CELL, "tr", "tc").agg(F.max("target").alias("target"), F.max("canvas").alias("canvas")).where("target IS NOT NULL AND canvas IS NOT NULL")
 
 
+#: Most cells of a tile that are gathered as columns of one aggregate; larger tiles are gathered as lists.
+NARROW = 64
+#: Cells that numpy handles at once, or one tile.
+CELLS = 1 << 18
+
+
+def _dense(cells: DataFrame, values: list[str], tile: int) -> DataFrame:
+    """(image_id, channel, tr, tc, values): each of values as an array of tile * tile entries by place, null where there is no cell.
+
+    Cells that lie in partitions by image are not shuffled for it.
+    """
+    n = tile * tile
+    placed = cells.select(*KC, idiv(F.col("row"), tile).cast("long").alias("tr"), idiv(F.col("col"), tile).cast("long").alias("tc"), (F.col("row") % tile * tile + F.col("col") % tile).cast("int").alias("__at"), *values)
+    by = [*KC, "tr", "tc"]
+    if n <= NARROW:
+        wide = placed.groupBy(*by).agg(*[F.max(F.when(F.col("__at") == k, F.col(v))).alias(f"__{v}{k}") for v in values for k in range(n)])
+        return wide.select(*by, *[F.array(*[F.col(f"__{v}{k}") for k in range(n)]).alias(v) for v in values])
+    held = placed.groupBy(*by, "__at").agg(*[F.max(v).alias(v) for v in values]).groupBy(*by).agg(F.collect_list(F.struct("__at", *values)).alias("all"))
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.col("all.__at")), lambda k: F.struct(k.alias("__at"), *[F.lit(None).cast("int").alias(v) for v in values]))
+    return held.select(*by, F.array_sort(F.concat("all", rest)).alias("all")).select(*by, *[F.col(f"all.{v}").alias(v) for v in values])
+
+
+def _tiles_of(target: DataFrame, canvas: DataFrame, tile: int) -> DataFrame:
+    """(image_id, channel, tr, tc, target, canvas): both by tiles, as arrays by place. canvas is one colour where canvas is given as colours.
+
+    Cells of target that are in partitions by image already are not shuffled with colours; else target, or both, are shuffled once.
+    """
+    want = target.select(*CELL, F.col("value").cast("int").alias("target"))
+    if "colour" in canvas.columns:
+        return coloured(_dense(want, ["target"], tile), canvas).select(*KC, "tr", "tc", "target", F.array("colour").alias("canvas"))
+    none = F.lit(None).cast("int")
+    return _dense(want.withColumn("canvas", none).unionByName(canvas.select(*CELL, none.alias("target"), F.col("value").cast("int").alias("canvas"))), ["target", "canvas"], tile)
+
+
+def _encoder(sizes: list[int], book: list[int], tile: int, costs: bool):
+    """Codes of all layers of many tiles at once, as a function from Arrow batches of _tiles_of to Arrow batches."""
+    halves, step = [max(1, s // 2) for s in sizes], max(1, CELLS // (tile * tile))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        moves = np.array(book, np.int64)
+        some = lambda x, has: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x[0].size), pa.int32()), pa.array(x.reshape(-1), pa.int32(), mask=~has.reshape(-1)))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            rows = batch.num_rows
+
+            def read(name):
+                flat = batch.column(name).flatten()
+                x = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                has = flat.is_valid().to_numpy(zero_copy_only=False)
+                shape = (rows, tile, tile) if len(x) == rows * tile * tile else (rows, 1, 1)
+                return np.broadcast_to(x.reshape(shape), (rows, tile, tile)), np.broadcast_to(has.reshape(shape), (rows, tile, tile))
+
+            (t, has), (c, also) = read("target"), read("canvas")
+            has = has & also
+            codes, left, heads = [], [], []
+            for half in halves:
+                across = tile // half
+                blocks = lambda x: x.reshape(rows, across, half, across, half).sum(axis=(2, 4))
+                n, s = blocks(has.astype(np.int64)), blocks(np.where(has, t - c, 0))
+                best, idx = None, np.zeros(n.shape, np.int64)
+                for k, m in enumerate(moves):
+                    away = np.abs(m * n - s)
+                    idx = idx if best is None else np.where(away < best, k, idx)
+                    best = away if best is None else np.minimum(away, best)
+                c = np.clip(c + moves[idx].repeat(half, axis=1).repeat(half, axis=2), 0, 255)
+                first = has[:, ::half, ::half]
+                if costs:
+                    left.append((np.where(has, t - c, 0) ** 2).sum(axis=(1, 2)))
+                    heads.append(first.sum(axis=(1, 2)))
+                else:
+                    codes.append(some(idx, n > 0))
+            keys = [batch.column(k) for k in ("image_id", "channel", "tr", "tc")]
+            if costs:
+                yield pa.RecordBatch.from_arrays([keys[0], *[pa.array(x, pa.int64()) for x in (*heads, *left)]], names=["image_id", *[f"n{k}" for k in range(len(halves))], *[f"s{k}" for k in range(len(halves))]])
+            else:
+                yield pa.RecordBatch.from_arrays([*keys, some(t, has), some(c, has), *codes], names=["image_id", "channel", "tr", "tc", "target", "canvas", *[f"c{k}" for k in range(len(halves))]])
+
+    return run
+
+
+def encode_tiles(target: DataFrame, canvas: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
+    """(image_id, channel, tr, tc, target, canvas, c0, c1, ...): tiles after all layers; cells by place, the codes of each layer by quarter.
+
+    A cell or quarter that is not there is null. All layers are coded in numpy within a tile's row, so that nothing is sorted or shuffled for them.
+    """
+    tiles = _tiles_of(target, canvas, _tile(sizes))
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*KC, "tr", "tc")], "target array<int>", "canvas array<int>", *[f"c{k} array<int>" for k in range(len(sizes))]])
+    return tiles.mapInArrow(_encoder(sizes, book, _tile(sizes), False), schema)
+
+
+def tile_cells(tiles: DataFrame, value: str, tile: int, *more: Column) -> DataFrame:
+    """(cell, value, more) of the tiles' cells; more may use `pos`, a cell's place within its tile."""
+    each = tiles.select("*", F.posexplode(value).alias("pos", "__v")).where("__v IS NOT NULL")
+    at = lambda c, k: (F.col(c) * tile + k).cast("int")
+    return each.select(*KC, at("tr", idiv(F.col("pos"), tile)).alias("row"), at("tc", F.col("pos") % tile).alias("col"), F.col("__v").alias(value), *more)
+
+
 def encode_cells(target: DataFrame, canvas: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
     """(cell, target, canvas, c0, c1, ...): the canvas after all layers, and each cell's code in each layer."""
-    return reduce(lambda df, x: _step(df, max(1, x[1] // 2), book, f"c{x[0]}"), enumerate(sizes), _paired(target, canvas, _tile(sizes))).drop("tr", "tc")
+    tile = _tile(sizes)
+    halves = [max(1, s // 2) for s in sizes]
+    quarter = lambda half: (idiv(idiv(F.col("pos"), tile), half) * (tile // half) + idiv(F.col("pos") % tile, half)).cast("int")
+    return tile_cells(encode_tiles(target, canvas, sizes, book), "target", tile, F.get("canvas", F.col("pos")).alias("canvas"), *[F.get(f"c{k}", quarter(h)).alias(f"c{k}") for k, h in enumerate(halves)])
+
+
+def tile_codes(tiles: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
+    """code_tiles of encode_tiles: equal to code_tiles(layer_codes(encode_cells(...))), without a row for each quarter."""
+    tile = _tile(sizes)
+
+    def layer(k: int, half: int) -> Column:
+        across = tile // half
+        head = F.array(*[F.lit((q // across) * half * tile + (q % across) * half) for q in range(across * across)])
+        by = F.transform(f"c{k}", lambda c, q: F.when(F.get("canvas", F.get(head, q)).isNotNull(), book_value(book, c)))
+        return F.struct(F.sequence(F.lit(0), F.lit(across * across - 1)).alias("at"), by.alias("by")).alias(f"l{k}")
+
+    return tiles.select(*KC, "tr", "tc", *[layer(k, max(1, s // 2)) for k, s in enumerate(sizes)])
 
 
 def layer_codes(encoded: DataFrame, sizes: list[int]) -> DataFrame:
@@ -83,24 +190,14 @@ def encode_layers(target: DataFrame, canvas: DataFrame, sizes: list[int], book:
 
     All layers' errors come from the one pass that encodes them.
     """
-    res = _paired(target, canvas, _tile(sizes))
-    for k, s in enumerate(sizes):
-        res = _step(res, max(1, s // 2), book, f"c{k}").withColumn(f"e{k}", (F.col("target") - F.col("canvas")).cast("long"))
-    head = lambda s: (F.col("row") % max(1, s // 2) == 0) & (F.col("col") % max(1, s // 2) == 0)
-    sums = res.groupBy(*K).agg(*[F.sum(F.col(f"e{k}") * F.col(f"e{k}")).alias(f"s{k}") for k in range(len(sizes))], *[F.sum(head(s).cast("long")).alias(f"n{k}") for k, s in enumerate(sizes)])
+    tiles = _tiles_of(target, canvas, _tile(sizes))
+    costs = [f"{c}{k}" for c in "ns" for k in range(len(sizes))]
+    schema = ", ".join([f"image_id {tiles.schema['image_id'].dataType.simpleString()}", *[f"{c} long" for c in costs]])
+    sums = tiles.mapInArrow(_encoder(sizes, book, _tile(sizes), True), schema).groupBy(*K).agg(*[F.sum(c).alias(c) for c in costs])
     layers = F.inline(F.array(*[F.struct(F.lit(k).alias("layer"), F.col(f"n{k}").alias("codes"), (F.col(f"n{k}") * code_bits(len(book))).alias("bits"), F.col(f"s{k}").alias("sse")) for k in range(len(sizes))]))
     return sums.select("image_id", layers)
 
 
-def _quarters(half: int, tile: int) -> int:
-    return (tile // half) ** 2
-
-
-def _place(row: Column, col: Column, half: int, tile: int) -> Column:
-    """Number of a cell's quarter within its tile."""
-    return idiv(row % tile, half) * (tile // half) + idiv(col % tile, half)
-
-
 def code_tiles(codes: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
     """(image_id, channel, tr, tc, l0, l1, ...): all codes of a tile in one row, tiles being those that the quarters of all layers nest in.
 
@@ -119,34 +216,75 @@ def code_tiles(codes: DataFrame, sizes: list[int], book: list[int]) -> DataFrame
 
 
 def canvas_tiles(canvas: DataFrame, sizes: list[int]) -> DataFrame:
-    """(image_id, channel, tr, tc, cells): a canvas by the tiles of code_tiles, cells as structs (row, col, value)."""
-    tile = _tile(sizes)
-    by = [*KC, idiv(F.col("row"), tile).cast("long").alias("tr"), idiv(F.col("col"), tile).cast("long").alias("tc")]
-    return canvas.groupBy(*by).agg(F.collect_list(F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("int").alias("value"))).alias("cells"))
+    """(image_id, channel, tr, tc, value): a canvas by the tiles of code_tiles, as arrays by place; cells without a value are left out."""
+    return _dense(canvas.select(*CELL, F.col("value").cast("int").alias("value")), ["value"], _tile(sizes))
+
+
+def _decoder(sizes: list[int], tile: int, regions: tuple[int, int, int] | None):
+    """Cells of many tiles moved by all layers' codes, as a function from Arrow batches of joined tiles to Arrow batches."""
+    halves = [max(1, s // 2) for s in sizes]
+    h, w, depth = regions or (0, 0, 0)
+    rows_at, cols_at = halvings(h, (depth + 1) // 2), halvings(w, depth // 2)
+    places, step = list(range(tile * tile)), max(1, CELLS // (tile * tile))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = np.array(places)
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            rows = batch.num_rows
+            flat = batch.column("value").flatten()
+            has = flat.is_valid().to_numpy(zero_copy_only=False)
+            value = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64).reshape(rows, -1)
+            region = np.zeros((1, 1), np.int64)
+            if depth:
+                corner = lambda c: np.asarray(batch.column(c).to_numpy(zero_copy_only=False)).astype(np.int64)[:, None] * tile
+                r = np.searchsorted(rows_at, corner("tr") + at // tile, "right")
+                c = np.searchsorted(cols_at, corner("tc") + at % tile, "right")
+                region = np.zeros((rows, len(at)), np.int64)
+                for k in range(depth):
+                    x, left = (r, (depth + 1) // 2 - 1 - k // 2) if k % 2 == 0 else (c, depth // 2 - 1 - k // 2)
+                    region = region * 2 + ((x >> left) & 1)
+            for k, half in enumerate(halves):
+                across = tile // half
+                many = across * across << depth
+                number = (at // tile // half) * across + at % tile // half + region * across * across
+                mine = (np.arange(rows)[:, None] * many + number).reshape(-1)
+                by = batch.column(f"b{k}")
+                owner, move = pc.list_parent_indices(by).to_numpy(zero_copy_only=False), by.flatten()
+                keys = owner * many + pc.list_flatten(batch.column(f"a{k}")).to_numpy(zero_copy_only=False).astype(np.int64)
+                there = move.is_valid().to_numpy(zero_copy_only=False)
+                move = pc.fill_null(move, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(keys) == rows * many and (keys == np.arange(len(keys))).all():
+                    hit, m = there[mine], move[mine]
+                else:
+                    keys, move = keys[there], move[there]
+                    if not len(keys):
+                        continue
+                    order = np.lexsort((move, keys))
+                    keys, move = keys[order], move[order]
+                    near = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                    hit, m = keys[near] == mine, move[near]
+                old = value.reshape(-1)
+                value = np.where(hit, np.clip(old + m, 0, 255), old)
+            flat = value.reshape(-1)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(at)), pa.int32()), pa.array(flat, pa.int32(), mask=~has))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("image_id", "channel", "tr", "tc")], held], names=["image_id", "channel", "tr", "tc", "value"])
+
+    return run
 
 
 def decode_tiles(canvas: DataFrame, codes: DataFrame, sizes: list[int], regions: tuple[int, int, int] | None = None) -> DataFrame:
-    """The canvas after all layers' codes, from canvas_tiles and code_tiles: one row a tile on each side, cells folded inside it.
+    """The canvas after all layers' codes, from canvas_tiles and code_tiles: one row a tile on each side, cells moved inside it.
 
     Nothing is multiplied by layers. Tables in buckets by image, channel and tile (storage.write_bucketed) join without a shuffle.
     regions: (h, w, depth) where codes have regions.
     """
-    tile = _tile(sizes)
-
-    def moved(c: Column) -> Column:
-        value = c["value"]
-        for k, s in enumerate(sizes):
-            half, layer = max(1, s // 2), F.col(f"l{k}")
-            at = _place(c["row"], c["col"], half, tile)
-            if regions:
-                at = at + quadrant_code(c["row"], c["col"], *regions) * _quarters(half, tile)
-            full = (F.size(layer["at"]) == _quarters(half, tile)) & F.lit(regions is None)  # then a quarter's number is its place
-            place = F.when(full, at + 1).otherwise(F.array_position(layer["at"], at.cast("int"))).cast("int")
-            value = F.when(F.coalesce(place, F.lit(0)) > 0, clip_add(value, F.get(layer["by"], place - 1))).otherwise(value)
-        return F.struct(c["row"].alias("row"), c["col"].alias("col"), value.cast("int").alias("value"))
-
-    both = canvas.join(codes, [*KC, "tr", "tc"], "left")
-    return both.select(*KC, F.inline(F.transform("cells", moved)))
+    both = canvas.join(codes, [*KC, "tr", "tc"], "left").select(*KC, "tr", "tc", "value", *[F.coalesce(F.col(f"l{k}.{x}"), F.array().cast("array<int>")).alias(f"{y}{k}") for k in range(len(sizes)) for x, y in (("at", "a"), ("by", "b"))])
+    schema = ", ".join([*[f"{c} {both.schema[c].dataType.simpleString()}" for c in (*KC, "tr", "tc")], "value array<int>"])
+    return tile_cells(both.mapInArrow(_decoder(sizes, _tile(sizes), regions), schema), "value", _tile(sizes))
 
 
 def decode_layers(canvas: DataFrame, codes: DataFrame, sizes: list[int], book: list[int], regions: tuple[int, int, int] | None = None) -> DataFrame:

@@ -93,3 +93,35 @@ def test_disjoint_squares_over_bands_leave_their_result_alone(spark):
     made = [d for d in set(os.listdir(storage.shared_dir(spark))) - before if d.startswith("steps-")]
     kept = sum(spark.read.parquet(f"{storage.shared_dir(spark)}/{d}/{k}").count() for d in made for k in os.listdir(f"{storage.shared_dir(spark)}/{d}"))
     assert len(made) == 1 and kept == len(want)
+
+
+def test_layers_of_rasters_are_neither_sorted_nor_shuffled(spark, sf):
+    p = queries.px(spark, sf)
+    tiles = layers.encode_tiles(p, residual.start_color(p), [8, 4, 2], [-9, 0, 9])
+    assert shuffles_of_cells(tiles) == 0 and "Window" not in plan(tiles) and "Sort " not in plan(tiles)
+
+
+@pytest.mark.parametrize("sizes", [[8, 4, 2], [6, 4], [32, 2]])
+def test_tiles_of_any_side_code_and_decode_in_parts(spark, sizes, monkeypatch):
+    monkeypatch.setattr(layers, "CELLS", 300)
+    p = spark.createDataFrame([(i, c, r, k, (i * 7 + c * 5 + r * 37 + k * 91) % 256) for i in (1, 2) for c in range(2) for r in range(13) for k in range(10) if (r * 10 + k) % 17 != 4], "image_id long, channel int, row int, col int, value int")
+    book, values = [-40, 5, 0, -5, 40], {(r.image_id, r.channel, r.row, r.col): r.value for r in p.collect()}
+    colours = residual.start_color(p)
+    now = {(r.image_id, r.channel): r.colour for r in colours.collect()}
+    canvas, want = {k: now[k[:2]] for k in values}, {k: [] for k in values}
+    for size in sizes:
+        half, quarters = size // 2, {}
+        for k in values:
+            quarters.setdefault((*k[:2], k[2] // half, k[3] // half), []).append(k)
+        for own in quarters.values():
+            s = sum(values[k] - canvas[k] for k in own)
+            idx = min(range(5), key=lambda j: (abs(book[j] * len(own) - s), j))
+            for k in own:
+                want[k].append(idx)
+                canvas[k] = max(0, min(255, canvas[k] + book[idx]))
+    done = layers.encode_cells(p, colours, sizes, book)
+    assert {(r.image_id, r.channel, r.row, r.col): (r.target, r.canvas, [r[f"c{j}"] for j in range(len(sizes))]) for r in done.collect()} == {k: (values[k], canvas[k], want[k]) for k in values}
+    tiles, start = layers.tile_codes(layers.encode_tiles(p, colours, sizes, book), sizes, book), layers.canvas_tiles(cells.fill_canvas(p, colours), sizes)
+    rows = layers.code_tiles(layers.layer_codes(done, sizes), sizes, book)
+    a, b = (sorted(map(tuple, layers.decode_tiles(start, t, sizes).collect())) for t in (tiles, rows))
+    assert a == b and len(a) == len(values)
