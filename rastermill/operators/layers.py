@@ -17,8 +17,8 @@ from ..functions.expr import CELL, KC, K, book_value, clip_add, code_bits, halvi
 from ..sources.storage import checkpoint
 from .cells import coloured
 from .evaluate import few_rows
-from .quadrant import channel_selector, quadrant_error, worst_quadrant
-from .residual import channel_error, residual
+from .quadrant import channel_selector, worst_quadrant
+from .residual import residual
 
 
 def _tile(sizes: list[int]) -> int:
@@ -26,35 +26,20 @@ def _tile(sizes: list[int]) -> int:
     return math.lcm(*[max(1, s // 2) for s in sizes])
 
 
-def _paired(target: DataFrame, canvas: DataFrame, tile: int) -> DataFrame:
-    """(cell, target, canvas, tr, tc) for cells that both have, partitioned by image, channel and tile (tr, tc): each side is shuffled once.
-
-    A join on the cell would shuffle both sides by all four keys, and its rows once more for the layers. canvas may be colours
-    (image_id, channel, colour), for a canvas of target's shape in them: then target alone is shuffled.
-    """
-    if "colour" in canvas.columns:
-        both = coloured(target.select(*CELL, F.col("value").cast("int").alias("target")), canvas).withColumnRenamed("colour", "canvas").where("target IS NOT NULL AND canvas IS NOT NULL")
-        return both.withColumns({"tr": idiv(F.col("row"), tile), "tc": idiv(F.col("col"), tile)}).repartition(*KC, "tr", "tc")
-    none = F.lit(None).cast("int")
-    both = target.select(*CELL, F.col("value").cast("int").alias("target"), none.alias("canvas")).unionByName(canvas.select(*CELL, none.alias("target"), F.col("value").cast("int").alias("canvas")))
-    both = both.withColumns({"tr": idiv(F.col("row"), tile), "tc": idiv(F.col("col"), tile)}).repartition(*KC, "tr", "tc")
-    return both.groupBy(*CELL, "tr", "tc").agg(F.max("target").alias("target"), F.max("canvas").alias("canvas")).where("target IS NOT NULL AND canvas IS NOT NULL")
-
-
 #: Most cells of a tile that are gathered as columns of one aggregate; larger tiles are gathered as lists.
 NARROW = 64
 #: Cells that numpy handles at once, or one tile.
 CELLS = 1 << 18
 
 
-def _dense(cells: DataFrame, values: list[str], tile: int) -> DataFrame:
-    """(image_id, channel, tr, tc, values): each of values as an array of tile * tile entries by place, null where there is no cell.
+def _dense(cells: DataFrame, values: list[str], tile: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, channel, tr, tc, more, values): each of values as an array of tile * tile entries by place, null where there is no cell.
 
     Cells that lie in partitions by image are not shuffled for it.
     """
     n = tile * tile
-    placed = cells.select(*KC, idiv(F.col("row"), tile).cast("long").alias("tr"), idiv(F.col("col"), tile).cast("long").alias("tc"), (F.col("row") % tile * tile + F.col("col") % tile).cast("int").alias("__at"), *values)
-    by = [*KC, "tr", "tc"]
+    placed = cells.select(*KC, idiv(F.col("row"), tile).cast("long").alias("tr"), idiv(F.col("col"), tile).cast("long").alias("tc"), (F.col("row") % tile * tile + F.col("col") % tile).cast("int").alias("__at"), *more, *values)
+    by = [*KC, "tr", "tc", *more]
     if n <= NARROW:
         wide = placed.groupBy(*by).agg(*[F.max(F.when(F.col("__at") == k, F.col(v))).alias(f"__{v}{k}") for v in values for k in range(n)])
         return wide.select(*by, *[F.array(*[F.col(f"__{v}{k}") for k in range(n)]).alias(v) for v in values])
@@ -299,40 +284,92 @@ def encode_selected(target: DataFrame, canvas: DataFrame, size: int, book: list[
     and three channel numbers of two bits an image, each quarter in the region its code. sse is over all cells of the raster.
     """
     half = max(1, size // 2)
-    res = checkpoint(residual(target, canvas))  # read three times
-    chosen = channel_selector(channel_error(res), strategy).select("image_id", F.explode(F.array_distinct("selector")).alias("channel"))
-    worst = worst_quadrant(quadrant_error(res, h, w, depth)).join(chosen, KC).select(*KC, "code")
-    placed = res.select(*CELL, "target", "canvas", "diff", quadrant_code(F.col("row"), F.col("col"), h, w, depth).alias("code"))
-    inside = placed.join(worst.withColumn("moves", F.lit(True)), [*KC, "code"], "left")
-    part = [*KC, "code", "moves", idiv(F.col("row"), half).alias("qr"), idiv(F.col("col"), half).alias("qc")]
-    quarters = inside.groupBy(*part).agg(F.sum("diff").alias("s"), F.count("diff").alias("n"), F.collect_list(F.struct("target", "canvas")).alias("cells"))
-    moved = quarters.select(*KC, "moves", "cells", F.when(F.col("moves"), book_value(book, nearest_code(F.col("s"), F.col("n"), book).cast("int"))).otherwise(0).alias("m"))
-    left = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.pow(c["target"] - clip_add(c["canvas"], F.col("m")), F.lit(2)).cast("long"))
-    by_channel = moved.groupBy(*KC).agg(F.count("moves").alias("codes"), F.sum(left).alias("sse"))
-    bits = F.sum(F.col("codes") * code_bits(len(book)) + F.when(F.col("codes") > 0, depth).otherwise(0)) + 6
-    return by_channel.groupBy(*K).agg(F.sum("codes").alias("codes"), bits.alias("bits"), F.sum("sse").alias("sse"))
+    coded = lambda df, name: df.select(*CELL, F.col("value").cast("int").alias(name), quadrant_code(F.col("row"), F.col("col"), h, w, depth).alias("code"))
+    if "colour" in canvas.columns:
+        both = coloured(_dense(coded(target, "target"), ["target"], half, ("code",)), canvas).withColumn("canvas", F.array_repeat(F.col("colour"), half * half))
+    else:
+        none = F.lit(None).cast("int")
+        both = _dense(coded(target, "target").withColumn("canvas", none).unionByName(coded(canvas, "canvas").withColumn("target", none)), ["target", "canvas"], half, ("code",))
+    off = lambda m: F.zip_with("target", "canvas", lambda t, c: F.when(c.isNotNull(), (t - (c if m is None else clip_add(c, m))).cast("long")))
+    total = lambda f, diffs: F.aggregate(diffs, F.lit(0).cast("long"), lambda a, d: a + F.coalesce(f(d), F.lit(0)))
+    square = lambda d: d * d
+    # a quarter within its region: its cells, and what they are off by; read twice
+    quarters = checkpoint(both.select(*KC, "code", "target", "canvas", off(None).alias("off")).select(*KC, "code", "target", "canvas", total(lambda d: F.when(d.isNotNull(), 1), F.col("off")).alias("n"), total(lambda d: d, F.col("off")).alias("s"), total(F.abs, F.col("off")).alias("err"), total(square, F.col("off")).alias("sse")).where("n > 0"))
+    errors = checkpoint(quarters.groupBy(*KC, "code").agg(F.sum("err").alias("err"), F.sum("sse").alias("sse")))
+    by_channel = errors.groupBy(*KC).agg(F.sum("err").alias("sum_err"))
+    chosen = channel_selector(by_channel, strategy).select("image_id", F.explode(F.array_distinct("selector")).alias("channel"))
+    worst = worst_quadrant(errors).join(chosen, KC).select(*KC, "code")
+    moved = quarters.join(worst, [*KC, "code"], "left_semi").withColumn("m", book_value(book, nearest_code(F.col("s"), F.col("n"), book).cast("int")))
+    spent = moved.groupBy(*KC).agg(F.count("*").alias("codes"), F.sum(total(square, off(F.col("m"))) - F.col("sse")).alias("change"))
+    spent = spent.groupBy(*K).agg(F.sum("codes").alias("codes"), F.sum(F.col("codes") * code_bits(len(book)) + depth).alias("bits"), F.sum("change").alias("change"))
+    left = errors.groupBy(*K).agg(F.sum("sse").alias("sse")).join(spent, K, "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return left.select("image_id", none("codes").cast("long").alias("codes"), (none("bits") + 6).cast("long").alias("bits"), (F.col("sse") + none("change")).alias("sse"))
+
+
+def _sweeper(configs: list[tuple[int, list[int]]], tile: int):
+    """One layer of many tiles under each (half, book) of configs, as a function from Arrow batches of _tiles_of to Arrow batches."""
+    step = max(1, CELLS // (tile * tile))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            rows = batch.num_rows
+
+            def read(name):
+                flat = batch.column(name).flatten()
+                shape = (rows, tile, tile) if len(flat) == rows * tile * tile else (rows, 1, 1)
+                x, has = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64), flat.is_valid().to_numpy(zero_copy_only=False)
+                return np.broadcast_to(x.reshape(shape), (rows, tile, tile)), np.broadcast_to(has.reshape(shape), (rows, tile, tile))
+
+            (t, has), (c, also) = read("target"), read("canvas")
+            has = has & also
+            diff = np.where(has, t - c, 0)
+            # rows of one image follow each other: their sums leave together
+            codes = pc.dictionary_encode(batch.column("image_id"), null_encoding="encode")
+            image = codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(image, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(image[order]) > 0])
+            images = batch.column("image_id").take(pa.array(order[starts]))
+            sums = lambda x: pa.array(np.add.reduceat(x[order], starts), pa.int64())
+            held = {}
+            for k, (half, book) in enumerate(configs):
+                across = tile // half
+                blocks = lambda x: x.reshape(rows, across, half, across, half).sum(axis=(2, 4))
+                if half not in held:
+                    held[half] = blocks(has.astype(np.int64)), blocks(diff)
+                n, s = held[half]
+                moves = np.array(book, np.int64)
+                best, idx = None, np.zeros(n.shape, np.int64)
+                for j, m in enumerate(moves):
+                    away = np.abs(m * n - s)
+                    idx = idx if best is None else np.where(away < best, j, idx)
+                    best = away if best is None else np.minimum(away, best)
+                new = np.clip(c + moves[idx].repeat(half, axis=1).repeat(half, axis=2), 0, 255)
+                left = (np.where(has, t - new, 0) ** 2).sum(axis=(1, 2))
+                yield pa.RecordBatch.from_arrays([images, pa.array(np.full(len(starts), k), pa.int32()), sums((n > 0).sum(axis=(1, 2))), sums(left)], names=["image_id", "k", "codes", "sse"])
+
+    return run
 
 
 def config_sweep(target: DataFrame, canvas: DataFrame, configs: DataFrame) -> DataFrame:
     """(image_id, config_id, codes, bits, sse) of one layer under each row (config_id, size, book) of configs.
 
-    The rasters are paired once, in the tiles that the quarters of all sizes nest in; the quarters of each size come from that
-    partitioning, and each is coded under all books of its size. How many books and sizes there are does not change the plan's shape.
+    The rasters are paired once, in rows of the tiles that the quarters of all sizes nest in; a tile is coded under every configuration in
+    numpy, and leaves as sums. How many books and sizes there are does not change the plan's shape.
     """
     rows = few_rows(configs.select("config_id", "size", "book"))
-    by_half: dict[int, list] = {}
-    for r in rows:
-        by_half.setdefault(max(1, r["size"] // 2), []).append(r)
-    halves = sorted(by_half)
-    config = lambda r: F.struct(F.lit(r["config_id"]).alias("config_id"), F.lit(code_bits(len(r["book"]))).alias("width"), F.array(*[F.lit(m) for m in r["book"]]).alias("book"))
-    books = F.array(*[F.array(*[config(r) for r in by_half[h]]) for h in halves])
-    cells = _paired(target, canvas, math.lcm(*halves)).select(*CELL, "tr", "tc", "target", "canvas", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(h).alias("half")) for k, h in enumerate(halves)])))
-    quarters = cells.groupBy(*KC, "tr", "tc", "k", idiv(F.col("row"), F.col("half")).alias("qr"), idiv(F.col("col"), F.col("half")).alias("qc")).agg(F.sum((F.col("target") - F.col("canvas")).cast("long")).alias("s"), F.count("*").alias("n"), F.collect_list(F.struct("target", "canvas")).alias("cells"))
-    each = quarters.select("image_id", "s", "n", "cells", F.inline(F.get(books, F.col("k"))))
-    away = F.transform("book", lambda m, i: F.struct(F.abs(m.cast("long") * F.col("n") - F.col("s")).alias("d"), i.alias("i")))
-    placed = each.select("image_id", "config_id", "width", "cells", F.get("book", F.array_min(away)["i"]).alias("m"))
-    left = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.pow(c["target"] - clip_add(c["canvas"], F.col("m")), F.lit(2)).cast("long"))
-    return placed.groupBy("image_id", "config_id").agg(F.count("*").alias("codes"), F.sum("width").cast("long").alias("bits"), F.sum(left).alias("sse"))
+    halves = [max(1, r["size"] // 2) for r in rows]
+    tile = math.lcm(*halves)
+    tiles = _tiles_of(target, canvas, tile)
+    sweep = _sweeper([(h, list(r["book"])) for h, r in zip(halves, rows)], tile)
+    sums = tiles.mapInArrow(sweep, f"image_id {tiles.schema['image_id'].dataType.simpleString()}, k int, codes long, sse long")
+    config = F.get(F.array(*[F.struct(F.lit(r["config_id"]).alias("config_id"), F.lit(code_bits(len(r["book"]))).cast("long").alias("width")) for r in rows]), F.col("k"))
+    each = sums.select("image_id", config.alias("c"), "codes", "sse").where("codes > 0")
+    return each.groupBy("image_id", F.col("c.config_id").alias("config_id")).agg(F.sum("codes").alias("codes"), F.sum(F.col("codes") * F.col("c.width")).alias("bits"), F.sum("sse").alias("sse"))
 
 
 def param_sweep(target: DataFrame, canvas: DataFrame, books: dict[int, list[int]], size: int) -> DataFrame:

@@ -125,3 +125,14 @@ def test_tiles_of_any_side_code_and_decode_in_parts(spark, sizes, monkeypatch):
     rows = layers.code_tiles(layers.layer_codes(done, sizes), sizes, book)
     a, b = (sorted(map(tuple, layers.decode_tiles(start, t, sizes).collect())) for t in (tiles, rows))
     assert a == b and len(a) == len(values)
+
+
+def test_sweep_and_selected_codes_leave_no_lists_of_cells(spark, sf):
+    p = queries.px(spark, sf)
+    configs = spark.createDataFrame(fx.CONFIGS, "config_id int, size int, book array<int>")
+    for df in (layers.config_sweep(p, residual.start_color(p), configs), layers.encode_selected(p, residual.start_color(p), 4, [-9, 0, 9], fx.H, fx.W, 2)):
+        assert "struct(target" not in plan(df)
+    whole = queries.canvas(spark, sf)
+    for f in (lambda c: layers.config_sweep(p, c, configs), lambda c: layers.encode_selected(p, c, 6, [-9, 0, 9], fx.H, fx.W, 3, "Smart")):
+        a, b = f(whole), f(residual.start_color(p))
+        assert a.dtypes == b.dtypes and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
