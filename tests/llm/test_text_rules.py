@@ -214,3 +214,32 @@ def test_scores_by_adding_table_entries(spark, sf):
         low = [sum(c <= v for c in e) for e, v in zip(model.coarse, x)]
         logit += sum(t[low[i], low[j]] for (i, j), t in zip(model.pairs, model.pair_tables))
         assert abs(r.score - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_all_labelled_rows_make_the_forest_and_its_threshold(spark):
+    docs = spark.range(7000).selectExpr("id AS doc_id", "concat(repeat(concat('w', id % 13, ' '), 3 + id % 50), if(id % 9 = 0, repeat('$# ', id % 40), ''), if(id = 6999, repeat('X ', 30000), '')) AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 9 <> 0 AS INT) AS quality")
+    forest = isolation.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").withColumn("cut", isolation.for_cut("doc_id")).collect()
+    x, good, cut = textstats.feature_matrix([r.text.encode() for r in rows])[1], np.array([r.quality > 0 for r in rows]), np.array([r.cut for r in rows])
+    assert forest.threshold == isolation.threshold(forest.score(x[cut]), good[cut])
+    lost = []
+    for root in forest.roots[:3]:
+        todo = [(root, x[good & ~cut], 0)]
+        while todo:
+            at, own, d = todo.pop()
+            if forest.feature[at] < 0:
+                lost.append(abs(forest.path[at] - d - isolation.mean_path(len(own))))
+                continue
+            low = own[:, forest.feature[at]] < forest.value[at]
+            todo += [(forest.left[at], own[low], d + 1), (forest.left[at] + 1, own[~low], d + 1)]
+    assert max(lost) < 1e-9
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cut_over_a_table_is_the_threshold(spark, seed):
+    rng = np.random.default_rng(seed)
+    s, good = rng.integers(1, [40, 4000, 1 << 20][seed], 900) / [39, 3999, 1 << 21][seed], rng.random(900) < [0.9, 0.995, 1.0][seed]
+    s = np.where(good, s / 2, s)
+    got = isolation.cut_of(spark.createDataFrame([(float(a), bool(g)) for a, g in zip(s, good)], "s double, good boolean"))
+    assert got == isolation.threshold(s, good)
