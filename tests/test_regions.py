@@ -218,3 +218,21 @@ def test_pixmaps_in_bands(spark, tmp_path):
     small = netpbm.scan_pixmaps(spark, str(tmp_path / "in")).where("height < 10 AND width > 2")
     assert {r.image_id for r in small.select("image_id").distinct().collect()} == {9}
     assert small.count() == 15
+
+
+def test_small_and_large_channels_are_fitted_alike(spark, monkeypatch):
+    rng = random.Random(11)
+    squares = [(i, 2 * k, ch, rng.randint(-3, 14), rng.randint(-3, 17), rng.randint(1, 9)) for i in (1, 2) for ch in (0, 1) for k in range(20 - 5 * ch)] + [(1, 99, 0, -40, 300, 7), (9, 1, 0, 0, 0, 4), (8, 1, 0, 0, 0, 400)]
+    p = raster(spark, 17, 19, lambda c, i, j: (i * 9 + j * 5 + c * 40 + rng.randrange(60)) % 256, channels=3).where("NOT (row = 6 AND col > 5)")
+    p = p.unionByName(p.withColumn("image_id", F.lit(2).cast(p.schema["image_id"].dataType)).withColumn("value", F.col("value") * 7 % 256)).where("NOT (image_id = 2 AND row > 9)")
+    colours, table = residual.start_color(p), spark.createDataFrame(squares, KIND)
+    read = lambda got: [sorted(map(tuple, x.collect())) for x in got]
+    monkeypatch.setattr(waves, "CELLS", 1)
+    small = waves.fit_strokes(p, colours, table, BOOK)
+    assert [d.dtypes for d in small] == [d.dtypes for d in waves.fit_strokes(p, cells.fill_canvas(p, colours), table, BOOK)]
+    mixed = read(small)
+    monkeypatch.setattr(waves, "SIDE", 1 << 12)
+    monkeypatch.setattr(waves, "CELLS", 1 << 20)
+    rows = waves.fit_strokes(p, colours, table, BOOK)
+    assert read(rows) == mixed == read(waves.fit_strokes(p, cells.fill_canvas(p, colours), table, BOOK))
+    assert all("due" not in plan(d) for d in rows)  # no folders of waves
