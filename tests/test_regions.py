@@ -236,3 +236,14 @@ def test_small_and_large_channels_are_fitted_alike(spark, monkeypatch):
     rows = waves.fit_strokes(p, colours, table, BOOK)
     assert read(rows) == mixed == read(waves.fit_strokes(p, cells.fill_canvas(p, colours), table, BOOK))
     assert all("due" not in plan(d) for d in rows)  # no folders of waves
+
+
+def test_layers_of_regions_leave_no_lists_of_cells(spark, monkeypatch):
+    p = noisy(spark, 21, 27).where("(row * 27 + col) % 31 <> 7")
+    colours = residual.start_color(p)
+    got = [regions.encode_regions(p, c, [6, 8, 2], BOOK, 21, 27, 3, 2) for c in (colours, cells.fill_canvas(p, colours))]
+    assert "target" in regions._tiled(p, colours, 21, 27, 3).columns
+    monkeypatch.setattr(regions, "CELLS", 1)
+    got.append(regions.encode_regions(p, colours, [6, 8, 2], BOOK, 21, 27, 3, 2))
+    a, b, c = ([sorted(map(tuple, d.collect())) for d in pair] for pair in got)
+    assert a == b == c and {r[3] for r in a[0]} == {0, 1, 2}
