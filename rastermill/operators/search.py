@@ -11,35 +11,97 @@ from ..functions.expr import CELL, KC
 from ..sources.storage import Steps
 
 
-def _frame(by: str, order: str, lo: int, hi: int):
-    return Window.partitionBy(*KC, by).orderBy(order).rangeBetween(lo, hi)
-
-
-def square_gains(res: DataFrame, sizes: list[int], book: list[int]) -> DataFrame:
+#: Side of the blocks that cells are searched in, and of the tiles that these are packed in.
+SIDE, TILE = 64, 8
+#: Cells that numpy handles at once, or one block.
+CELLS = 1 << 19
+
+
+def _searcher(sizes: list[int], book: list[int], side: int, best: bool):
+    """Gains of all squares that start in many blocks, as a function from Arrow batches (image_id, channel, br, bc, tiles) to Arrow batches."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        moves = np.array(book, np.int64)
+        number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+
+        def search(batch):
+            rows = batch.num_rows
+            owner, tiles = number(pc.list_parent_indices(batch.column("tiles"))), batch.column("tiles").flatten()
+            origin = [number(batch.column(x)) * (side // TILE) for x in ("br", "bc")]
+            tr, tc = number(tiles.field("tr")) - origin[0][owner], number(tiles.field("tc")) - origin[1][owner]
+            high, wide = int(tr.max()) + 1, int(tc.max()) + 1
+            step = max(1, CELLS // (high * wide * TILE * TILE))
+            if rows > step:
+                for k in range(0, rows, step):
+                    yield from search(batch.slice(k, step))
+                return
+            diff, has = np.zeros((2, rows, high, TILE, wide, TILE), np.int64)
+            flat = tiles.field("diff").flatten()
+            place = (owner, tr, slice(None), tc)
+            diff[place] = number(pc.fill_null(flat, 0)).reshape(-1, TILE, TILE)
+            has[place] = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, TILE, TILE)
+            area = [np.pad(x.reshape(rows, high * TILE, wide * TILE), ((0, 0), (1, 0), (1, 0))).cumsum(1).cumsum(2) for x in (diff, has)]
+            for size in sizes:
+                half = size // 2
+                if size > min(high, wide) * TILE:
+                    continue
+                s, n = (a[:, half:, half:] - a[:, :-half, half:] - a[:, half:, :-half] + a[:, :-half, :-half] for a in area)
+                g = np.full(s.shape, -(1 << 60))
+                for m in moves:
+                    np.maximum(g, 2 * m * s - n * m * m, out=g)
+                four = lambda x: x[:, :-half, :-half] + x[:, half:, :-half] + x[:, :-half, half:] + x[:, half:, half:]
+                gain, ok = four(g)[:, :side, :side], four(n)[:, :side, :side] == size * size
+                if best:
+                    held = np.where(ok, gain, -(1 << 62)).reshape(rows, -1)
+                    k = np.flatnonzero(ok.reshape(rows, -1).any(axis=1))
+                    at = held[k].argmax(axis=1)  # the first of a block's rows on ties
+                    r, c, gain = at // gain.shape[2], at % gain.shape[2], held[k, at]
+                else:
+                    k, r, c = np.nonzero(ok)
+                    gain = gain[k, r, c]
+                key = [batch.column(x).take(pa.array(k)) for x in KC]
+                where = [pa.array(x + o[k] * TILE, pa.int32()) for x, o in ((r, origin[0]), (c, origin[1]))]
+                yield pa.RecordBatch.from_arrays([*key, *where, pa.array(np.full(len(k), size), pa.int32()), pa.array(gain, pa.int64())], names=[*CELL, "size", "gain"])
+
+        for batch in batches:
+            if batch.num_rows:
+                yield from search(batch)
+
+    return run
+
+
+def square_gains(res: DataFrame, sizes: list[int], book: list[int], best: bool = False) -> DataFrame:
     """(image_id, channel, row, col, size, gain) for the square of each even size at each place where all its cells are.
 
-    gain: by how much the squared error falls when each quarter takes its best code, clipping left aside. Sums of blocks are two
-    windows over single rows and columns, a square adds four blocks by two more; three shuffles a size, however many places there are.
+    gain: by how much the squared error falls when each quarter takes its best code, clipping left aside. best: only the greatest of each
+    block and size, the upper left one on ties, which is all that best_squares needs. Cells are packed in tiles and those in blocks, with the
+    tiles beyond that squares reach to: sums of quarters are taken in numpy over many blocks at once, and one large raster spans many tasks. Cells in
+    partitions by image are not shuffled. Each cell is there once.
     """
     if any(s < 2 or s % 2 for s in sizes):
         raise ValueError("sizes are even")
-
-    def of(size: int) -> DataFrame:
-        half = size // 2
-        along = lambda c: F.sum(c).over(_frame("row", "col", 0, half - 1))
-        down = lambda c: F.sum(c).over(_frame("col", "row", 0, half - 1))
-        rows = res.select(*CELL, along("diff").alias("s"), F.count("diff").over(_frame("row", "col", 0, half - 1)).alias("n"))
-        blocks = rows.select(*CELL, down("s").alias("s"), down("n").alias("n"))
-        best = F.array_max(F.array(*[2 * m * F.col("s") - F.col("n") * m * m for m in book]))
-        full = blocks.select(*CELL, F.when(F.col("n") == half * half, best).alias("g"))
-        tall = full.select(*CELL, (F.col("g") + F.sum("g").over(_frame("col", "row", half, half))).alias("g"))
-        return tall.select(*CELL, F.lit(size).alias("size"), (F.col("g") + F.sum("g").over(_frame("row", "col", half, half))).alias("gain")).where("gain IS NOT NULL")
-
-    return reduce(DataFrame.unionByName, [of(s) for s in sizes])
+    side = max(SIDE, -(-2 * max(sizes) // TILE) * TILE)
+    per, reach = side // TILE, -(-(max(sizes) - 1) // TILE)
+    # tiles below a raster's first one: negative rows and columns have blocks of their own
+    down = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    by = [*KC, "tr", "tc"]
+    at = (F.pmod(F.col("row"), F.lit(TILE)) * TILE + F.pmod(F.col("col"), F.lit(TILE))).cast("int")
+    wide = res.select(*KC, down("row").alias("tr"), down("col").alias("tc"), at.alias("__at"), "diff").groupBy(*by).agg(*[F.max(F.when(F.col("__at") == k, F.col("diff"))).alias(f"d{k}") for k in range(TILE * TILE)])
+    tiles = wide.select(*by, F.array(*[f"d{k}" for k in range(TILE * TILE)]).alias("diff"))
+    own = lambda c: F.floor(F.col(c) / per).cast("long")
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / per).cast("long"), own(c)))
+    dealt = tiles.select("*", span("tr").alias("br")).select("*", span("tc").alias("bc"))
+    blocks = dealt.groupBy(*KC, "br", "bc").agg(F.collect_list(F.struct("tr", "tc", "diff")).alias("tiles"), F.bool_or((own("tr") == F.col("br")) & (own("tc") == F.col("bc"))).alias("mine")).where("mine").drop("mine")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in res.select(*KC).schema)
+    return blocks.mapInArrow(_searcher(sizes, book, side, best), f"{kinds}, row int, col int, size int, gain long")
 
 
 def best_squares(gains: DataFrame) -> DataFrame:
-    """The square with the greatest gain for each image, channel and size; the upper left one on ties."""
+    """The square with the greatest gain for each image, channel and size; the upper left one on ties. gains: all squares, or the best of each block."""
     order = F.struct("gain", -F.col("row"), -F.col("col"))
     return gains.groupBy(*KC, "size").agg(F.max_by(F.struct("row", "col", "gain"), order).alias("b")).select(*KC, "size", "b.*")
 

@@ -247,3 +247,18 @@ def test_layers_of_regions_leave_no_lists_of_cells(spark, monkeypatch):
     got.append(regions.encode_regions(p, colours, [6, 8, 2], BOOK, 21, 27, 3, 2))
     a, b, c = ([sorted(map(tuple, d.collect())) for d in pair] for pair in got)
     assert a == b == c and {r[3] for r in a[0]} == {0, 1, 2}
+
+
+def test_search_goes_by_blocks_without_windows(spark, sf, monkeypatch):
+    from rastermill.plans import queries
+
+    assert "Window" not in plan(queries.best_squares(spark, sf))
+    p = noisy(spark, 21, 27, 2).where("NOT (row = 6 AND col = 6)").withColumn("row", F.col("row") - 3)
+    res = residual.residual(p, p.withColumn("value", F.lit(110)))
+    whole = search.square_gains(res, [2, 6], BOOK)
+    read = lambda df: sorted(map(tuple, df.collect()))
+    want, best = read(whole), read(search.best_squares(whole))
+    monkeypatch.setattr(search, "SIDE", 8)
+    monkeypatch.setattr(search, "CELLS", 1)
+    assert read(search.square_gains(res, [2, 6], BOOK)) == want and len({w[2] for w in want}) == 20
+    assert read(search.best_squares(search.square_gains(res, [2, 6], BOOK, True))) == best
