@@ -38,7 +38,9 @@ def _dense(cells: DataFrame, values: list[str], tile: int, more: tuple[str, ...]
     Cells that lie in partitions by image are not shuffled for it.
     """
     n = tile * tile
-    placed = cells.select(*KC, idiv(F.col("row"), tile).cast("long").alias("tr"), idiv(F.col("col"), tile).cast("long").alias("tc"), (F.col("row") % tile * tile + F.col("col") % tile).cast("int").alias("__at"), *more, *values)
+    within = lambda c: F.pmod(F.col(c), F.lit(tile))
+    corner = lambda c: idiv(F.col(c) - within(c), tile).cast("long")
+    placed = cells.select(*KC, corner("row").alias("tr"), corner("col").alias("tc"), (within("row") * tile + within("col")).cast("int").alias("__at"), *more, *values)
     by = [*KC, "tr", "tc", *more]
     if n <= NARROW:
         wide = placed.groupBy(*by).agg(*[F.max(F.when(F.col("__at") == k, F.col(v))).alias(f"__{v}{k}") for v in values for k in range(n)])
@@ -114,10 +116,42 @@ def encode_tiles(target: DataFrame, canvas: DataFrame, sizes: list[int], book: l
 
     A cell or quarter that is not there is null. All layers are coded in numpy within a tile's row, so that nothing is sorted or shuffled for them.
     """
-    tiles = _tiles_of(target, canvas, _tile(sizes))
-    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
+    return fit_tiles(_tiles_of(target, canvas, _tile(sizes)), sizes, book, _tile(sizes))
+
+
+def pair_tiles(target: DataFrame, canvas: DataFrame, tile: int) -> DataFrame:
+    """(image_id, channel, tr, tc, target, canvas): both by tiles of side `tile`; canvas is one colour where canvas is given as colours."""
+    return _tiles_of(target, canvas, tile)
+
+
+def start_tiles(pairs: DataFrame) -> DataFrame:
+    """(image_id, channel, tr, tc, value): the canvas of pair_tiles as arrays by place, at the cells that target has too."""
+    own = F.get("canvas", F.lit(0))
+    value = F.when(F.size("canvas") < F.size("target"), F.transform("target", lambda t: F.when(t.isNotNull(), own))).otherwise(F.zip_with("target", "canvas", lambda t, c: F.when(t.isNotNull(), c)))
+    return pairs.select(*KC, "tr", "tc", value.alias("value"))
+
+
+def fit_tiles(pairs: DataFrame, sizes: list[int], book: list[int], tile: int) -> DataFrame:
+    """encode_tiles of pair_tiles; the quarters of all sizes nest in tiles of side `tile`."""
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*KC, "tr", "tc")], "target array<int>", "canvas array<int>", *[f"c{k} array<int>" for k in range(len(sizes))]])
-    return tiles.mapInArrow(_encoder(sizes, book, _tile(sizes), False), schema)
+    return pairs.mapInArrow(_encoder(sizes, book, tile, False), schema)
+
+
+def tile_strokes(fitted: DataFrame, size: int, tile: int, layer: int = 0) -> DataFrame:
+    """as_strokes of a layer of fit_tiles, from each tile's row by itself: `size` is even and divides `tile`, so that squares nest in tiles."""
+    if size % 2 or tile % size:
+        raise ValueError(f"squares of side {size} in tiles of side {tile}")
+    across = tile // (size // 2)
+    at = lambda c, k: F.col(c) * (tile // size) + k
+
+    def square(i: int, j: int) -> Column:
+        quarters = [(2 * i + q // 2) * across + 2 * j + q % 2 for q in range(4)]
+        idx = F.array(*[F.coalesce(F.get(f"c{layer}", F.lit(q)), F.lit(-1)) for q in quarters])
+        return F.struct((at("tr", i) * (1 << 31) + at("tc", j)).alias("stroke_id"), (at("tr", i) * size).cast("int").alias("row"), (at("tc", j) * size).cast("int").alias("col"), F.lit(size).alias("size"), idx.alias("idx"))
+
+    all_ = F.array(*[square(i, j) for i in range(tile // size) for j in range(tile // size)])
+    return fitted.select(*KC, F.inline(all_)).where(F.exists("idx", lambda x: x >= 0)).select("image_id", "stroke_id", "channel", "row", "col", "size", "idx")
 
 
 def tile_cells(tiles: DataFrame, value: str, tile: int, *more: Column) -> DataFrame:
@@ -200,9 +234,14 @@ def code_tiles(codes: DataFrame, sizes: list[int], book: list[int]) -> DataFrame
     return tiles.select(*KC, "tr", "tc", *[own(k).alias(f"l{k}") for k in range(len(sizes))]).select(*KC, "tr", "tc", *[F.struct(F.col(f"l{k}.at").alias("at"), F.col(f"l{k}.by").alias("by")).alias(f"l{k}") for k in range(len(sizes))])
 
 
+def canvas_of(canvas: DataFrame, tile: int) -> DataFrame:
+    """(image_id, channel, tr, tc, value): a canvas by tiles of side `tile`, as arrays by place; cells without a value are left out."""
+    return _dense(canvas.select(*CELL, F.col("value").cast("int").alias("value")), ["value"], tile)
+
+
 def canvas_tiles(canvas: DataFrame, sizes: list[int]) -> DataFrame:
-    """(image_id, channel, tr, tc, value): a canvas by the tiles of code_tiles, as arrays by place; cells without a value are left out."""
-    return _dense(canvas.select(*CELL, F.col("value").cast("int").alias("value")), ["value"], _tile(sizes))
+    """canvas_of by the tiles of code_tiles."""
+    return canvas_of(canvas, _tile(sizes))
 
 
 def _decoder(sizes: list[int], tile: int, regions: tuple[int, int, int] | None):

@@ -66,3 +66,13 @@ def diff_cells(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cells in which two tables differ, missing ones included: (cell, left, right)."""
     one, two = a.withColumnRenamed("value", "left"), b.withColumnRenamed("value", "right")
     return one.join(two, CELL, "full_outer").where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def diff_tiles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(image_id, cells, off) of two tables of tiles (image_id, channel, tr, tc, value): cells of a, and those that diff_cells would give; tiles are compared as rows."""
+    keys = [*KC, "tr", "tc"]
+    both = a.select(*keys, F.col("value").alias("left")).join(b.select(*keys, F.col("value").alias("right")), keys, "full_outer")
+    there = lambda c: F.coalesce(F.size(F.filter(c, lambda x: x.isNotNull())), F.lit(0)).cast("long")
+    differ = F.size(F.filter(F.zip_with("left", "right", lambda x, y: ~x.eqNullSafe(y)), lambda x: x)).cast("long")
+    off = F.when(F.col("left") == F.col("right"), F.lit(0).cast("long")).when(F.col("left").isNull(), there("right")).when(F.col("right").isNull(), there("left")).otherwise(differ)
+    return both.groupBy(*K).agg(F.sum(F.when(F.col("left").isNotNull(), there("left")).otherwise(0)).alias("cells"), F.sum(off).alias("off"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import CELL, KC, book_value, clip_add, nearest_code
+from ..functions.expr import CELL, KC, nearest_code
+from .layers import CELLS, canvas_of, tile_cells
 
-#: Bits of the smallest tile's side.
-LEAST = 4
+#: Bits of the smallest tile's side, and of the side of the tiles that a canvas is replayed in.
+LEAST, REPLAY = 4, 3
 
 
 def sample_origins(bounds: DataFrame, seed: int = 0) -> DataFrame:
@@ -138,13 +139,100 @@ def covering_strokes(strokes: DataFrame, cells: DataFrame, covered: bool = True)
     return strokes.join(seen, ["image_id", "stroke_id", "channel"], "left_semi" if covered else "left_anti")
 
 
+def _met(tiles: DataFrame, strokes: DataFrame) -> DataFrame:
+    """(image_id, channel, tr, tc, and strokes' columns): each square at each tile of replay_tiles that it touches.
+
+    Squares of the smallest grid touch nine tiles at most and are dealt straight to them. A larger one meets the tiles that are there in its own
+    grid, of which it touches four: a square much larger than the raster costs no more than the raster's tiles.
+    """
+    squares = strokes.where("size > 0").select(*KC, "stroke_id", "row", "col", "size", "idx", _level().alias("level"))
+    own = ["stroke_id", "row", "col", "size", "idx"]
+    met = _tiles(squares.where(F.col("level") == LEAST).withColumn("grid", F.lit(REPLAY))).select(*KC, "tr", "tc", *own)
+    large = [g for g in _levels(strokes) if g > LEAST]
+    if large:
+        keys = tiles.select(*KC, F.col("tr").alias("__r"), F.col("tc").alias("__c"), F.explode(F.array(*[F.lit(g) for g in large])).alias("grid"))
+        up = lambda c: F.expr(f"shiftright({c}, grid - {REPLAY})")
+        far = keys.withColumns({"tr": up("__r"), "tc": up("__c")}).join(_tiles(squares.where(F.col("level") > LEAST).withColumnRenamed("level", "grid")), [*KC, "grid", "tr", "tc"])
+        side = 1 << REPLAY
+        inside = lambda t, x: (F.col(x) < (F.col(t) + 1) * side) & (F.col(x) + F.col("size") > F.col(t) * side)
+        met = met.unionByName(far.where(inside("__r", "row") & inside("__c", "col")).select(*KC, F.col("__r").alias("tr"), F.col("__c").alias("tc"), *own))
+    return met
+
+
+def _replayer(book: list[int]):
+    """Tiles moved by their squares, as a function from Arrow batches (tile, value, ids, some) to Arrow batches (tile, value)."""
+    side = 1 << REPLAY
+    step = CELLS // (side * side)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        moves, place = np.array([*book, 0], np.int64), np.arange(side)
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            rows = batch.num_rows
+            flat = batch.column("value").flatten()
+            has = flat.is_valid().to_numpy(zero_copy_only=False)
+            value = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64).reshape(rows, side, side)
+            owner = pc.list_parent_indices(batch.column("some")).to_numpy(zero_copy_only=False).astype(np.int64)
+            some = batch.column("some").flatten()
+            field = lambda c: some.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
+            # quarters, in the order of their squares within each tile; those of squares with one stroke_id by how far they move
+            corner = lambda t: np.asarray(batch.column(t).to_numpy(zero_copy_only=False)).astype(np.int64)[owner] * side
+            r, c, size = field("row") - corner("tr"), field("col") - corner("tc"), field("size")
+            ids = pc.dictionary_encode(batch.column("ids").flatten(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            rank = np.cumsum(np.diff(ids, prepend=ids[:1]) != 0)
+            q = np.arange(4)
+            code = np.stack([some.field(f"i{k}").to_numpy(zero_copy_only=False).astype(np.int64) for k in q], axis=1)
+            move = moves[np.where((code >= 0) & (code < len(book)), code, len(book))]
+            half, rest = size // 2, size - size // 2
+            r0 = np.stack([r + half * (k // 2) for k in q], axis=1)
+            c0 = np.stack([c + half * (k % 2) for k in q], axis=1)
+            r1 = r0 + np.stack([rest if k // 2 else half for k in q], axis=1)
+            c1 = c0 + np.stack([rest if k % 2 else half for k in q], axis=1)
+            at = np.flatnonzero(((move != 0) & (r0 < side) & (r1 > 0) & (c0 < side) & (c1 > 0)).reshape(-1))
+            whose, m, rank = owner.repeat(4)[at], move.reshape(-1)[at], rank.repeat(4)[at]
+            order = np.lexsort((m, rank, whose))
+            r0, r1, c0, c1 = (x.reshape(-1)[at][order] for x in (r0, r1, c0, c1))
+            whose, m = whose[order], m[order]
+            # the k-th quarter of all tiles at once, tiles with most quarters first
+            many = np.bincount(whose, minlength=rows)
+            first = np.cumsum(many) - many
+            by_many = np.argsort(-many, kind="stable")
+            left = np.sort(many)
+            for k in range(int(many.max(initial=0))):
+                own = by_many[: rows - np.searchsorted(left, k, "right")]
+                n = first[own] + k
+                tall = (place >= r0[n, None]) & (place < r1[n, None])
+                wide = (place >= c0[n, None]) & (place < c1[n, None])
+                old = value[own]
+                value[own] = np.where(tall[:, :, None] & wide[:, None, :], np.clip(old + m[n, None, None], 0, 255), old)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(0, value.size + 1, side * side), pa.int32()), pa.array(value.reshape(-1), pa.int32(), mask=~has))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("image_id", "channel", "tr", "tc")], held], names=["image_id", "channel", "tr", "tc", "value"])
+
+    return run
+
+
+def replay_tiles(tiles: DataFrame, strokes: DataFrame, book: list[int]) -> DataFrame:
+    """replay_strokes of a canvas by tiles of side 2 ** REPLAY, (image_id, channel, tr, tc, value) with the cells as arrays by place.
+
+    A tile and the squares that touch it are one row on each side of one join; cells are moved in numpy, many tiles at once.
+    """
+    keys = [*KC, "tr", "tc"]
+    whole = F.array_sort(F.collect_list(F.struct("stroke_id", "row", "col", "size", "idx")))
+    lists = _met(tiles, strokes).groupBy(*keys).agg(whole.alias("some"))
+    code = lambda x, k: F.coalesce(F.get(x["idx"], F.lit(k)).cast("int"), F.lit(-1)).alias(f"i{k}")
+    squares = F.transform("some", lambda x: F.struct(*[x[c].cast("long").alias(c) for c in ("row", "col", "size")], *[code(x, k) for k in range(4)]))
+    both = tiles.select(*keys, "value").join(lists.select(*keys, F.col("some.stroke_id").alias("ids"), squares.alias("some")), keys, "left")
+    schema = ", ".join([*[f"{c} {both.schema[c].dataType.simpleString()}" for c in keys], "value array<int>"])
+    return both.mapInArrow(_replayer(book), schema)
+
+
 def replay_strokes(canvas: DataFrame, strokes: DataFrame, book: list[int]) -> DataFrame:
-    """The canvas after all strokes in the order of stroke_id.
+    """The canvas after all strokes in the order of stroke_id; codes outside the book move nothing.
 
     Each step is held to 0..255, so steps don't add up; a cell depends on its own steps only, which makes the replay
-    a fold by cell. Cells that no stroke changes stay.
+    a fold by cell, and tiles of cells one row each. Cells that no stroke changes stay; cells without a value are left out.
     """
-    mult = book_value(book, F.element_at("idx", F.col("quarter") + 1))
-    steps = footprint(strokes, canvas).select(*CELL, F.struct("stroke_id", mult.alias("m")).alias("s")).where("s.m <> 0").groupBy(*CELL).agg(F.array_sort(F.collect_list("s")).alias("steps"))
-    done = F.aggregate("steps", F.col("value").cast("int"), lambda a, s: clip_add(a, s["m"]))
-    return canvas.join(steps, CELL, "left").select(*CELL, F.when(F.col("steps").isNull(), F.col("value")).otherwise(done).cast("int").alias("value"))
+    return tile_cells(replay_tiles(canvas_of(canvas, 1 << REPLAY), strokes, book), "value", 1 << REPLAY)

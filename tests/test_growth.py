@@ -5,7 +5,7 @@ import os
 import pytest
 
 from rastermill.functions import params
-from rastermill.operators import cells, layers, residual, resample, search
+from rastermill.operators import cells, layers, residual, resample, search, strokes
 from rastermill.plans import fixtures as fx
 from rastermill.plans import queries
 from rastermill.sources import netpbm, storage
@@ -136,3 +136,17 @@ def test_sweep_and_selected_codes_leave_no_lists_of_cells(spark, sf):
     for f in (lambda c: layers.config_sweep(p, c, configs), lambda c: layers.encode_selected(p, c, 6, [-9, 0, 9], fx.H, fx.W, 3, "Smart")):
         a, b = f(whole), f(residual.start_color(p))
         assert a.dtypes == b.dtypes and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_replay_writes_and_shuffles_tiles(spark, sf):
+    p, tiles = queries.px(spark, sf), []
+    got = strokes.replay_strokes(queries.canvas(spark, sf), queries.some_strokes(spark, sf), fx.BOOK)
+    assert "__at" in plan(got) and "steps" not in plan(got)
+    made = storage.Steps.put
+    storage.Steps.put = lambda self, df: tiles.append(df.columns) or made(self, df)
+    try:
+        rows = queries.replay_equals_fit(spark, sf)
+    finally:
+        storage.Steps.put = made
+    assert tiles and all("tr" in t and "row" not in t for t in tiles)
+    assert sorted(map(tuple, rows.collect())) == sorted((r[0], r[1], 0) for r in p.groupBy("image_id").count().collect())

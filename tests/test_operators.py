@@ -42,6 +42,47 @@ def test_replay_holds_each_step(spark):
     assert got == {(r, c): 245 if c < 2 else 250 for r in range(2) for c in range(3)}
 
 
+def test_replay_by_tiles_equals_a_replay_by_cells(spark):
+    import random
+
+    draw, book = random.Random(5), [-10, 0, 5, 20]
+    of = lambda i, c, r, k: (i * 31 + c * 17 + r * 41 + k * 7) % 256
+    now = {(i, c, r, k): of(i, c, r, k) for i in (1, 2) for c in range(2) for r in range(-3, 21) for k in range(27) if (r + k) % 9}
+    made = [(i, draw.randrange(60), c, draw.randrange(-9, 20), draw.randrange(-9, 26), draw.choice([1, 2, 3, 4, 7, 16, 17, 40, 1 << 20]), [draw.randrange(4) for _ in range(4)]) for i in (1, 3) for c in range(3) for _ in range(60)]
+    made += [(2, k, 1, 0, 0, 0, [3] * 4) for k in range(3)] + [(2, 9, 0, 2, 2, 4, [-1, 2, 2, 4])]
+    for key, start in now.items():
+        i, c, r, k = key
+        steps = []
+        for image, n, channel, row, col, size, idx in made:
+            if (image, channel) == (i, c) and row <= r < row + size and col <= k < col + size:
+                code = idx[2 * (r >= row + size // 2) + (k >= col + size // 2)]
+                steps += [(n, book[code])] if 0 <= code < 4 and book[code] else []
+        for _, m in sorted(steps):
+            start = max(0, min(255, start + m))
+        now[key] = start
+    canvas = spark.createDataFrame([(*key, of(*key)) for key in now], "image_id long, channel int, row int, col int, value int")
+    squares = spark.createDataFrame(made, "image_id long, stroke_id int, channel int, row int, col int, size int, idx array<int>")
+    assert values(strokes.replay_strokes(canvas, squares, book), "image_id", "channel", "row", "col") == now
+    assert values(strokes.replay_strokes(canvas, squares.limit(0), book), "image_id", "channel", "row", "col") == {key: of(*key) for key in now}
+
+
+def test_squares_of_tiles_and_their_differences(spark):
+    p = raster(spark, 19, 13, lambda c, i, j: (i * 37 + j * 91 + c * 5) % 256, channels=2)
+    for canvas in (residual.start_color(p), cells.fill_canvas(p.where("row < 15"), residual.start_color(p))):
+        done = layers.fit_tiles(layers.pair_tiles(p, canvas, 8), [4], [-40, -10, 0, 10, 40], 8)
+        one = layers.as_strokes(layers.layer_codes(layers.encode_cells(p, canvas, [4], [-40, -10, 0, 10, 40]), [4]).drop("layer"), 4)
+        a, b = (sorted(map(tuple, s.select("image_id", "channel", "stroke_id", "row", "col", "size", "idx").collect())) for s in (one, layers.tile_strokes(done, 4, 8)))
+        assert a == b and a
+        start = layers.start_tiles(layers.pair_tiles(p, canvas, 8))
+        again = strokes.replay_tiles(start, one, [-40, -10, 0, 10, 40])
+        fitted = done.withColumnRenamed("canvas", "value")
+        n = 19 * 13 * 2 if "colour" in canvas.columns else 15 * 13 * 2
+        assert [tuple(r) for r in residual.diff_tiles(fitted, again).collect()] == [(1, n, 0)]
+        flat = lambda t: layers.tile_cells(t.select("image_id", "channel", "tr", "tc", "value"), "value", 8)
+        for t in (start, again.where("tr < 1")):
+            assert [tuple(r) for r in residual.diff_tiles(fitted, t).collect()] == [(1, n, residual.diff_cells(flat(fitted), flat(t)).count())]
+
+
 def test_rect_stats_equal_the_footprint(spark):
     p = raster(spark, 7, 9, lambda _, i, j: (i * 31 + j * 17) % 256)
     s = spark.createDataFrame([(1, k, 0, k - 2, 2 * k - 3, 1 + k % 5) for k in range(9)], "image_id long, stroke_id int, channel int, row int, col int, size int")
