@@ -23,79 +23,85 @@ def _side(sizes: list[int]) -> int:
     return max(SIDE, -(-2 * max(sizes) // TILE) * TILE)
 
 
-def _choose(gain, sizes: list[int], may=None, known=None):
-    """(taken, open) of squares in many blocks: the best of all that they meet are taken, and again without those that these meet.
+def _chooser(sizes: list[int]):
+    """A function that chooses among squares of these sizes, ascending, in many blocks; it goes to tasks as a whole.
 
-    gain, taken, open: by size (ascending), block, row and column; a gain of 0 is no square. may: where squares are seen with all that they meet; others
-    are not taken. known: squares taken before. A square beats all that it meets if it is the best over each of its cells, so that two maxima
-    over squares of cells do. These go over all blocks as one line: below and beside the places lie as many empty ones as the largest square reaches over.
+    Of (gain, may, known) it makes (taken, open): the best of all that they meet are taken, and again without those that these meet. gain, taken, open: by size,
+    block, row and column; a gain of 0 is no square. may: where squares are seen with all that they meet; others are not taken. known: squares taken before.
+    A square beats all that it meets if it is the best over each of its cells, so that two maxima over squares of cells do. These go over all blocks
+    as one line: below and beside the places lie as many empty ones as the largest square reaches over.
     """
-    import numpy as np
-
-    n, blocks, h, w = gain.shape
-    high, wide, places = h + sizes[-1] - 1, w + sizes[-1] - 1, n * h * w
-    taken, left = np.zeros(gain.shape, bool), np.zeros(gain.shape, bool)
-    tie = places - 1 - np.arange(places).reshape(h, w, n).transpose(2, 0, 1)[:, None]
-
-    def most(line, many, ahead):
-        """The greatest of each place and the many - 1 before or after it, along columns and rows."""
-        for stride in (1, wide):
-            width = 1
-            while width < many:
-                step = min(width, many - width)
-                to, by = line.copy(), step * stride
-                if ahead:
-                    np.maximum(line[:-by], line[by:], out=to[:-by])
-                else:
-                    np.maximum(line[by:], line[:-by], out=to[by:])
-                line, width = to, width + step
-        return line
-
-    def over_cells(squares):
-        line = np.zeros_like(squares[0])
-        for z in reversed(range(n)):
-            line = most(np.maximum(line, squares[z]), sizes[z] - (sizes[z - 1] if z else 1) + 1, False)
-        return line
-
-    def over_squares(line):
-        for z in range(n):
-            line = most(line, sizes[z] - (sizes[z - 1] if z else 1) + 1, True)
-            yield z, line
-
-    step = max(1, FEW // (high * wide))
-    for k in range(0, blocks, step):
-        own = gain[:, k : k + step]
-        rank, rows = own, own.shape[1]
-        if own.max(initial=0) >= (1 << 62) // places:
-            rank = np.unique(own, return_inverse=True)[1].reshape(own.shape) + 1
-
-        def line(x, kind):
-            out = np.zeros((n, rows, high, wide), kind)
-            out[:, :, :h, :w] = x
-            return out.reshape(n, -1)
-
-        key, made = line(np.where(own > 0, rank * places + tie, 0), np.int64), np.zeros((n, rows * high * wide), bool)
-        free = None if may is None else line(may[:, k : k + step], bool)
-        new = None if known is None else line(known[:, k : k + step], bool)
-        while True:
-            if new is not None:
-                for z, hit in over_squares(over_cells(new)):
-                    key[z][hit] = 0
-            new = np.zeros_like(made)
-            for z, first in over_squares(over_cells(key)):
-                new[z] = (first == key[z]) & (first > 0)
-            if free is not None:
-                new &= free
-            if not new.any():
-                break
-            made |= new
-        short = lambda x: x.reshape(n, rows, high, wide)[:, :, :h, :w]  # noqa: E731, B023
-        taken[:, k : k + step], left[:, k : k + step] = short(made), short(key > 0)
-    return taken, left
+
+    def choose(gain, may=None, known=None):
+        import numpy as np
+
+        n, blocks, h, w = gain.shape
+        high, wide, places = h + sizes[-1] - 1, w + sizes[-1] - 1, n * h * w
+        taken, left = np.zeros(gain.shape, bool), np.zeros(gain.shape, bool)
+        tie = places - 1 - np.arange(places).reshape(h, w, n).transpose(2, 0, 1)[:, None]
+
+        def most(line, many, ahead):
+            """The greatest of each place and the many - 1 before or after it, along columns and rows."""
+            for stride in (1, wide):
+                width = 1
+                while width < many:
+                    step = min(width, many - width)
+                    to, by = line.copy(), step * stride
+                    if ahead:
+                        np.maximum(line[:-by], line[by:], out=to[:-by])
+                    else:
+                        np.maximum(line[by:], line[:-by], out=to[by:])
+                    line, width = to, width + step
+            return line
+
+        def over_cells(squares):
+            line = np.zeros_like(squares[0])
+            for z in reversed(range(n)):
+                line = most(np.maximum(line, squares[z]), sizes[z] - (sizes[z - 1] if z else 1) + 1, False)
+            return line
+
+        def over_squares(line):
+            for z in range(n):
+                line = most(line, sizes[z] - (sizes[z - 1] if z else 1) + 1, True)
+                yield z, line
+
+        step = max(1, FEW // (high * wide))
+        for k in range(0, blocks, step):
+            own = gain[:, k : k + step]
+            rank, rows = own, own.shape[1]
+            if own.max(initial=0) >= (1 << 62) // places:
+                rank = np.unique(own, return_inverse=True)[1].reshape(own.shape) + 1
+
+            def line(x, kind):
+                out = np.zeros((n, rows, high, wide), kind)
+                out[:, :, :h, :w] = x
+                return out.reshape(n, -1)
+
+            key, made = line(np.where(own > 0, rank * places + tie, 0), np.int64), np.zeros((n, rows * high * wide), bool)
+            free = None if may is None else line(may[:, k : k + step], bool)
+            new = None if known is None else line(known[:, k : k + step], bool)
+            while True:
+                if new is not None:
+                    for z, hit in over_squares(over_cells(new)):
+                        key[z][hit] = 0
+                new = np.zeros_like(made)
+                for z, first in over_squares(over_cells(key)):
+                    new[z] = (first == key[z]) & (first > 0)
+                if free is not None:
+                    new &= free
+                if not new.any():
+                    break
+                made |= new
+            short = lambda x: x.reshape(n, rows, high, wide)[:, :, :h, :w]  # noqa: E731, B023
+            taken[:, k : k + step], left[:, k : k + step] = short(made), short(key > 0)
+        return taken, left
+
+    return choose
 
 
 def _searcher(sizes: list[int], book: list[int], side: int, best: bool, raster: tuple[int, int] | None):
     """Gains of all squares that start in many blocks, as a function from Arrow batches (image_id, channel, br, bc, tiles) to Arrow batches."""
+    choose = _chooser(sizes)
 
     def run(batches):
         import numpy as np
@@ -162,7 +168,7 @@ def _searcher(sizes: list[int], book: list[int], side: int, best: bool, raster:
                     before = (at >= sizes[-1] - 1) | (first <= 0)
                     free.append(np.stack([before & ((at + size <= side) | (first + side >= end)) for size in sizes]))
                 gains *= inside[0][:, :, None] & inside[1][:, None, :]
-                taken, left = _choose(gains, sizes, free[0][:, :, :, None] & free[1][:, :, None, :])
+                taken, left = choose(gains, free[0][:, :, :, None] & free[1][:, :, None, :])
                 z, k, r, c = np.nonzero(taken | left)
                 yield found(k, r, c, np.array(sizes)[z], gains[z, k, r, c], taken[z, k, r, c])
 
@@ -213,6 +219,7 @@ def _picker(sizes: list[int], side: list[int], over: list[int]):
     side: a block's rows and columns; over: by how much squares of others come with it on each side.
     """
     high, wide = (s + 2 * o for s, o in zip(side, over))
+    choose = _chooser(sizes)
 
     def run(batches):
         import numpy as np
@@ -232,7 +239,7 @@ def _picker(sizes: list[int], side: list[int], over: list[int]):
             known = np.zeros(gain.shape, bool)
             known[tuple(x[before] for x in place)] = True
             np.maximum.at(gain, tuple(x[~before] for x in place), number(squares.field("gain"))[~before])
-            taken, left = _choose(gain, sizes, np.broadcast_to(may, gain.shape), known)
+            taken, left = choose(gain, np.broadcast_to(may, gain.shape), known)
             z, k, r, c = np.nonzero((taken | left) & may)
             key = [batch.column(x).take(pa.array(k)) for x in KC]
             where = [pa.array(x + o[k], pa.int32()) for x, o in ((r, origin[0]), (c, origin[1]))]
